@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import groupby
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, shared_path
 
 #: Characters of text in a block.
 BLOCK_CHARS = 32 << 20
@@ -215,10 +216,16 @@ def join_back(placed: DataFrame, encoded: DataFrame, path: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = materialise(split_blocks(docs, buckets, block_chars), "word-blocks", "none")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Bucketed by block, so that the positions, the larger part, are not shuffled again to meet their ids.
+    name = f"word_blocks_{uuid.uuid4().hex}"
+    split_blocks(docs, 2 * parts, block_chars).write.bucketBy(parts, "block").options(path=shared_path(spark, "word-blocks"), compression="none").saveAsTable(name)
+    blocks = spark.table(name)
     encoded = encode_words(blocks.filter("bucket IS NOT NULL").select("block", "bucket", "data"), path)
-    return join_back(blocks.filter("bucket IS NULL").drop("bucket"), encoded, path)
+    made = join_back(blocks.filter("bucket IS NULL").drop("bucket"), encoded, path)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay in the shared folder
+    return made
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
