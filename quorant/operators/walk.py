@@ -125,10 +125,10 @@ def walk_step(pool: DataFrame, proposals: DataFrame, step: int, settings: WalkSe
 # Step sizes, bounds and number of micro-steps of the temperature update.
 @dataclass(frozen=True)
 class DualSettings:
-    rate_beta: float = 1e-3
-    rate_lambda: float = 1e-1
-    beta_min: float = 0.01
-    beta_max: float = 0.5
+    rate_beta: float = 0.1
+    rate_lambda: float = 0.1
+    beta_min: float = 0.02
+    beta_max: float = 2.0
     delta: float = 0.5
     micro_steps: int = 20
 
