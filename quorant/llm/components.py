@@ -18,10 +18,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         ways = edges.select(F.col("u").alias("n"), F.col("v").alias("w")).unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("w")))
         least = ways.groupBy("n").agg(F.least("n", F.min("w")).alias("m"))
-        made = ways.filter("w > n").join(least, "n").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        made = ways.filter("w > n").join(least.hint("merge"), "n").select(F.col("w").alias("u"), F.col("m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = edges.join(least.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         made = moved.unionByName(least.select("u", F.col("m").alias("v")))
     return made.distinct()
 

@@ -10,7 +10,8 @@ replica, to every anchor within the covering radius plus the threshold (61 of
 2^24 on average); homes and replicas meet per anchor in one equi-join that
 compares all 64 bits. No link is lost and none is found twice.
 
-Copies share a fingerprint and are one row before any of this. Links between
+Joins are sort-merge joins, which Spark splits where a key is hot, whatever the
+sizes: nothing is broadcast. Copies share a fingerprint and are one row before any of this. Links between
 distinct fingerprints are bounded (at most 2080 each) and go to connected
 components. Nulls and empty texts have fingerprint 0. Repeated rows get a row
 each; a null doc_id is never the least of a component. Other columns are
@@ -136,7 +137,7 @@ def _at_anchors(fps: DataFrame, threshold: int) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Pairs (u, v) of the distinct fingerprints `fps` within the threshold, each pair once."""
     home, near = _at_anchors(fps, 0).alias("h"), _at_anchors(fps, THRESHOLD).alias("r")
-    met = home.join(near, F.expr(f"h.anchor = r.anchor AND h.fp < r.fp AND bit_count(h.fp ^ r.fp) <= {THRESHOLD}"))
+    met = home.hint("merge").join(near, F.expr(f"h.anchor = r.anchor AND h.fp < r.fp AND bit_count(h.fp ^ r.fp) <= {THRESHOLD}"))
     return met.select(F.col("h.fp").alias("u"), F.col("r.fp").alias("v"))
 
 
@@ -145,18 +146,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = materialise(fingerprints(docs), "fingerprints")
     classes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     parts = connected_components(links(classes.select("fp")))
-    linked = classes.join(parts, F.col("fp") == F.col("node")).select("fp", "least", "component")
+    linked = classes.join(parts.hint("merge"), F.col("fp") == F.col("node")).select("fp", "least", "component")
     lowest = linked.groupBy("component").agg(F.min("least").alias("lowest"))
-    of_linked = linked.join(lowest, "component").select(F.col("fp").alias("linked_fp"), "lowest")
-    named = classes.join(of_linked, F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    of_linked = linked.join(lowest.hint("merge"), "component").select(F.col("fp").alias("linked_fp"), "lowest")
+    named = classes.join(of_linked.hint("merge"), F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
+    # Written, so that both sides of the last join come straight from an exchange: then Spark splits the fingerprint of a large group of copies.
+    return found.join(materialise(named, "components").hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates: that of its least doc_id."""
     kept = near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("kept_id"))
-    same = packed.alias("p").join(kept.alias("k"), F.expr("p.kept_id <=> k.kept_id"), "left_semi")
+    same = packed.alias("p").join(kept.alias("k").hint("merge"), F.expr("p.kept_id <=> k.kept_id"), "left_semi")
     nth = F.row_number().over(W.partitionBy("kept_id").orderBy("kept_id"))
     return same.withColumn("nth", nth).filter("nth = 1").select("doc.*")
 
