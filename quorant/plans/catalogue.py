@@ -139,9 +139,9 @@ def remax_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per user: ids, rewards and running-mean values in order of event_id."""
-    before = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
-    rows = table(spark, sf_dir, "events").withColumn("v", F.coalesce(r6(F.sum("value").over(before) / F.count("value").over(before)), F.lit(0.0)))
+    """A row per user: ids, rewards and, as value estimates, the rewards before them, in order of event_id."""
+    before = F.lag("value", 1, 0.0).over(W.partitionBy("user_id").orderBy("event_id"))
+    rows = table(spark, sf_dir, "events").withColumn("v", before)
     grouped = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value", "v", "event_type"))).alias("t"))
     return grouped.select("user_id", F.col("t.event_id").alias("ids"), F.col("t.value").alias("rewards"), F.col("t.v").alias("vs"), F.col("t.event_type").alias("types"))
 
@@ -159,8 +159,8 @@ def discounted_return(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH RECURSIVE e AS (
-  SELECT user_id, event_id, value, coalesce({_r6('sum(value) OVER b / count(value) OVER b')}, 0.0) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k
-  FROM events WINDOW b AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  SELECT user_id, event_id, value, coalesce(lag(value) OVER b, 0.0) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k
+  FROM events WINDOW b AS (PARTITION BY user_id ORDER BY event_id)),
 d AS (SELECT *, value + 0.99 * coalesce(lead(v) OVER (PARTITION BY user_id ORDER BY event_id), 0.0) - v AS delta FROM e),
 r AS (SELECT user_id, event_id, k, v, delta AS adv FROM d WHERE k = 1 UNION ALL SELECT d.user_id, d.event_id, d.k, d.v, d.delta + 0.99 * 0.95 * r.adv FROM r JOIN d ON d.user_id = r.user_id AND d.k = r.k + 1)
 SELECT user_id, event_id, {_r6('adv')} AS advantage, {_r6('adv + v')} AS ret FROM r""")
