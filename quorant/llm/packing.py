@@ -10,8 +10,7 @@ histogram allows, and prunes a branch whose waste exceeds what one bin fewer
 can hold. The plan (runs of equal bins) has a few rows per length; the pieces
 find their places in it by their rank among the pieces of their length.
 
-Tokenising keeps a bounded cache of the ids of space-separated strings in each
-worker. A rank is a row number within (length, bucket) plus the counts of the
+Tokenising keeps a bounded cache of the ids of pieces of text in each worker. A rank is a row number within (length, bucket) plus the counts of the
 buckets before; the number of buckets grows with the rows, so a length that a
 third of all pieces share is no hot key.
 
@@ -23,6 +22,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,15 +37,21 @@ from .common import documents, materialise
 MAX_TOKENS = 4096
 END_ID = 1
 #: Strings whose ids a worker keeps; at more the cache starts anew.
-CACHE = 500_000
+CACHE = 1_000_000
 #: Nodes of the branch-and-bound; then the incumbent stands.
 NODES = 2_000
 #: Pieces that one window group ranks.
 RANKED = 1_000_000
 
 
+#: Texts of these characters alone are split here, as the tokenizer's own pattern does; others go through it string by string.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_WORD_END = "</w>"
+
+
 class _Ids(dict):
-    """White-space-free bytes -> their token ids, as little-endian uint32 bytes."""
+    """Strings without white space -> their token ids, as little-endian uint32 bytes."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,43 +60,67 @@ class _Ids(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for piece, i in vocabulary.items():
+            self.ends[i] = piece.endswith(_WORD_END)
+
+    def learn(self, words: list[str], pieces: bool) -> None:
+        """Takes the words in. pieces: each is one piece of the tokenizer's pattern, so its last id alone ends a word."""
+        for i in range(0, len(words), 5_000):
+            part = words[i : i + 5_000]
+            if pieces:
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(cuts) == len(part):
+                    data = ids.tobytes()
+                    self.update(zip(part, [data[a:b] for a, b in zip([0, *cuts], cuts)], strict=True))  # noqa: B905
+                    continue
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self[w] = np.array(e.ids, "<u4").tobytes()
 
 
-_ids: dict[str, _Ids] = {}
+_ids: dict[tuple[str, bool], _Ids] = {}
 
 
-def _encoder(path: str) -> _Ids:
-    if path not in _ids:
-        _ids[path] = _Ids(path)
-    return _ids[path]
+def _encoder(path: str, pieces: bool) -> _Ids:
+    if (path, pieces) not in _ids:
+        _ids[path, pieces] = _Ids(path)
+    return _ids[path, pieces]
 
 
-def encode_texts(texts: list[str | None], path: str) -> Iterator[bytes]:
-    """The ids of each text as little-endian uint32 bytes.
+def _split(text: str | None) -> tuple[bool, list[str]]:
+    """Whether the text is plain, and its pieces, or else its space-separated strings.
 
-    The tokenizer drops white space and no token, and no composed character, spans ASCII
-    white space, so a text's ids are those of its space-separated strings in turn.
+    The tokenizer drops white space, and no token and no composed character spans ASCII white space.
     """
-    ids = _encoder(path)
+    if not text:
+        return True, []
+    if _PLAIN.fullmatch(text) and "<|" not in text:
+        return True, _PIECE.findall(text.lower())
+    return False, [w.decode() for w in text.encode().split()]
+
+
+def encode_texts(texts: list[str | None], path: str) -> Iterator[bytes]:
+    """The ids of each text as little-endian uint32 bytes."""
     at = 0
     while at < len(texts):
         size, upto = 0, at
         while upto < len(texts) and (upto == at or size < 1 << 20):
             size, upto = size + len(texts[upto] or ""), upto + 1
-        words = [(t or "").encode().split() for t in texts[at:upto]]
-        ids.learn(set().union(*words))
-        for ws in words:
-            yield b"".join(map(ids.__getitem__, ws))
+        split = [_split(t) for t in texts[at:upto]]
+        found: list[list[bytes | None]] = [list(map(_encoder(path, plain).get, ws)) for plain, ws in split]
+        for kind in (True, False):
+            ids = _encoder(path, kind)
+            new = {w for (plain, ws), out in zip(split, found, strict=True) if plain == kind and None in out for w, o in zip(ws, out, strict=True) if o is None}
+            if len(ids) + len(new) > CACHE:
+                ids.clear()
+            ids.learn(list(new), kind)
+        for (plain, ws), out in zip(split, found, strict=True):
+            if None in out:
+                ids = _encoder(path, plain)
+                out = [ids[w] if o is None else o for w, o in zip(ws, out, strict=True)]
+            yield b"".join(out)
         at = upto
 
 
