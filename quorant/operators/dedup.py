@@ -48,12 +48,17 @@ def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), tokens.alias("tokens")).groupBy("tokens").agg(F.min("id").alias("id"), F.count("*").alias("n_copies")).select("id", "tokens", "n_copies")
 
 
-def candidate_pairs(own: DataFrame) -> DataFrame:
-    """(i, j), i < j, of the classes that may be near."""
-    sized = own.select("id", F.size("tokens").alias("c"), "tokens")
+def gram_sets(own: DataFrame) -> DataFrame:
+    """id, c (tokens), gs (hashes of the distinct 4-grams) of each class."""
     at = lambda k: f"tokens[i + {k}]"
     gram = F.expr(f"CASE WHEN c >= 4 THEN array_distinct(transform(sequence(0, c - 4), i -> xxhash64({at(0)}, {at(1)}, {at(2)}, {at(3)}))) ELSE array() END")
-    grams = written(sized.withColumn("gs", gram).select("id", "c", F.size("gs").alias("d"), F.explode("gs").alias("g")), "grams")
+    return own.select("id", F.size("tokens").alias("c"), "tokens").withColumn("gs", gram).select("id", "c", "gs")
+
+
+def candidate_pairs(own: DataFrame, sets: DataFrame) -> DataFrame:
+    """(i, j), i < j, of the classes that may be near; sets: gram_sets(own), written."""
+    sized = own.select("id", F.size("tokens").alias("c"), "tokens")
+    grams = sets.select("id", "c", F.size("gs").alias("d"), F.explode("gs").alias("g"))
     counts = grams.groupBy("g").agg(F.count("*").alias("f")).filter("f > 1")
     # 4-grams that occur in one class only pair nothing; those left are ranked from rare to frequent.
     shared = grams.join(counts, "g")
@@ -69,8 +74,14 @@ def candidate_pairs(own: DataFrame) -> DataFrame:
 
 def near_pairs(own: DataFrame, threshold: float = NEAR) -> DataFrame:
     """(i, j, bleu) of classes with BLEU above `threshold`."""
+    sets = written(gram_sets(own), "grams")
+    pairs = written(candidate_pairs(own, sets), "candidates")
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("c").alias(f"c_{k}"), F.col("gs").alias(f"gs_{k}"))
+    # The bound on 4-grams again, now on all of them; exact only if the hypothesis repeats none.
+    enough = "c_i < 5 OR size(gs_i) < c_i - 3 OR 16 * size(array_intersect(gs_i, gs_j)) > c_i - 3"
+    pairs = pairs.join(side("i"), "i").join(side("j"), "j").filter(enough).select("i", "j")
     text = own.select("id", "tokens")
-    pairs = candidate_pairs(own).join(text.select(F.col("id").alias("i"), F.col("tokens").alias("hyp")), "i").join(text.select(F.col("id").alias("j"), F.col("tokens").alias("ref")), "j")
+    pairs = pairs.join(text.select(F.col("id").alias("i"), F.col("tokens").alias("hyp")), "i").join(text.select(F.col("id").alias("j"), F.col("tokens").alias("ref")), "j")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
