@@ -7,16 +7,13 @@ import duckdb
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def rows_of(frame, columns):
-    return sorted(map(repr, frame[columns].astype(object).where(frame[columns].notna(), None).values.tolist()))
-
-
 def assert_same(df, sql, sf_dir):
     con = duckdb.connect()
     for t in TABLES:
-        if os.path.exists(f"{sf_dir}/{t}.parquet"):
-            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    want, got = con.sql(sql).df(), df.toPandas()
+        if os.path.exists(path := f"{sf_dir}/{t}.parquet"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' * os.path.isdir(path)}'")
+    want = con.sql(sql)
     columns = sorted(want.columns)
-    assert sorted(got.columns) == columns
-    assert rows_of(got, columns) == rows_of(want, columns)
+    assert sorted(df.columns) == columns
+    rows = lambda found, names: sorted(repr([r[names.index(c)] for c in columns]) for r in found)
+    assert rows(df.collect(), df.columns) == rows(want.fetchall(), want.columns)
