@@ -63,8 +63,8 @@ def candidate_pairs(own: DataFrame, sets: DataFrame) -> DataFrame:
     # 4-grams that occur in one class only pair nothing; those left are ranked from rare to frequent.
     shared = grams.join(counts, "g")
     ranked = shared.groupBy("id", "c", "d").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("gs"))
-    # More than (c - 3) / 16 positions must match; if none repeats, that many less one of the most frequent may be left out.
-    rare = ranked.filter("c >= 5").select("id", "c", F.explode(F.expr("slice(gs, 1, greatest(size(gs) - CASE WHEN d = c - 3 THEN CAST(floor((c - 3) / 16.0) AS INT) ELSE 0 END, 0))")).alias("x")).select("id", "c", "x.g")
+    # More than (c - 3) / 16 of the c - 3 positions must match; d distinct 4-grams hold them, each one at least, so this many of the most frequent may be left out.
+    rare = ranked.filter("c >= 5").select("id", "c", F.explode(F.expr("slice(gs, 1, greatest(size(gs) - greatest(CAST(floor((c - 3) / 16.0) AS INT) - (c - 3 - d), 0), 0))")).alias("x")).select("id", "c", "x.g")
     lengths = "h.id < r.id AND 2 * r.c > h.c AND r.c < 1.6931472 * h.c"
     long = rare.alias("h").join(grams.alias("r"), F.expr(f"h.g = r.g AND {lengths}")).select(F.col("h.id").alias("i"), F.col("r.id").alias("j"))
     words = sized.filter("c <= 6").select("id", "c", F.explode(F.array_distinct("tokens")).alias("g"))
@@ -77,8 +77,8 @@ def near_pairs(own: DataFrame, threshold: float = NEAR) -> DataFrame:
     sets = written(gram_sets(own), "grams")
     pairs = written(candidate_pairs(own, sets), "candidates")
     side = lambda k: sets.select(F.col("id").alias(k), F.col("c").alias(f"c_{k}"), F.col("gs").alias(f"gs_{k}"))
-    # The bound on 4-grams again, now on all of them; exact only if the hypothesis repeats none.
-    enough = "c_i < 5 OR size(gs_i) < c_i - 3 OR 16 * size(array_intersect(gs_i, gs_j)) > c_i - 3"
+    # The bound on 4-grams again, now on all of them: each distinct one that is not shared leaves a position without a match.
+    enough = "c_i < 5 OR 16 * (c_i - 3 - size(gs_i) + size(array_intersect(gs_i, gs_j))) > c_i - 3"
     pairs = pairs.join(side("i"), "i").join(side("j"), "j").filter(enough).select("i", "j")
     text = own.select("id", "tokens")
     pairs = pairs.join(text.select(F.col("id").alias("i"), F.col("tokens").alias("hyp")), "i").join(text.select(F.col("id").alias("j"), F.col("tokens").alias("ref")), "j")
