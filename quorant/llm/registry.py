@@ -15,4 +15,4 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
 }
 
-ORACLE_SQL = {"op1_quality": quality.ORACLE_SQL, "op5_chat": chat.ORACLE_SQL}
+ORACLE_SQL = {"op1_quality": quality.ORACLE_SQL, "op5_chat": chat.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL}

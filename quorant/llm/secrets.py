@@ -118,3 +118,32 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda k: F.expr(f"CAST(size(filter(base, s -> s.kind = {k})) AS BIGINT)")
     return found.select("doc.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+def _oracle() -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    # A run of 24 characters or more is found at its start either way, and so is an access key.
+    patterns = [ASSIGN, "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}", CANDIDATE]
+    found = " UNION ALL ".join(f"SELECT doc_id, {k} AS kind, regexp_extract_all(t, {q(p)}, 0) AS m, regexp_extract_all(t, {q(p)}, {int(k == 0)}) AS v, string_split_regex(t, {q(p)}) AS p FROM d" for k, p in enumerate(patterns))
+    most = {k: math.floor(WINDOW * (math.log2(WINDOW) - v) * _UNIT) for k, v in THRESHOLDS.items()}
+    best = f"""list_min(list_transform(range(1, length(said) - {WINDOW - 2}), lambda i: list_sum(list_transform(list_distinct(string_split(substr(said, i, {WINDOW}), '')),
+      lambda c: {_CLOG}[{WINDOW + 1} - length(replace(substr(said, i, {WINDOW}), c, ''))]))))"""
+    told = "string_agg(name || ':' || pos || ':' || upto, ',' ORDER BY pos, kind)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (
+  SELECT doc_id, kind, m[k] AS said, v[k] AS val, {KINDS}[kind + 1] AS name,
+    (list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::BIGINT AS pos
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM ({found}))),
+base AS (SELECT *, pos + length(said) AS upto FROM s WHERE kind < 3 AND (kind > 0 OR length(val) >= 6)),
+added AS (
+  SELECT *, pos + length(said) AS upto FROM s WHERE kind = 3 AND regexp_matches(said, '[0-9]') AND regexp_matches(said, '[A-Za-z]') AND NOT regexp_matches(said, {q(ALLOWED)})
+    AND {best} <= CASE WHEN regexp_matches(said, '^([0-9a-f]+|[0-9A-F]+)$') THEN {most['hex']} ELSE {most['mixed']} END),
+apart AS (SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.pos < a.upto AND a.pos < b.upto)),
+b AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, {told} AS told FROM base GROUP BY 1),
+e AS (SELECT doc_id, {told} AS told FROM (SELECT * FROM base UNION ALL SELECT * FROM apart) GROUP BY 1)
+SELECT d.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(b.told, '')) AS base_sha256, coalesce(e.told, '') AS spans
+FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN e ON d.doc_id = e.doc_id"""
+
+
+ORACLE_SQL = _oracle()
