@@ -50,3 +50,13 @@ def candidates_for_recheck(graded: DataFrame, below: float = 0.5) -> DataFrame:
 def without_trailer(rows: DataFrame) -> DataFrame:
     """Result rows without the trailing average, whether or not the file has one."""
     return rows.filter("average_score IS NULL") if "average_score" in rows.columns else rows
+
+
+def fill_to(df: DataFrame, n: int, *arrival: str) -> DataFrame:
+    """The first n rows in order of arrival (columns that end in a unique key)."""
+    return df.orderBy(*arrival).limit(n)
+
+
+def merge_back(rows: DataFrame, scored: DataFrame, key: str, score: str = "score", missing: float = -1.0) -> DataFrame:
+    """All of `rows` with the score of those that were scored, `missing` for the others."""
+    return rows.join(scored.select(key, score), key, "left").withColumn(score, F.coalesce(F.col(score), F.lit(missing)))

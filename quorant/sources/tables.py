@@ -142,6 +142,28 @@ def union_columns(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return checked.select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in right.columns if c not in left.columns])
 
 
+def flattened(df: DataFrame, sep: str = "/") -> DataFrame:
+    """Fields of struct columns, at any depth, as columns named by their path."""
+
+    def fields(column: Column, kind: T.DataType, path: str) -> list[Column]:
+        if not isinstance(kind, T.StructType):
+            return [column.alias(path)]
+        return [c for f in kind for c in fields(column.getField(f.name), f.dataType, f"{path}{sep}{f.name}")]
+
+    return df.select(*[c for f in df.schema for c in fields(F.col(f"`{f.name}`"), f.dataType, f.name)])
+
+
+def nested(df: DataFrame, sep: str = "/") -> DataFrame:
+    """The way back from flattened()."""
+
+    def struct(paths: list[tuple[str, ...]], depth: int) -> list[Column]:
+        heads = dict.fromkeys(p[depth] for p in paths)
+        own = {h: [p for p in paths if p[depth] == h] for h in heads}
+        return [(F.col(f"`{sep.join(ps[0])}`") if len(ps[0]) == depth + 1 else F.struct(*struct(ps, depth + 1))).alias(h) for h, ps in own.items()]
+
+    return df.select(*struct([tuple(c.split(sep)) for c in df.columns], 0))
+
+
 def checked_columns(df: DataFrame, schema: str) -> DataFrame:
     """`df` with exactly the columns of `schema`; other types are an error."""
     want = T._parse_datatype_string(schema)

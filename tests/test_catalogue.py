@@ -1,4 +1,5 @@
 import pytest
+from quorant.plans import answers, batches  # noqa: F401  (they register their queries)
 from quorant.plans.catalogue import ORACLE_SQL, QUERIES
 
 from tests.oracle import assert_same
