@@ -22,6 +22,7 @@ classifier is needed. Other columns are ignored. Positions are code points.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -39,8 +40,11 @@ ADDED = ["masked_email", "ssn", "iban", "local_phone", "birth_date", "person"]
 KINDS = BASE + ADDED
 LABELERS = ["pattern", "gazetteer", "before", "after", "shape"]
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: An e-mail address is searched from its @, so that long runs without one cost no more than their length.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: A match never starts within a run of digits: what follows the run is the same for all its digits.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MASKED = re.compile(r"[A-Za-z0-9._%+-]{2,64} ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{2,64}(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]{2,32}){1,4}", re.IGNORECASE)
@@ -71,11 +75,23 @@ def luhn(digits: str) -> bool:
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
 
-def base_spans(text: str) -> list[Span]:
+def emails(text: str) -> list[Span]:
     found: list[Span] = []
-    if "@" in text:
-        found += [(0, *m.span()) for m in EMAIL.finditer(text)]
-    found += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    end, at = 0, text.find("@")
+    while at >= 0:
+        begin = at
+        while begin > end and text[begin - 1] in LOCAL:
+            begin -= 1
+        if begin < at and (m := DOMAIN.match(text, at + 1)):
+            end = m.end()
+            found.append((0, begin, end))
+        at = text.find("@", max(at + 1, end))
+    return found
+
+
+def base_spans(text: str) -> list[Span]:
+    found = emails(text)
+    found += [(1, *m.span()) for m in IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split(".")))]
     for m in CARD.finditer(text):
         if len(m[0]) >= 13 and 13 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
             found.append((2, *m.span()))
@@ -131,10 +147,17 @@ def added_candidates(text: str, base: list[Span]) -> list[Span]:
         found += [(kind, *m.span()) for m in pattern.finditer(text)]
     if not _MARKS.isdisjoint(text.split()):
         found += [(9, *m.span()) for m in PERSON.finditer(text) if not _MARKS.isdisjoint(m[0].split())]
-    taken = sorted((a, b) for _, a, b in base)
+    taken: list[tuple[int, int]] = []  # disjoint, in order
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(b, taken[-1][1])
+        else:
+            taken.append((a, b))
     kept: list[Span] = []
     for kind, a, b in found:
-        if all(b <= x or y <= a for x, y in taken) and all(b <= x or y <= a for _, x, y in kept):
+        i = bisect.bisect_left(taken, (a, b))
+        if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+            taken.insert(i, (a, b))
             kept.append((kind, a, b))
     return kept
 
