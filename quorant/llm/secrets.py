@@ -89,7 +89,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         {_all_spans(ASSIGN, 0, ASSIGN, _matches(ASSIGN, least))},
         {_all_spans(ACCESS, 1, 'AKIA[A-Z0-9]{16}', _matches(ACCESS, 'char_length(m) >= 20'))},
         {_all_spans(HEX, 2, '[0-9a-f]{24}', _matches(HEX, 'char_length(m) >= 24'))}))"""))
-    tested = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20}"
+    tested = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20}"  # looks ahead once a run
     added = base.withColumn("added", F.expr(_all_spans(CANDIDATE, 3, tested, _matches(CANDIDATE, _entropy_ok()))))
     apart = "filter(added, c -> NOT exists(base, b -> b.at < c.upto AND c.at < b.upto))"
     return added.select("doc", "text", "base", F.expr(f"sort_array(concat(base, {apart}))").alias("spans"))
