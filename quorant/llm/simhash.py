@@ -14,8 +14,9 @@ Joins are sort-merge joins, which Spark splits where a key is hot, whatever the
 sizes: nothing is broadcast. Copies share a fingerprint and are one row before any of this. Links between
 distinct fingerprints are bounded (at most 2080 each) and go to connected
 components. Nulls and empty texts have fingerprint 0. Repeated rows get a row
-each; a null doc_id is never the least of a component. Other columns are
-ignored by `near_duplicates` and kept by `keep_first`.
+each; a null doc_id is never the least of a component. Rows without a doc_id
+cannot stand for their group, so `keep_first` keeps one of each text of theirs.
+Other columns are ignored by `near_duplicates` and kept by `keep_first`.
 """
 
 from __future__ import annotations
@@ -156,11 +157,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates: that of its least doc_id."""
-    kept = near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("kept_id"))
-    same = packed.alias("p").join(kept.alias("k").hint("merge"), F.expr("p.kept_id <=> k.kept_id"), "left_semi")
+    named = docs.filter("doc_id IS NOT NULL")
+    kept = near_duplicates(named).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    packed = named.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("kept_id"))
+    same = packed.join(kept.hint("merge"), "kept_id", "left_semi")
     nth = F.row_number().over(W.partitionBy("kept_id").orderBy("kept_id"))
-    return same.withColumn("nth", nth).filter("nth = 1").select("doc.*")
+    first = same.withColumn("nth", nth).filter("nth = 1").select("doc.*")
+    nameless = docs.filter("doc_id IS NULL").select(F.struct("*").alias("doc"), F.sha2("text", 256).alias("digest"))
+    return first.unionByName(nameless.groupBy("digest").agg(F.first("doc").alias("doc")).select("doc.*"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
