@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +11,8 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from quorant.llm import bpe, chat, common, components, langid, packing, pii, prefixhash, quality, registry, secrets, sharding, simhash
 from tokenizers import Tokenizer
@@ -161,6 +164,11 @@ def test_simhash_links_and_components(spark, sf, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(part.values()))
 
 
+def test_rows_without_an_id_are_kept_once_a_text(spark):
+    docs = spark.createDataFrame([(None, "a b c d", "x"), (None, "a b c d", "x"), (None, "e f g", None), (None, None, "y"), (3, "h i", "z"), (2, "H I", "z")], "doc_id long, text string, kept_id string")
+    assert sorted(map(tuple, simhash.keep_first(docs).collect()), key=repr) == sorted([(None, "a b c d", "x"), (None, "e f g", None), (None, None, "y"), (2, "H I", "z")], key=repr)
+
+
 def test_anchors_miss_no_pair():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 300, np.int64)
@@ -191,6 +199,26 @@ def test_pii_base_spans(spark, sf, rows):
             assert set(filter(None, told.split(","))) <= set(r.spans.split(","))
 
 
+@given(st.text("a1.@-_é \n", max_size=40))
+@settings(max_examples=2000, deadline=None)
+def test_pii_patterns_are_those_of_the_contract(text):
+    spans = [[s[1:] for s in pii.base_spans(text) if s[0] == k] for k in (0, 1)]
+    assert spans[0] == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert spans[1] == [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+
+
+def test_pii_of_very_long_runs():
+    zeros = "0" * 5_000
+    assert [s[0] for s in pii.base_spans(f"{zeros}1.2.3.{zeros}255 {zeros}1.2.3.256")] == [1]
+    for run in ("a" * 400_000, "1" * 400_000, "a@" * 200_000, "1." * 200_000, "A-" * 200_000, "0 " * 200_000):
+        began = time.perf_counter()
+        pii.added_candidates(run, pii.base_spans(run))
+        assert time.perf_counter() - began < 10
+    many = " ".join(f"u{i}@b.co 123-45-{i:04d}" for i in range(1, 9_000))
+    base = pii.base_spans(many)
+    assert len(base) == 8_999 and len(pii.added_candidates(many, base)) == 8_999
+
+
 def test_pii_added_spans_and_estimates(spark):
     said = "My name is James Miller and ssn 123-45-6789, or james (at) mail (dot) com. Order 2020-01-01 total"
     docs = spark.createDataFrame([(i, said) for i in range(5)] + [(9, "a@b.co 1.2.3.4")], "doc_id long, text string")
@@ -305,6 +333,16 @@ def test_secrets(spark, sf, rows):
         assert not any(find_secrets(r.text or "")[:3]) and (r.text is None or r.n_chars == len(r.text))
 
 
+def test_secrets_in_very_long_runs(spark):
+    """A run of letters is looked through once; the digit at its end still makes it a candidate."""
+    key = "wJalrXUtnFEMIKMDENGbPxRfiCYzQ"
+    docs = spark.createDataFrame([(0, "a" * 1_000_000), (1, f"{key}7 {'b' * 300_000}"), (2, key)], "doc_id long, text string")
+    began = time.perf_counter()
+    spans = {r.doc.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(docs).collect()}
+    # The first text is a run of hex digits, so the base pattern takes all of it.
+    assert spans == {0: [(0, 2, 1_000_000)], 1: [(0, 3, len(key) + 1), (len(key) + 2, 2, len(key) + 2 + 300_000)], 2: []} and time.perf_counter() - began < 60
+
+
 def test_shards(spark, sf, rows):
     found = registry.QUERIES["op10_sharding"](spark, sf).collect()
     want = Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, _, _ in rows)
