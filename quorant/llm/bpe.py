@@ -34,6 +34,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,6 +129,7 @@ def split_blocks(docs: DataFrame, buckets: int, block_chars: int = BLOCK_CHARS)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, ids, rows, size = _Places(), [], [], 0
+        partition, nth = TaskContext.get().partitionId(), 0
 
         def flush() -> pa.RecordBatch:
             words = [w.encode() for w in places]
@@ -136,8 +138,8 @@ def split_blocks(docs: DataFrame, buckets: int, block_chars: int = BLOCK_CHARS)
             moved = np.empty(len(words), np.int64)
             moved[order] = np.arange(len(words))
             counts = np.bincount(moved[np.concatenate(rows)], minlength=len(words))
-            # A block's name follows from its documents, so that a repeated task gives the same rows.
-            block = int.from_bytes(hashlib.sha256(repr((ids, len(words), size)).encode()).digest()[:8], "little", signed=True)
+            # A block's name is its partition and its place there: no two blocks share it, and a repeated task gives the same rows.
+            block = partition << 32 | nth
             lists = [(b, _pack_words([words[i] for i in part])) for b, part in groupby(order, of.__getitem__)]
             rank = _ranks(counts)[1]
             data = _packed(rank[moved[np.concatenate(rows)]])
@@ -149,7 +151,7 @@ def split_blocks(docs: DataFrame, buckets: int, block_chars: int = BLOCK_CHARS)
                 text = text.as_py() or ""
                 if rows and size + len(text) > block_chars:
                     yield flush()
-                    places, ids, rows, size = _Places(), [], [], 0
+                    places, ids, rows, size, nth = _Places(), [], [], 0, nth + 1
                 ids.append(doc)
                 rows.append(np.fromiter(map(places.__getitem__, WORD.findall(text)), np.uint32))
                 size += len(text)

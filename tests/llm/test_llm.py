@@ -258,6 +258,22 @@ def test_bpe_is_the_library(spark, sf, rows):
     assert sum(map(len, found.values())) == sum(map(len, small.values())) == len(rows)
 
 
+def test_bpe_of_equal_blocks_and_null_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    schema = "doc_id long, text string"
+    part = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1)
+    docs = part((1, "one two"), (2, "three"))
+    apart = docs.unionByName(docs).unionByName(part((None, "ab"))).unionByName(part((None, "cd")))
+    tok = Tokenizer.from_file(path)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for doc, text in [(1, "one two"), (2, "three")] * 2 + [(None, "ab"), (None, "cd")]:
+        ids = tok.encode(text, add_special_tokens=False).ids
+        want.append((doc, len(ids), sha(",".join(map(str, ids))), sha(text)))
+    for size in (1, bpe.BLOCK_CHARS):
+        assert sorted(map(tuple, bpe.encode_documents(apart, path, size).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_fingerprints_follow_the_next_document(spark, sf, rows):
     found = got(registry.QUERIES["op7_fingerprints"](spark, sf))
     order = sorted(rows, key=lambda r: (r[0], r[1] or ""), reverse=True)
