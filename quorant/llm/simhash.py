@@ -14,9 +14,11 @@ Joins are sort-merge joins, which Spark splits where a key is hot, whatever the
 sizes: nothing is broadcast. Copies share a fingerprint and are one row before any of this. Links between
 distinct fingerprints are bounded (at most 2080 each) and go to connected
 components. Nulls and empty texts have fingerprint 0. Repeated rows get a row
-each; a null doc_id is never the least of a component. Rows without a doc_id
-cannot stand for their group, so `keep_first` keeps one of each text of theirs.
-Other columns are ignored by `near_duplicates` and kept by `keep_first`.
+each; a null doc_id is never the least of a component. `keep_first` keeps the
+first row of each component by doc_id (nulls last), then the text's digest, then
+the other columns, so rows that share a doc_id, or have none, are compared like
+all others. Other columns are ignored by `near_duplicates` and kept by
+`keep_first`.
 """
 
 from __future__ import annotations
@@ -27,8 +29,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialise
@@ -61,15 +62,16 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist())
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *others: Column) -> DataFrame:
+    """doc_id, fp, the fingerprint as a signed long, and the string columns `others`."""
+    names = docs.select(*others).columns
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], names=["doc_id", "fp", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(compute, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *others).mapInArrow(compute, ", ".join(["doc_id long, fp long", *(f"{n} string" for n in names)]))
 
 
 def _remainder(word: int) -> int:
@@ -142,29 +144,35 @@ def links(fps: DataFrame) -> DataFrame:
     return met.select(F.col("h.fp").alias("u"), F.col("r.fp").alias("v"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of each document."""
-    found = materialise(fingerprints(docs), "fingerprints")
-    classes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+def components(found: DataFrame, rank: str | Column) -> DataFrame:
+    """fp and component_id, the least `rank` of the rows of `found` in its component, of each distinct fp."""
+    classes = materialise(found.groupBy("fp").agg(F.min(rank).alias("least")), "classes")
     parts = connected_components(links(classes.select("fp")))
     linked = classes.join(parts.hint("merge"), F.col("fp") == F.col("node")).select("fp", "least", "component")
     lowest = linked.groupBy("component").agg(F.min("least").alias("lowest"))
     of_linked = linked.join(lowest.hint("merge"), "component").select(F.col("fp").alias("linked_fp"), "lowest")
-    named = classes.join(of_linked.hint("merge"), F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
+    return classes.join(of_linked.hint("merge"), F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of each document."""
+    found = materialise(fingerprints(docs), "fingerprints")
     # Written, so that both sides of the last join come straight from an exchange: then Spark splits the fingerprint of a large group of copies.
-    return found.join(materialise(named, "components").hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    named = materialise(components(found, "doc_id"), "components")
+    return found.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates: that of its least doc_id."""
-    named = docs.filter("doc_id IS NOT NULL")
-    kept = near_duplicates(named).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    packed = named.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("kept_id"))
-    same = packed.join(kept.hint("merge"), "kept_id", "left_semi")
-    nth = F.row_number().over(W.partitionBy("kept_id").orderBy("kept_id"))
-    first = same.withColumn("nth", nth).filter("nth = 1").select("doc.*")
-    nameless = docs.filter("doc_id IS NULL").select(F.struct("*").alias("doc"), F.sha2("text", 256).alias("digest"))
-    return first.unionByName(nameless.groupBy("digest").agg(F.first("doc").alias("doc")).select("doc.*"))
+    """The first row of each group of near-duplicates, by doc_id (nulls last), digest of the text and the other columns."""
+    # Rows of the same doc_id and text share a key; there is no doc_id in the key of a row without one.
+    key = F.concat_ws(":", F.col("doc_id").cast("long"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = materialise(fingerprints(docs, key.alias("key")), "fingerprints")
+    rank = F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "key")
+    kept = components(found, rank).select("component_id.key").distinct()
+    others = F.to_json(F.struct(*[f"`{c}`" for c in docs.columns if c != "text"]))
+    packed = docs.select(key.alias("key"), F.struct("*").alias("doc"), F.struct(F.isnull("text").alias("null_text"), others.alias("others")).alias("order"))
+    # One row of each key before the join: copies meet map-side.
+    return packed.groupBy("key").agg(F.min_by("doc", "order").alias("doc")).join(kept.hint("merge"), "key", "left_semi").select("doc.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,16 @@ def test_rows_without_an_id_are_kept_once_a_text(spark):
     assert sorted(map(tuple, simhash.keep_first(docs).collect()), key=repr) == sorted([(None, "a b c d", "x"), (None, "e f g", None), (None, None, "y"), (2, "H I", "z")], key=repr)
 
 
+def test_one_row_of_each_group_whatever_its_ids(spark):
+    a, b, c = "a b c d", "e f g h", "i j k l"
+    schema = "doc_id long, text string, kept_id string"
+    clash = [(1, a, "x"), (1, b, "y"), (1, b.upper(), "y"), (0, b, "z"), (2, c, "x"), (2, c, "w"), (None, c.upper(), "y"), (None, "m n o", "y"), (None, "M n o", "y")]
+    found = [tuple(r) for r in simhash.keep_first(spark.createDataFrame(clash, schema)).collect()]
+    first = min(("m n o", "M n o"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert sorted(found, key=repr) == sorted([(1, a, "x"), (0, b, "z"), (2, c, "w"), (None, first, "y")], key=repr)
+    assert sorted(map(tuple, simhash.keep_first(spark.createDataFrame([(7, a, "x"), (7, b, "y"), (7, c, "z")], schema)).collect())) == [(7, a, "x"), (7, b, "y"), (7, c, "z")]
+
+
 def test_anchors_miss_no_pair():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 300, np.int64)
