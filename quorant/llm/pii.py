@@ -48,6 +48,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MASKED = re.compile(r"[A-Za-z0-9._%+-]{2,64} ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{2,64}(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]{2,32}){1,4}", re.IGNORECASE)
+#: Part of every masked address.
+AT = re.compile(r"[\[({] ?[aA][tT] ?[\])}]")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])")
@@ -60,6 +62,9 @@ FIRST_NAMES = frozenset(
 )
 HONORIFICS = frozenset("Mr Mrs Ms Dr Prof Mme Mlle Herr Frau Señor Señora Mr. Mrs. Ms. Dr. Prof. Mme. Sr. Sra.".split())
 _MARKS = FIRST_NAMES | HONORIFICS
+#: A mark within a match of PERSON has no word character beside it, so it is among the text's words (or ends of words) with a capital.
+_WORDS = frozenset(m.rstrip(".") for m in _MARKS)
+CAPITALISED = re.compile(r"[A-Z]\w+")
 PERSON = re.compile(r"(?<!\w)(?:(?:%s)\.? )*[A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+)+" % "|".join(sorted({h.rstrip(".") for h in HONORIFICS})))
 BEFORE = re.compile(r"(?:e-?mail|contact|phone|tel|call|fax|mobile|reach|write to|card|ssn|social security|iban|account|born|birth|dob|name is|named|signed|patient|dear|by|ip|address|from)\W{0,4}(?:is|at|no|on)?\W{0,3}$", re.IGNORECASE)
 NOT_BEFORE = re.compile(r"(?:version|v|release|isbn|issn|section|chapter|figure|table|order|invoice|ticket|page|pp|doi|lot|part|build|revision)\W{0,3}(?:no|nr|number)?\W{0,3}$", re.IGNORECASE)
@@ -140,12 +145,11 @@ def votes(text: str, span: Span) -> list[int]:
 def added_candidates(text: str, base: list[Span]) -> list[Span]:
     """Further candidates, none overlapping a base span or one before it."""
     found: list[Span] = []
-    lower = text.lower() if "at" in text or "AT" in text else ""
-    if any(x in lower for x in ("(at)", "[at]", "{at}", "( at", "[ at", "{ at")):
+    if AT.search(text):
         found += [(4, *m.span()) for m in MASKED.finditer(text)]
     for kind, pattern in ((5, SSN), (6, IBAN), (7, LOCAL_PHONE), (8, BIRTH)):
         found += [(kind, *m.span()) for m in pattern.finditer(text)]
-    if not _MARKS.isdisjoint(text.split()):
+    if not _WORDS.isdisjoint(CAPITALISED.findall(text)):
         found += [(9, *m.span()) for m in PERSON.finditer(text) if not _MARKS.isdisjoint(m[0].split())]
     taken: list[tuple[int, int]] = []  # disjoint, in order
     for a, b in sorted((a, b) for _, a, b in base):

@@ -229,6 +229,18 @@ def test_pii_of_very_long_runs():
     assert len(base) == 8_999 and len(pii.added_candidates(many, base)) == 8_999
 
 
+def test_pii_candidates_that_touch_punctuation():
+    for text, kind, span in (('"Mary Smith"', 9, (1, 11)), ("(Dr. John Miller)", 9, (1, 16)), ("-Mary Smith,Hans Meier.", 9, (1, 11)), ("joe (at ) mail.com", 4, (0, 18)), ("joe [At] mail.com", 4, (0, 17)), ("joe {aT } mail.com", 4, (0, 18))):
+        assert (kind, *span) in pii.added_candidates(text, []), text
+
+
+@given(st.text("MaryDJ. (\"'-\n", max_size=30).map(lambda t: t.replace("M", "Mary ").replace("D", "Dr.")))
+@settings(max_examples=2000, deadline=None)
+def test_pii_prefilter_of_persons_loses_none(text):
+    want = [m.span() for m in pii.PERSON.finditer(text) if not pii._MARKS.isdisjoint(m[0].split())]
+    assert [s[1:] for s in pii.added_candidates(text, []) if s[0] == 9] == want
+
+
 def test_pii_added_spans_and_estimates(spark):
     said = "My name is James Miller and ssn 123-45-6789, or james (at) mail (dot) com. Order 2020-01-01 total"
     docs = spark.createDataFrame([(i, said) for i in range(5)] + [(9, "a@b.co 1.2.3.4")], "doc_id long, text string")
