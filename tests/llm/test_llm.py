@@ -262,6 +262,14 @@ def test_chat_round_trip_of_nulls_ties_and_control_strings(spark, tmp_path):
         assert r.t == r.u and not re.search(chat.CONTROL, r.e)
 
 
+def test_chat_keeps_turns_too_long_for_json(spark):
+    text = F.when(F.col("id") == 1, F.repeat(F.lit("x"), 21_000_000)).otherwise(F.lit("short"))
+    rows = spark.range(3).select((F.col("id") == 2).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), text.alias("text"))
+    out = chat.format_conversations(rows.unionByName(rows.filter("id = 1").withColumn("conv_id", F.lit(5).cast("long"))))
+    found = {r.conv_id: (r.n, r.size) for r in out.select("conv_id", F.size(chat.read_turns(F.col("formatted"))).alias("n"), F.length(chat.read_loss(F.col("formatted"), F.col("mask"))).alias("size")).collect()}
+    assert found == {0: (2, 21_000_005), 1: (1, 5), 5: (1, 21_000_000)}
+
+
 def test_chat_layouts(spark):
     records = ['{"prompt":"p","response":"r"}', '{"instruction":"i","input":"n","output":"o"}', '{"messages":[{"role":"user","content":"m"}]}', '{"conversations":[{"from":"human","value":"h"},{"value":"g","from":"gpt"}]}', '{"other":1}', "no json", None]
     found = [r.turns and [tuple(t) for t in r.turns] for r in chat.canonical_turns(spark.createDataFrame([(r,) for r in records], "record string").coalesce(1)).collect()]
