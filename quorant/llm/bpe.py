@@ -7,18 +7,22 @@ white space and are found inside a word).
 
 1. Split: documents are read in blocks of bounded size. A block keeps each of
    its distinct words once; its documents become positions in that list.
-2. Distinct-word table: the blocks' words are dealt to buckets by hash and meet
-   in their bucket, where each distinct word is encoded once; the ids go back
-   to the blocks that hold the word.
-3. Join by position: a block's ids and its documents' positions meet again and
-   give each document's ids. Decoding joins the ids to their pieces, again once
-   for each distinct word of a block, and puts the bytes together by position.
-
-Words and ids travel as compressed lists per (block, bucket), not as a row for
-each word, which is what keeps the shuffles below the input's size. A frequent
-word occurs once per block at most, so no bucket is hot. Null and empty texts
-have no ids. Repeated rows each get a row. Empty tables give no rows. Other
-columns are ignored.
+2. Distinct-word table: the blocks' word lists are dealt to buckets by hash and
+   read there one after the other. A word that its bucket has not seen gets the
+   next number, is encoded and becomes a row (bucket, number, word, ids); a list
+   becomes its words' numbers. A worker holds the distinct words of one bucket
+   and one list, whatever the number of blocks.
+3. Decoding: the table's ids join the table of the vocabulary's pieces, and a
+   word's pieces are put together in order of place.
+4. Join by position: numbers give each block its words' ids and decoded bytes,
+   and a block's positions give each document's.
+
+A list of words, numbers or ids travels as one compressed value per (block,
+bucket), not as a row for each word, which keeps what is written and shuffled
+below the disk budget. A frequent word occurs once per block at most, so no
+bucket is hot. Null and empty texts have no ids. Repeated rows each get a row,
+and so do rows without a doc_id. Empty tables give no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +36,6 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -117,7 +120,7 @@ class _Places(dict):
         return n
 
 
-BLOCKS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.string())), ("sizes", pa.binary()), ("counts", pa.binary()), ("data", pa.binary())])
+BLOCKS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("counts", pa.binary()), ("data", pa.binary())])
 
 
 def split_blocks(docs: DataFrame, buckets: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -158,49 +161,95 @@ def split_blocks(docs: DataFrame, buckets: int, block_chars: int = BLOCK_CHARS)
         if rows:
             yield flush()
 
-    # doc_id travels as text, since pandas would make long values with nulls floats.
-    return docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(split, "block long, bucket int, doc_ids array<string>, sizes binary, counts binary, data binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, "block long, bucket int, doc_ids array<long>, sizes binary, counts binary, data binary")
 
 
-def encode_words(lists: DataFrame, path: str) -> DataFrame:
-    """(block, bucket, data) of word lists with the words' ids: counts, then all ids. Each distinct word is encoded once."""
+WORD_TABLE = pa.schema([("bucket", pa.int32()), ("number", pa.int32()), ("word", pa.string()), ("ids", pa.list_(pa.int32())), ("block", pa.int64()), ("numbers", pa.binary())])
+TABLE = "bucket int, number int, word string, ids array<int>, block long, numbers binary"
 
-    def encode(group: pd.DataFrame) -> pd.DataFrame:
-        held = [_unpack_words(d) for d in group["data"]]
-        words = list(set().union(*held))
-        ids = {}
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            ids.update(zip(part, (e.ids for e in _tokenizer(path).encode_batch_fast([w.decode() for w in part], add_special_tokens=False)), strict=True))
+
+def number_words(lists: DataFrame, path: str) -> DataFrame:
+    """From the word lists (block, bucket, data): a row (bucket, number, word, ids) for each distinct word, and a row (bucket, block, numbers) for each list."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, current = _Places(), None
+        for batch in batches:
+            for block, bucket, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != current:
+                    places, current = _Places(), bucket
+                known = len(places)
+                words = _unpack_words(data)
+                numbers = np.fromiter(map(places.__getitem__, words), np.uint32, len(words))
+                new = [words[i].decode() for i in np.flatnonzero(numbers >= known).tolist()]
+                for i in range(0, len(new), 20_000):
+                    part = new[i : i + 20_000]
+                    ids = [e.ids for e in _tokenizer(path).encode_batch_fast(part, add_special_tokens=False)]
+                    n = len(part)
+                    columns = [np.full(n, bucket, np.int32), np.arange(known + i, known + i + n, dtype=np.int32), part, ids, [None] * n, [None] * n]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, WORD_TABLE, strict=True)], schema=WORD_TABLE)
+                yield pa.RecordBatch.from_pylist([{"bucket": bucket, "block": block, "numbers": _packed(numbers)}], schema=WORD_TABLE)
+
+    return lists.select("block", "bucket", "data").mapInArrow(number, TABLE)
+
+
+def with_pieces(words: DataFrame, pieces_table: DataFrame) -> DataFrame:
+    """(word_bucket, number, ids, decoded) of the distinct words (bucket, number, ids), through a join of each id to its piece (id, piece)."""
+    # As many pieces as the vocabulary has, whatever the corpus.
+    placed = words.select(F.col("bucket").alias("word_bucket"), "number", F.posexplode("ids").alias("at", "id")).join(F.broadcast(pieces_table), "id")
+    spelled = placed.groupBy("word_bucket", "number").agg(F.sort_array(F.collect_list(F.struct("at", "id", F.hex("piece").alias("piece")))).alias("ps"))
+    return spelled.select("word_bucket", "number", F.col("ps.id").alias("ids"), F.unhex(F.array_join("ps.piece", "")).alias("decoded"))
+
+
+def _pack_all(*parts: bytes) -> bytes:
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def _unpack_all(data: bytes) -> Iterator[bytes]:
+    at = 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        yield data[at + 4 : at + 4 + n]
+        at += 4 + n
+
+
+def spell_lists(lists: DataFrame, words: DataFrame) -> DataFrame:
+    """(block, bucket, data): the counts of ids, the ids and the decoded bytes of the words of each list (bucket, block, numbers)."""
+
+    def spell(held: pa.Table, table: pa.Table) -> pa.Table:
+        numbers = table["number"].to_numpy()
+        order = np.argsort(numbers)
+        assert (numbers[order] == np.arange(len(order))).all()  # every word has its row
+        ids = table["ids"].take(pa.array(order)).combine_chunks()
+        flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+        decoded = table["decoded"].take(pa.array(order)).to_pylist()
         out = []
-        for ws in held:
-            found = [ids[w] for w in ws]
-            counts = _packed(np.array([len(f) for f in found], np.uint32))
-            out.append(len(counts).to_bytes(4, "little") + counts + _packed(np.array([x for f in found for x in f], np.uint32)))
-        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "data": out})
+        for data in held["numbers"].to_pylist():
+            own = _unpacked(data).astype(np.int64)
+            sizes = ends[own + 1] - ends[own]
+            at = np.repeat(ends[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            out.append(_pack_all(_packed(sizes), _packed(flat[at]), _pack_words([decoded[i] for i in own.tolist()])))
+        return pa.table([held["block"], held["bucket"], pa.array(out, pa.binary())], names=["block", "bucket", "data"])
 
-    return lists.groupBy("bucket").applyInPandas(encode, "block long, bucket int, data binary")
+    return lists.groupBy("bucket").cogroup(words.groupBy("word_bucket")).applyInArrow(spell, "block long, bucket int, data binary")
 
 
-COLUMNS = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def join_back(placed: DataFrame, encoded: DataFrame, path: str) -> DataFrame:
+def join_back(placed: DataFrame, spelled: DataFrame) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text of each document."""
 
-    def join(rows: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-        piece = pieces(path)
-        block = rows.iloc[0]
+    def join(rows: pa.Table, lists: pa.Table) -> pa.Table:
+        block, *others = rows.to_pylist()
+        assert not others
         order = _ranks(_unpacked(block["counts"]))[0].tolist()
         numbers, decoded, counts = [], [], []
-        for data in lists.sort_values("bucket")["data"]:
-            n = int.from_bytes(data[:4], "little")
-            size, ids = _unpacked(data[4 : 4 + n]), _unpacked(data[4 + n :]).tolist()
+        for data in lists.sort_by("bucket")["data"].to_pylist():
+            sizes, ids, words = _unpack_all(data)
+            size, ids = _unpacked(sizes), _unpacked(ids).tolist()
             ends = np.cumsum(size).tolist()
-            for a, b in zip([0, *ends], ends):  # noqa: B905
-                own = ids[a:b]
-                numbers.append(",".join(map(str, own)))
-                decoded.append(b"".join([piece[i] for i in own]))
+            numbers += [",".join(map(str, ids[a:b])) for a, b in zip([0, *ends], ends)]  # noqa: B905
+            decoded += _unpack_words(words)
             counts.append(size)
         numbers, decoded = [numbers[i] for i in order], [decoded[i] for i in order]
         count = np.concatenate(counts).astype(np.int64)[order] if counts else np.zeros(0, np.int64)
@@ -212,22 +261,32 @@ def join_back(placed: DataFrame, encoded: DataFrame, path: str) -> DataFrame:
             text = b"".join([decoded[i] for i in own]).decode("utf-8", "replace")
             told = ",".join([numbers[i] for i in own])
             out.append((doc, int(count[at].sum()), hashlib.sha256(told.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-        return pd.DataFrame(out, columns=COLUMNS)
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), DOCUMENTS, strict=True)], schema=DOCUMENTS)
 
-    return placed.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(join, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
+    spelled = spelled.withColumnRenamed("block", "of_block")
+    return placed.groupBy("block").cogroup(spelled.groupBy("of_block")).applyInArrow(join, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _bucketed(df: DataFrame, by: str, parts: int, name: str, codec: str) -> DataFrame:
+    """`df` written to the shared folder in buckets of `by`, so that what meets by it is not shuffled again."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, by).options(path=shared_path(spark, name), compression=codec).saveAsTable(table)
+    found = spark.table(table)
+    found.schema  # noqa: B018  (analysed while the name is there)
+    spark.sql(f"DROP TABLE {table}")  # the name alone: the files stay in the shared folder
+    return found
 
 
 def encode_documents(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Bucketed by block, so that the positions, the larger part, are not shuffled again to meet their ids.
-    name = f"word_blocks_{uuid.uuid4().hex}"
-    split_blocks(docs, 2 * parts, block_chars).write.bucketBy(parts, "block").options(path=shared_path(spark, "word-blocks"), compression="none").saveAsTable(name)
-    blocks = spark.table(name)
-    encoded = encode_words(blocks.filter("bucket IS NOT NULL").select("block", "bucket", "data"), path)
-    made = join_back(blocks.filter("bucket IS NULL").drop("bucket"), encoded, path)
-    spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay in the shared folder
-    return made
+    blocks = _bucketed(split_blocks(docs, 2 * parts, block_chars), "block", parts, "word_blocks", "none")
+    lists = blocks.filter("bucket IS NOT NULL").select("block", "bucket", "data").repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
+    table = _bucketed(number_words(lists, path), "bucket", parts, "word_table", "zstd")
+    pieces_table = spark.createDataFrame(list(enumerate(map(bytearray, pieces(path)))), "id int, piece binary")
+    words = with_pieces(table.filter("block IS NULL").select("bucket", "number", "ids"), pieces_table)
+    spelled = spell_lists(table.filter("block IS NOT NULL").select("bucket", "block", "numbers"), words)
+    return join_back(blocks.filter("bucket IS NULL").drop("bucket"), spelled)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
