@@ -11,15 +11,17 @@ points (a shorter text is one span). The likeness of two fingerprints is 1 if
 length and whole hash agree, else the Dice coefficient of their spans as
 estimated from the smallest values.
 
-The query pairs every document with the next one in descending doc_id. Cut
-points of doc_id make blocks of similar counts; each document is sent to its
-block, and the greatest of a block also to the block above, whose last document
-it follows. So texts are shuffled once, in whatever order they are stored.
+The query pairs every document with the next one in descending doc_id. Spark
+deals the documents into ranges of that order and sorts each; a range is read in
+one stream that holds two documents at a time. The first and the last document
+of each range are written beside its rows and meet those of the ranges next to
+it, so texts are shuffled once, in whatever order they are stored.
 
 Null texts count as empty; an empty text has no spans and is like only empty
-texts. Rows of the same doc_id follow each other by text, descending; a null
-doc_id comes last. A table of one row follows itself, an empty one gives no
-rows. Other columns are ignored.
+texts. A null doc_id comes last. Rows of the same doc_id follow each other by
+the XXH64 of their texts, and equal rows by place of storage, so however many
+rows share a doc_id, ranges divide them. A table of one row follows itself, an
+empty one gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialise
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
 SPAN = 12
 KEEP = 32
+#: Most text bytes of a range, on average; there are as many ranges as shuffle partitions at least.
+RANGE_BYTES = 256 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _powers: list[list[np.ndarray]] = []  # [prime][0: powers, 1: inverse powers]
@@ -114,54 +120,76 @@ def likeness(a: tuple[int, int, np.ndarray], b: tuple[int, int, np.ndarray]) ->
     return 2 * both / (len(union) + both) if len(union) else 1.0
 
 
+FOUND = pa.schema(
+    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string())]
+    + [("near_edited", pa.float64()), ("near_next", pa.float64()), ("common_prefix", pa.int64())]
+)
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"
+#: Rows at the ends of a range: its number, whether it is the range's last document, and the document.
+ENDS = [("block", pa.int32()), ("last", pa.bool_()), ("text", pa.string())]
 
 
-def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(block, halo, doc_id, text): each document in its block, and in the block above as a halo if it comes next after that."""
-    ids = docs.select(F.col("doc_id").cast("long"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5))
-    cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", shares, F.lit(100 * parts))).first()[0] or []))  # below `parts`
-    halves = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
-    at = f"array({', '.join(f'{c}L' for c in cuts) or '0L'})"
-    # Binary search: the number of cuts that are at most doc_id.
-    block = F.expr(f"aggregate(array({', '.join(map(str, halves))}), 0, (lo, s) -> CASE WHEN lo + s <= {len(cuts)} AND {at}[least(lo + s, {max(1, len(cuts))}) - 1] <= doc_id THEN lo + s ELSE lo END)")
-    greatest = dict(ids.groupBy(block.alias("block")).agg(F.max("doc_id")).collect())  # one row per block
-    held = sorted(k for k, v in greatest.items() if v is not None) or [0]
-    above = {k: held[(i + 1) % len(held)] for i, k in enumerate(held)}
-    tops = f"array({', '.join('CAST(NULL AS BIGINT)' if greatest.get(k) is None else f'{greatest[k]}L' for k in range(len(cuts) + 1))})"
-    ups = f"array({', '.join(str(above.get(k, 0)) for k in range(len(cuts) + 1))})"
-    placed = docs.select(block.alias("block"), F.col("doc_id").cast("long"), "text")
-    twice = F.expr(f"CASE WHEN doc_id = {tops}[block] THEN array(block, {ups}[block]) ELSE array(block) END")
-    return placed.select(F.posexplode(twice).alias("halo", "block"), "doc_id", "text").select("block", "halo", "doc_id", "text"), parts
+class _Document:
+    def __init__(self, doc_id: int | None, text: str | None) -> None:
+        self.doc_id, self.text = doc_id, text or ""
+        self.hashes = PrefixHashes(self.text)
+        self.fingerprint = self.hashes.fingerprint()
+
+    def before(self, following: _Document) -> tuple:
+        """The row of this document if `following` comes next."""
+        half = len(self.text) // 2
+        edited = self.text[: len(self.text) - half] + following.text[:half]
+        hashes = PrefixHashes(edited)
+        new = hashes.fingerprint()
+        told = hashlib.sha256(edited.encode()).hexdigest(), written(self.fingerprint), written(new)
+        return self.doc_id, len(self.text), *told, likeness(self.fingerprint, new), likeness(self.fingerprint, following.fingerprint), self.hashes.common_extension(0, hashes, 0)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id and text, dealt into ranges of descending doc_id and sorted within each."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = ids.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    keyed = ids.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("nth"))
+    order = [F.desc_nulls_last("doc_id"), F.asc("h"), F.asc("nth")]
+    return keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in COLUMNS.split(", ")]
-        rows, last = [], None  # last: block, doc_id, text, hashes, fingerprint of the row that waits for its next
+    both = pa.schema([*FOUND, *ENDS])
+    none, no_ends = (None,) * (len(FOUND) - 1), (None,) * len(ENDS)
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, waits = TaskContext.get().partitionId(), None
         for batch in batches:
-            for block, halo, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = text or ""
-                hashes = PrefixHashes(text)
-                mine = hashes.fingerprint()
-                if last and last[0] == block:
-                    _, doc_id, old, old_hashes, old_mine = last
-                    half = len(old) // 2
-                    put = text[:half]
-                    edited = old[: len(old) - half] + put
-                    new_hashes = PrefixHashes(edited)
-                    new = new_hashes.fingerprint()
-                    rows.append((doc_id, len(old), hashlib.sha256(edited.encode()).hexdigest(), written(old_mine), written(new), likeness(old_mine, new), likeness(old_mine, mine), old_hashes.common_extension(0, new_hashes, 0)))
-                last = None if halo else (block, doc, text, hashes, mine)
+            rows = []
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                now = _Document(doc_id, text)
+                rows.append((*waits.before(now), *no_ends) if waits else (doc_id, *none, block, False, text))
+                waits = now
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
-                rows = []
+                yield _batch(rows, both)
+        if waits:
+            yield _batch([(waits.doc_id, *none, block, True, waits.text)], both)
 
-    placed, parts = blocks(docs)
-    dealt = placed.repartition(parts, "block").sortWithinPartitions("block", "halo", F.desc_nulls_last("doc_id"), F.desc("text"))
-    return dealt.mapInArrow(run, COLUMNS)
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_Document(doc_id, text).before(_Document(None, after)) for doc_id, text, after in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            if rows:
+                yield _batch(rows, FOUND)
+
+    ends = ", block int, last boolean, text string"
+    found = materialise(in_order(docs).mapInArrow(within, COLUMNS + ends), "fingerprints")
+    first = found.filter("NOT last").select(F.col("block").alias("at"), F.col("text").alias("after"))
+    # One narrow row for each range, whatever the number of documents.
+    blocks = found.filter("NOT last").select("block")
+    following = blocks.select(F.col("block").alias("from"), F.coalesce(F.lead("block").over(W.orderBy("block")), F.min("block").over(W.partitionBy(F.lit(0)))).alias("at"))
+    met = found.filter("last").join(following, F.col("block") == F.col("from")).join(first, "at").select("doc_id", "text", "after")
+    return found.filter("block IS NULL").select(*FOUND.names).unionByName(met.mapInArrow(across, COLUMNS))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
