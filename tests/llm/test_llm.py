@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import time
 import zlib
@@ -304,6 +305,32 @@ def test_bpe_of_equal_blocks_and_null_ids(spark):
         assert sorted(map(tuple, bpe.encode_documents(apart, path, size).collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_bpe_of_a_table_written_twice(spark, tmp_path):
+    """The same file twice in a folder: every row comes back twice."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i % 4 or None, f"text {i} of a part {i * i}") for i in range(6)], "doc_id long, text string").coalesce(1)
+    for _ in range(2):
+        docs.write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    found = bpe.encode_documents(common.documents(spark, str(tmp_path)), path).select("doc_id", "n_tokens", "decoded_sha256").collect()
+    tok = Tokenizer.from_file(path)
+    want = [(d, len(tok.encode(t, add_special_tokens=False).ids), hashlib.sha256(t.encode()).hexdigest()) for d, t in docs.collect() for _ in range(2)]
+    assert Counter(map(tuple, found)) == Counter(want)
+
+
+def test_bpe_encodes_each_distinct_word_once(spark):
+    """One row of each distinct word of a bucket, however many blocks hold it, and its pieces through the join."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, f"the same words {'again ' * i}word{i % 7} é🙂") for i in range(40)], "doc_id long, text string").repartition(5)
+    lists = bpe.split_blocks(docs, 3, 200).filter("bucket IS NOT NULL").select("block", "bucket", "data").repartition(2, "bucket").sortWithinPartitions("bucket", "block")
+    table = bpe.number_words(lists, path).filter("block IS NULL").collect()
+    want = {w for (t,) in docs.select("text").collect() for w in bpe.WORD.findall(t)}
+    assert Counter(r.word for r in table) == Counter(want)
+    pieces = bpe.pieces(path)
+    words = spark.createDataFrame([(r.bucket, r.number, r.ids) for r in table], "bucket int, number int, ids array<int>")
+    decoded = {(r.word_bucket, r.number): bytes(r.decoded).decode() for r in bpe.with_pieces(words, spark.createDataFrame(list(enumerate(map(bytearray, pieces))), "id int, piece binary")).collect()}
+    assert decoded == {(r.bucket, r.number): r.word for r in table}
+
+
 def test_fingerprints_follow_the_next_document(spark, sf, rows):
     found = got(registry.QUERIES["op7_fingerprints"](spark, sf))
     order = sorted(rows, key=lambda r: (r[0], r[1] or ""), reverse=True)
@@ -318,6 +345,53 @@ def test_fingerprints_follow_the_next_document(spark, sf, rows):
     assert {len(r.fingerprint.split("-")) for rs in found.values() for r in rs} == {3}
 
 
+def slow_fingerprint(text):
+    """The fingerprint as the docstring states it, without prefix arrays; also the set of mixed hashes of spans."""
+    if not text:
+        return "0-" + "0" * 16 + "-", set()
+    whole = lambda t: [sum((ord(c) + 1) * pow(b, j, p) for j, c in enumerate(t)) % p for p, b in zip(prefixhash.PRIMES, prefixhash.BASES)]
+    joined = lambda t: (lambda high, low: high << 31 | low)(*whole(t))
+    n = min(12, len(text))
+    spans = {joined(text[i : i + n]) * 0x9E3779B97F4A7C15 % 2**64 >> 32 for i in range(len(text) - n + 1)}
+    return f"{len(text):x}-{joined(text):016x}-" + "".join(f"{h:08x}" for h in sorted(spans)[:32]), spans
+
+
+def follow(rows):
+    """(doc_id, text, edited) of each of `rows`, by descending doc_id, then hash of the text."""
+    from xxhash import xxh64_intdigest
+
+    signed = lambda x: x - 2**64 * (x >= 2**63)
+    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxh64_intdigest(r[1].encode(), 42))))
+    for (doc, text), (_, after) in zip(order, order[1:] + order[:1]):
+        yield doc, text, after, text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+
+
+@pytest.mark.parametrize("ids", [[None] * 3, [None], [1, 2, None, None], [5], [7] * 9, [3, 3, 1, None, 2], list(range(30)), [None, 4] * 8])
+def test_fingerprints_of_any_ids_against_brute_force(spark, ids):
+    said = ["stone and river in winter " * (1 + k % 3) + "x" * (k % 5) for k in range(len(ids))]
+    said[0] = None if len(ids) % 2 else ""
+    rows = list(zip(ids, said))
+    found = prefixhash.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    want = []
+    for doc, text, after, edited in follow(rows):
+        prints = [slow_fingerprint(t)[0] for t in (text, edited, after)]
+        want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), *prints[:2], len(os.path.commonprefix([text, edited]))))
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.common_prefix) for r in found.collect()]
+    assert Counter(got) == Counter(want)
+
+
+def test_likeness_against_exact_span_sets(spark):
+    """How far the likeness of two fingerprints is from the Dice coefficient of all their spans."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 3000").collect()]
+    found = {r.doc_id: r for r in prefixhash.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    errors = []
+    for doc, text, after, edited in follow(rows):
+        a, b, c = (slow_fingerprint(t)[1] for t in (text, edited, after))
+        dice = lambda x, y: 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+        errors += [abs(found[doc].near_edited - dice(a, b)), abs(found[doc].near_next - dice(a, c))]
+    assert np.mean(errors) < 0.05 and max(errors) < 0.4, (np.mean(errors), max(errors))
+
+
 def test_prefix_hashes():
     a, b = prefixhash.PrefixHashes("abracadabra"), prefixhash.PrefixHashes("cadabrax")
     assert a.span(0, 4) == a.span(7, 11) != a.span(1, 5) and a.common_extension(4, b, 0) == 7 and a.common_extension(11, b, 0) == 0
