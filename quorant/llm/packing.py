@@ -4,15 +4,21 @@ Whether documents fit together depends on their lengths alone, so the plan is
 made from the histogram of piece lengths: at most MAX_TOKENS rows on the driver
 whatever the size of the corpus. Best-fit decreasing over runs of equal lengths
 gives the incumbent. If it is above the lower bound, a branch-and-bound over
-bins looks for one bin fewer: it takes the largest remaining length, enumerates
-undominated fillings of the rest of its bin, applies each as often as the
-histogram allows, and prunes a branch whose waste exceeds what one bin fewer
-can hold. The plan (runs of equal bins) has a few rows per length; the pieces
-find their places in it by their rank among the pieces of their length.
-
-Tokenising keeps a bounded cache of the ids of pieces of text in each worker. A rank is a row number within (length, bucket) plus the counts of the
-buckets before; the number of buckets grows with the rows, so a length that a
-third of all pieces share is no hot key.
+bins looks for one bin fewer. It takes the largest remaining length and goes
+through the undominated fillings of the rest of its bin, least waste first; sets
+of reachable sums lead it to every filling of a given waste and to nothing
+else. Each filling is applied as often as the histogram allows, later once, so
+that no packing is out of reach, and a branch whose waste exceeds what one bin
+fewer can hold is left. Exhausted without a packing, the search proves that
+there is none; it stops undecided only after NODES turns back, and the incumbent
+stands. The plan (runs of equal bins) has a few rows per length; the pieces find
+their places in it by their rank among the pieces of their length.
+
+Tokenising keeps a bounded cache of the ids of pieces of text in each worker. A
+rank is a row number within (length, bucket) plus the counts of the buckets
+before. Every row is dealt to a bucket by the hash of its place in the written
+table, and a length has as many buckets as its rows ask for, so neither a length
+that a third of all pieces share nor rows that are all alike are a hot key.
 
 Null and empty texts are one piece of the end id. Repeated rows are packed
 each. An empty table gives no rows. Other columns are ignored.
@@ -24,10 +30,12 @@ import bisect
 import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,10 +46,12 @@ MAX_TOKENS = 4096
 END_ID = 1
 #: Strings whose ids a worker keeps; at more the cache starts anew.
 CACHE = 1_000_000
-#: Nodes of the branch-and-bound; then the incumbent stands.
+#: Turns back of the branch-and-bound; then the incumbent stands.
 NODES = 2_000
-#: Pieces that one window group ranks.
-RANKED = 1_000_000
+#: Steps in which one filling is tested against another; undecided, it is kept, which costs time alone.
+TESTED = 2_000
+#: Pieces that one window group ranks, about.
+RANKED = 1_000
 
 
 #: Texts of these characters alone are split here, as the tokenizer's own pattern does; others go through it string by string.
@@ -125,23 +135,27 @@ def encode_texts(texts: list[str | None], path: str) -> Iterator[bytes]:
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+LOT = pa.field("lot", pa.int64())
 
 
 def tokenise(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32 of every piece of every document, and lot, its place in this table."""
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), tokenizer), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                     part = ids[at : at + 4 * max_tokens]
-                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, PIECES, strict=True)], schema=PIECES)
+                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), lot))
+                    lot += 1
+            both = pa.schema([*PIECES, LOT])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(both), both, strict=True)], schema=both)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, lot long")
 
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times) in one bin
@@ -192,55 +206,78 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, Pattern]]
 
 
 def _dominates(big: tuple[int, ...], small: tuple[int, ...]) -> bool:
-    """Whether the items of `small` fit into bins of the sizes in `big` (Martello and Toth)."""
-    if sum(small) > sum(big):
-        return False
-
-    def place(i: int, room: list[int]) -> bool:
-        if i == len(small):
+    """Whether the items of `small` are found to fit into bins of the sizes in `big` (Martello and Toth); items of both are set against each other."""
+    more, rest = Counter(big), Counter(small)
+    room, items = sorted((more - rest).elements()), sorted((rest - more).elements(), reverse=True)
+    steps = TESTED
+
+    def place(i: int) -> bool:
+        nonlocal steps
+        if i == len(items):
             return True
+        steps -= 1
+        if steps < 0 or sum(items[i:]) > sum(room):
+            return False
         for j in range(len(room)):
-            if room[j] >= small[i] and room[j] not in room[:j]:
-                room[j] -= small[i]
-                if place(i + 1, room):
+            if room[j] >= items[i] and room[j] not in room[:j]:
+                room[j] -= items[i]
+                if place(i + 1):
                     return True
-                room[j] += small[i]
+                room[j] += items[i]
         return False
 
-    return place(0, list(big))
+    return place(0)
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, width: int = 6) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room`, least waste first; `lengths`: ascending, those in counts."""
-    found: list[tuple[int, ...]] = []
-
-    def extend(chosen: tuple[int, ...], room: int, upto: int) -> None:
-        at = bisect.bisect_right(lengths, min(room, upto)) - 1
-        tried = 0
-        while at >= 0 and tried < (width if len(chosen) < 2 else 1):
-            length = lengths[at]
-            at -= 1
-            if counts[length] > chosen.count(length):
-                tried += 1
-                extend((*chosen, length), room - length, length)
-        if not tried:
-            found.append(chosen)
+def _reached(counts: dict[int, int], lengths: list[int], room: int) -> list[int]:
+    """For each k, the sums up to `room` that the first k lengths can make, as the bits of an integer."""
+    mask, sums = (1 << room + 1) - 1, 1
+    found = [sums]
+    for length in lengths:
+        left, times = min(counts[length], room // length), 1
+        while left:
+            times = min(times, left)
+            sums |= sums << times * length & mask
+            left -= times
+            times *= 2
+        found.append(sums)
+    return found
+
+
+def fillings(counts: dict[int, int], lengths: list[int], room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of `room` that leave at most `most_waste`, least waste first; `lengths`: ascending, those in counts."""
+    usable = lengths[: bisect.bisect_right(lengths, room)]
+    reached = _reached(counts, usable, room)
+
+    def exactly(size: int, k: int) -> Iterator[tuple[int, ...]]:
+        """Items from the first k lengths of this total size, large ones first."""
+        if not size:
+            yield ()
+        for j in range(min(k, bisect.bisect_right(usable, size)) - 1, -1, -1):
+            length = usable[j]
+            for times in range(min(counts[length], size // length), 0, -1):
+                if reached[j] >> size - times * length & 1:
+                    for rest in exactly(size - times * length, j):
+                        yield (length,) * times + rest
+            if not reached[j] >> size & 1:
+                return
 
-    extend((), room, room)
-    found.sort(key=lambda f: (room - sum(f), len(f)))
     kept: list[tuple[int, ...]] = []
-    for f in found:
-        if not any(len(f) <= 8 and f != g and _dominates(g, f) for g in kept):
-            kept.append(f)
-    return kept
+    for waste in range(min(most_waste, room) + 1):
+        if reached[-1] >> room - waste & 1:
+            for found in exactly(room - waste, len(usable)):
+                more = next((x for x in usable if counts[x] > found.count(x)), waste + 1)
+                if more > waste and not any(_dominates(g, found) for g in kept):
+                    kept.append(found)
+                    yield found
 
 
 def complete_bins(counts: dict[int, int], capacity: int, most_waste: int, nodes: int = NODES) -> list[tuple[int, Pattern]] | None:
-    """Branch-and-bound: bins whose total waste is at most `most_waste`, or None within `nodes` nodes."""
+    """Branch-and-bound: bins whose total waste is at most `most_waste`; None if there are none, or none is found within `nodes` turns back."""
     left, waste = dict(counts), 0
     lengths = sorted(left)
     path: list[tuple[int, tuple[int, ...], int]] = []  # times, items, waste
-    stack: list[Iterator[tuple[int, ...]]] = []
+    stack: list[Iterator[tuple[tuple[int, ...], bool]]] = []
 
     def take(times: int, items: tuple[int, ...], sign: int) -> None:
         for x in items:
@@ -250,19 +287,27 @@ def complete_bins(counts: dict[int, int], capacity: int, most_waste: int, nodes:
             if not left[x]:
                 del lengths[bisect.bisect_left(lengths, x)]
 
-    def branch() -> Iterator[tuple[int, ...]]:
+    def branch() -> Iterator[tuple[tuple[int, ...], bool]]:
+        """Fillings of a bin with the largest length left, first all of them as often as can be, then once."""
         top = lengths[-1]
         left[top] -= 1
-        options = fillings(left, lengths, capacity - top)
+        now = {x: left[x] for x in lengths}
         left[top] += 1
-        return iter([(top, *f) for f in options])
+        own = [x for x in lengths if now[x]]
+        seen = []
+        for filling in fillings(now, own, capacity - top, most_waste - waste):
+            seen.append((top, *filling))
+            yield seen[-1], True
+        for items in seen:
+            if min(left[x] // items.count(x) for x in set(items)) > 1:
+                yield items, False
 
     if not lengths:
         return []
     stack.append(branch())
     while stack and nodes:
         nodes -= 1
-        items = next(stack[-1], None)
+        items, often = next(stack[-1], (None, False))
         if items is None:
             stack.pop()
             if path:
@@ -271,7 +316,7 @@ def complete_bins(counts: dict[int, int], capacity: int, most_waste: int, nodes:
                 take(times, items, 1)
             continue
         lost = capacity - sum(items)
-        times = min(left[x] // items.count(x) for x in items)
+        times = min(left[x] // items.count(x) for x in set(items)) if often else 1
         if lost:
             times = min(times, (most_waste - waste) // lost)
         if times < 1:
@@ -287,7 +332,18 @@ def complete_bins(counts: dict[int, int], capacity: int, most_waste: int, nodes:
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    return max(-(-sum(k * v for k, v in counts.items()) // capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
+    """The greatest bound of Martello and Toth's second kind: items over capacity - k have bins of their own, those over half have one each, and the others down to k fill what these leave."""
+    sizes = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        sizes[length] = n
+    number, total = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(sizes * np.arange(capacity + 1))])  # of lengths below k
+    half = capacity // 2 + 1
+    best = -(-int(total[-1]) // capacity)
+    for k in range(capacity // 2 + 1):
+        alone, over = int(number[-1] - number[capacity - k + 1]), int(number[capacity - k + 1] - number[half])
+        spare = over * capacity - int(total[capacity - k + 1] - total[half])
+        best = max(best, alone + over + max(0, -((spare - int(total[half] - total[k])) // capacity)))
+    return best
 
 
 def plan_bins(counts: dict[int, int], capacity: int = MAX_TOKENS) -> list[tuple[int, Pattern]]:
@@ -324,14 +380,13 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """`pieces` (as tokenise() makes them, written) with sequence_id and offset."""
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # max_tokens rows at most
     key, times, first, offset = _slots(plan_bins(histogram, max_tokens), max_tokens)
-    buckets = 1 + sum(histogram.values()) // RANKED
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    own = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("rank", F.row_number().over(own) - 1)
-    if buckets > 1:
-        sizes = dealt.groupBy("length", "bucket").count()
-        before = F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        ranked = ranked.join(sizes.select("length", "bucket", before.alias("before")), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # One literal for each length: how many buckets its pieces are dealt to.
+    buckets = f"element_at(array({', '.join(str(1 + histogram.get(k, 0) // RANKED) for k in range(1, max_tokens + 1))}), CAST(length AS INT))"
+    dealt = pieces.withColumn("bucket", F.expr(f"pmod(xxhash64(lot), {buckets})"))
+    own = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "lot")
+    sizes = dealt.groupBy("length", "bucket").count()
+    before = F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = dealt.withColumn("nth", F.row_number().over(own) - 1).join(sizes.select("length", "bucket", before.alias("before")), ["length", "bucket"]).withColumn("rank", F.col("nth") + F.col("before"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
