@@ -150,6 +150,77 @@ def test_bin_completion_is_optimal_on_small_sets(seed):
     assert sum((Counter({x: b * k for x, k in p}) for b, p in plan), Counter()) == Counter(items)
 
 
+def fewest_bins(items, capacity):
+    """By dynamic programming over subsets: fewest bins, then least in the last one."""
+    best = [(0, capacity)] + [(99, 0)] * ((1 << len(items)) - 1)
+    for m in range(1, len(best)):
+        for i, x in enumerate(items):
+            if m >> i & 1:
+                bins, used = best[m ^ (1 << i)]
+                best[m] = min(best[m], (bins, used + x) if used + x <= capacity else (bins + 1, x))
+    return best[-1][0]
+
+
+def bins_of(items, capacity):
+    plan = packing.plan_bins(dict(Counter(items)), capacity)
+    assert sum((Counter({x: b * k for x, k in p}) for b, p in plan), Counter()) == Counter(items)
+    assert all(sum(x * k for x, k in p) <= capacity for _, p in plan)
+    return sum(b for b, _ in plan)
+
+
+def test_bin_completion_is_optimal_on_2000_sets():
+    beaten = 0
+    for seed in range(2000):
+        rng = np.random.default_rng(seed)
+        capacity = 150 if seed % 2 else 40
+        items = rng.integers(capacity // 8, capacity * 6 // 10, rng.integers(9, 14)).tolist()
+        found, counts = bins_of(items, capacity), dict(Counter(items))
+        bound = packing.lower_bound(counts, capacity)
+        assert bound <= found
+        if found > bound:
+            assert found == fewest_bins(items, capacity), items
+        beaten += found < sum(b for b, _ in packing.best_fit(counts, capacity))
+    assert beaten > 50  # the search, not best-fit, found these
+
+
+def test_bin_completion_beats_best_fit():
+    assert bins_of([75, 64, 63, 60, 59, 53, 45, 44, 39, 33, 32, 27], 150) == 4
+    items = np.random.default_rng(2).integers(300, 2600, 4000).tolist()
+    counts = dict(Counter(items))
+    assert bins_of(items, 4096) == packing.lower_bound(counts, 4096) < sum(b for b, _ in packing.best_fit(counts, 4096))
+
+
+def test_fillings_are_all_undominated_ones():
+    """In order of waste, every maximal multiset that no other dominates, up to fillings that dominate each other."""
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        counts = {int(x): int(rng.integers(1, 4)) for x in rng.integers(2, 12, 5)}
+        room, lengths = int(rng.integers(8, 25)), sorted(counts)
+        found = list(packing.fillings(counts, lengths, room, room))
+        wastes = [room - sum(f) for f in found]
+        assert wastes == sorted(wastes) and len(set(found)) == len(found)
+        every = [[]]
+        for x in sorted(counts, reverse=True):
+            every = [f + [x] * k for f in every for k in range(counts[x] + 1) if sum(f) + x * k <= room]
+        assert all(any(packing._dominates(g, tuple(f)) for g in found) for f in every)
+        assert not any(packing._dominates(g, f) for i, f in enumerate(found) for g in found[:i])
+
+
+def test_packing_ranks_a_hot_length_in_many_buckets(spark, monkeypatch):
+    """Equal rows without an id are a third of all; no group ranks many of them, and places stay gapless."""
+    monkeypatch.setattr(packing, "RANKED", 10)
+    docs = spark.createDataFrame([(None, "same text")] * 700 + [(i, "word " * (i % 40)) for i in range(1400)], "doc_id long, text string")
+    found = packing.pack_documents(docs, max_tokens=64).collect()
+    assert len(found) == 2100
+    bins = defaultdict(list)
+    for r in found:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for held in bins.values():
+        ends = np.cumsum([0] + [n for _, n in sorted(held)])
+        assert [at for at, _ in sorted(held)] == ends[:-1].tolist() and ends[-1] <= 64
+    assert len(bins) == -(-sum(r.length for r in found) // 64)
+
+
 def test_simhash_links_and_components(spark, sf, rows):
     found = got(registry.QUERIES["op3_simhash"](spark, sf))
     fps = {d: simhash.fingerprint(t) for d, t, _, _ in rows}
@@ -252,6 +323,69 @@ def test_pii_added_spans_and_estimates(spark):
     assert posterior[good] > 0.9 > 0.1 > posterior[bad] and rates.shape == (2, 5, 2)
 
 
+def test_pii_of_other_digits_and_long_names(spark):
+    """Superscripts and digits of other scripts are no digits; names in long runs cost linear time."""
+    for text in ("see James Miller²³¹⁴ for details", "James Miller ١٢٣٤ ²³", "Mary Smith①②③④"):
+        spans = [(9, *m.span()) for m in pii.PERSON.finditer(text)]
+        assert spans and all(len(pii.votes(text, s)) == 5 and 0 <= pii.shape(text, s) < pii.SHAPES for s in spans)
+    docs = spark.createDataFrame([(1, "see James Miller²³¹⁴ for details"), (2, None), (None, "a@b.co ²³")], "doc_id long, text string")
+    assert pii.find_private(docs).count() == 3
+    for text in ("James x " + "A-" * 200_000, "James " + "Dr. " * 200_000, "James " + "Dr. A " * 100_000, "A-" * 100_000 + "A James", "James Smith " * 50_000):
+        began = time.perf_counter()
+        pii.added_candidates(text, [])
+        assert time.perf_counter() - began < 10
+
+
+@given(st.lists(st.sampled_from(["Dr. ", "Dr ", "Mr. ", "Mary", " ", "-", "A", "B c", "É", "'", " J", ".", "Smith", " Smith", "x", "\n", "1", " A-B"]), max_size=10).map("".join))
+@settings(max_examples=3000, deadline=None)
+def test_pii_persons_are_those_of_the_pattern(text):
+    assert pii.persons(text) == [m.span() for m in pii.PERSON.finditer(text)]
+
+
+def planted(rng):
+    """Texts in the corpus's kind of prose with one planted span of a kind each, with and without words that announce it, and decoys."""
+    word = lambda: "".join(rng.choice(list("aeinorstlu"), rng.integers(3, 9)))
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    prose = lambda: " ".join(word() for _ in range(rng.integers(4, 12)))
+
+    def iban():
+        bank = "DE", digits(18)
+        check = 98 - int("".join(str(int(c, 36)) for c in bank[1] + bank[0] + "00")) % 97
+        whole = f"{bank[0]}{check:02d}{bank[1]}"
+        return " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))
+
+    make = {
+        "masked_email": lambda: f"{word()}.{word()} {rng.choice(['(at)', '[at]', '( At )'])} {word()}{rng.choice(['.com', ' (dot) org', ' [dot] net'])}",
+        "ssn": lambda: f"{rng.integers(100, 600)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)}",
+        "iban": iban,
+        "local_phone": lambda: f"({rng.integers(200, 999)}) {rng.integers(200, 999)}-{rng.integers(1000, 9999)}",
+        "birth_date": lambda: f"{rng.integers(1930, 2010)}-{rng.integers(1, 12):02d}-{rng.integers(1, 28):02d}",
+        "person": lambda: f"{rng.choice(['', 'Dr. ', 'Mrs. '])}{rng.choice(sorted(pii.FIRST_NAMES))} {word().capitalize()}",
+    }
+    told = {"masked_email": "contact", "ssn": "my ssn is", "iban": "account", "local_phone": "call", "birth_date": "born on", "person": "my name is"}
+    rows = []
+    for kind, one in make.items():
+        for k in range(60):
+            said, lead = one(), f"{prose()} {told[kind] + ' ' if k % 2 else ''}"
+            rows.append((kind, len(lead), len(lead) + len(said), f"{lead}{said} {prose()}"))
+    decoys = [lambda: f"version {digits(3)}-{digits(2)}", lambda: f"order 111-11-1111 units", lambda: f"{word().capitalize()} {word().capitalize()}", lambda: f"page {digits(4)}", lambda: f"{word()} at {word()}.com"]  # noqa: F541
+    rows += [(None, 0, 0, f"{prose()} {decoys[k % len(decoys)]()} {prose()}") for k in range(200)]
+    rows += [(None, 0, 0, f"{prose()} {word()}@{word()}.com {prose()} +1 {digits(10)}") for _ in range(200)]
+    return rows
+
+
+def test_pii_recall_of_planted_spans(spark):
+    rows = planted(np.random.default_rng(3))
+    docs = spark.createDataFrame([(i, r[3]) for i, r in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: set(filter(None, r.spans.split(","))) for r in pii.find_private(docs).collect()}
+    for kind in pii.ADDED:
+        own = [(i, r) for i, r in enumerate(rows) if r[0] == kind]
+        hits = sum(f"{kind}:{r[1]}:{r[2]}" in found[i] for i, r in own)
+        assert hits >= 0.9 * len(own), (kind, hits, len(own), [(r[3], found[i]) for i, r in own if f"{kind}:{r[1]}:{r[2]}" not in found[i]][:5])
+    wrong = [x for i, r in enumerate(rows) if r[0] is None for x in found[i] if x.split(":")[0] in pii.ADDED]
+    assert len(wrong) <= 0.05 * 400, wrong
+
+
 def test_chat_round_trip_of_nulls_ties_and_control_strings(spark, tmp_path):
     said = [None, "", "<|turn|>user<|text|>x<|end|>", "a\\b \\", "[INST] <<SYS>> </s> <s>\\<s>", "é🙂\n"]
     rows = [(1, i // 2, ["user", "assistant", None][i % 3], t) for i, t in enumerate(said)] + [(None, None, "system", "s"), (2, 0, "user", "q"), (2, 0, "user", "q")]
