@@ -163,13 +163,14 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG, windows: int = WINDOWS) -> list[tuple[str, list[str]]]:
-    """(lang, windows of text) of the documents of each language that hash first: bounded by languages x per_lang x windows."""
-    known = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    """(lang, windows of text) of the documents of each language that hash first: bounded by languages x per_lang x windows, however often a doc_id repeats."""
+    known = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).select("doc_id", "lang").distinct()
     first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = materialise(known.withColumn("nth", first).filter(F.col("nth") <= per_lang).select("doc_id").distinct(), "langid-sample")
+    chosen = materialise(known.withColumn("nth", first).filter(F.col("nth") <= per_lang).select("doc_id", "lang"), "langid-sample")
     cut = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.substring("text", (F.pmod(F.xxhash64("doc_id", i), F.greatest(F.length("text") - SEGMENT + 1, F.lit(1))) + 1).cast("int"), SEGMENT))
-    rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL").join(chosen, "doc_id", "left_semi").select("lang", F.col("doc_id").cast("long"), cut.alias("windows"))
-    return [(r[0], r[2]) for r in sorted(rows.collect())]
+    rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL").join(chosen, ["doc_id", "lang"], "left_semi").select("lang", F.col("doc_id").cast("long"), cut.alias("windows"))
+    # One row of each (language, doc_id), aggregated map-side, so what is collected keeps to the bound.
+    return [(r[0], r[2]) for r in sorted(rows.groupBy("lang", "doc_id").agg(F.min("windows")).collect())]
 
 
 def train(docs: DataFrame) -> Model | None:
