@@ -35,18 +35,19 @@ _WORDS = rf"""
   CASE WHEN btrim(coalesce(text, ''), ' \t\n\u000b\u000c\r') = '' THEN array()
   ELSE split(btrim(text, ' \t\n\u000b\u000c\r'), '{_WHITE}+') END"""
 _LINES = rf"filter(split(coalesce(text, ''), '\\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"
-#: Words of q_words that lie in a 3-word window found twice; windows are compared by 64-bit hash.
+#: Words of q_words that lie in a 3-word window found twice; windows are sorted by 64-bit hash, those of equal hash by their words.
 _WINDOWS = """
   CASE WHEN size(q_words) < 4 THEN array()
   ELSE transform(sequence(0, size(q_words) - 3), i -> xxhash64(q_words[i], q_words[i + 1], q_words[i + 2])) END"""
 _SORTED = """
   CASE WHEN size(array_distinct(q_windows)) = size(q_windows) THEN array()
-  ELSE sort_array(transform(q_windows, (h, i) -> struct(h AS h, i AS i))) END"""
-_PLACES = """
+  ELSE sort_array(transform(q_windows, (h, i) -> struct(h AS h, q_words[i] AS a, q_words[i + 1] AS b, q_words[i + 2] AS c, i AS i))) END"""
+_SAME = " AND ".join(f"q_sorted[k].{x} = q_sorted[{{0}}].{x}" for x in "habc").format
+_PLACES = f"""
   CASE WHEN size(q_sorted) = 0 THEN array()
   ELSE sort_array(transform(filter(sequence(0, size(q_sorted) - 1), k ->
-      (k > 0 AND q_sorted[k].h = q_sorted[greatest(k - 1, 0)].h)
-      OR (k < size(q_sorted) - 1 AND q_sorted[k].h = q_sorted[least(k + 1, size(q_sorted) - 1)].h)), k -> q_sorted[k].i)) END"""
+      (k > 0 AND {_SAME("greatest(k - 1, 0)")})
+      OR (k < size(q_sorted) - 1 AND {_SAME("least(k + 1, size(q_sorted) - 1)")})), k -> q_sorted[k].i)) END"""
 _COVERED = """
   aggregate(transform(q_places, (x, j) -> CASE WHEN j = size(q_places) - 1 THEN 3L
       ELSE CAST(least(3, q_places[least(j + 1, size(q_places) - 1)] - x) AS BIGINT) END), 0L, (a, x) -> a + x)"""
