@@ -42,16 +42,22 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _running(array: str, step: str) -> str:
+    """SQL: the running values of `array` under `step` of x and y. Each pass joins windows twice as long as the one before, so n values cost n log n."""
+    for k in (1 << j for j in range(30)):  # a text has fewer spans
+        joined = step.format(x="x", y=f"a[i - {k}]")
+        array = f"transform(array({array}), a -> CASE WHEN size(a) <= {k} THEN a ELSE transform(a, (x, i) -> CASE WHEN i >= {k} THEN {joined} ELSE x END) END)[0]"
+    return array
+
+
 def _all_spans(pattern: str, kind: int, tested: str, least: str) -> str:
-    """SQL array of (at, kind, upto, said) of the matches of `pattern`; `tested`: the regex for the prefilter."""
+    """SQL array of (at, kind, upto) of the matches of `pattern` that are ok; `tested`: the regex for the prefilter."""
     return f"""
-      CASE WHEN text rlike {_sql(tested)} THEN aggregate(
+      CASE WHEN text rlike {_sql(tested)} THEN transform(array(
         zip_with(slice(split(text, {_sql(pattern)}, -1), 1, size(regexp_extract_all(text, {_sql(pattern)}, 0))), {least},
-          (gap, m) -> struct(char_length(gap) AS gap, char_length(m.whole) AS len, m.ok AS ok)),
-        CAST(struct(0 AS pos, array() AS spans) AS STRUCT<pos: INT, spans: ARRAY<STRUCT<at: INT, kind: INT, upto: INT>>>),
-        (a, x) -> struct(a.pos + x.gap + x.len AS pos,
-          CASE WHEN x.ok THEN array_append(a.spans, struct(a.pos + x.gap AS at, {kind} AS kind, a.pos + x.gap + x.len AS upto)) ELSE a.spans END AS spans),
-        a -> a.spans) ELSE {_NONE} END"""
+          (gap, m) -> struct(char_length(gap) AS gap, char_length(m.whole) AS len, m.ok AS ok))),
+        ms -> transform(filter(zip_with({_running("transform(ms, m -> m.gap + m.len)", "{x} + {y}")}, ms, (upto, m) -> struct(upto - m.len AS at, upto AS upto, m.ok AS ok)), s -> s.ok),
+          s -> struct(s.at AS at, {kind} AS kind, s.upto AS upto)))[0] ELSE {_NONE} END"""
 
 
 def _matches(pattern: str, ok: str) -> str:
@@ -91,8 +97,13 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         {_all_spans(HEX, 2, '[0-9a-f]{24}', _matches(HEX, 'char_length(m) >= 24'))}))"""))
     tested = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20}"  # looks ahead once a run
     added = base.withColumn("added", F.expr(_all_spans(CANDIDATE, 3, tested, _matches(CANDIDATE, _entropy_ok()))))
-    apart = "filter(added, c -> NOT exists(base, b -> b.at < c.upto AND c.at < b.upto))"
-    return added.select("doc", "text", "base", F.expr(f"sort_array(concat(base, {apart}))").alias("spans"))
+    # By place: a candidate is apart if no base span that starts before it reaches into it and the next one starts after it.
+    placed = added.withColumn("all", F.expr("sort_array(concat(base, added))"))
+    reach = _running("transform(all, s -> CASE WHEN s.kind < 3 THEN s.upto ELSE 0 END)", "greatest({x}, {y})")
+    following = f"reverse({_running(f'transform(reverse(all), s -> CASE WHEN s.kind < 3 THEN s.at ELSE {2**31 - 1} END)', 'least({x}, {y})')})"
+    placed = placed.withColumns({"reach": F.expr(f"CASE WHEN size(added) > 0 AND size(base) > 0 THEN {reach} END"), "following": F.expr(f"CASE WHEN size(added) > 0 AND size(base) > 0 THEN {following} END")})
+    apart = "CASE WHEN reach IS NULL THEN all ELSE filter(all, (s, i) -> s.kind < 3 OR (reach[i] <= s.at AND following[i] >= s.upto)) END"
+    return placed.select("doc", "text", "base", F.expr(apart).alias("spans"))
 
 
 def written(spans: str) -> Column:
@@ -103,11 +114,13 @@ def written(spans: str) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with every secret in text replaced by [SECRET] and n_chars, if there, counted anew."""
     found = find_secrets(docs)
-    cut = F.expr("""aggregate(spans, struct(CAST(array() AS ARRAY<STRING>) AS parts, 0 AS pos),
-        (a, s) -> CASE WHEN s.upto <= a.pos THEN a
-          WHEN s.at < a.pos THEN struct(a.parts AS parts, s.upto AS pos)
-          ELSE struct(concat(a.parts, array(substr(text, a.pos + 1, s.at - a.pos), '[SECRET]')) AS parts, s.upto AS pos) END,
-        a -> concat(array_join(a.parts, ''), substr(text, a.pos + 1)))""")
+    # What is kept before a span starts where the spans before it have ended. Four bytes a code point: a part is found without counting from the start.
+    ends = _running("transform(spans, s -> s.upto)", "greatest({x}, {y})")
+    part = "decode(substring(t.wide, 4 * {0} + 1, 4 * ({1} - {0})), 'UTF-32')".format
+    past = "t.ends[greatest(i - 1, 0)]"
+    cut = F.expr(f"""transform(array(struct({ends} AS ends, encode(text, 'UTF-32') AS wide)), t -> concat(
+        array_join(transform(spans, (s, i) -> CASE WHEN i = 0 THEN concat({part("0", "s.at")}, '[SECRET]') WHEN s.at >= {past} THEN concat({part(past, "s.at")}, '[SECRET]') ELSE '' END), ''),
+        {part("t.ends[size(t.ends) - 1]", "char_length(text)")}))[0]""")
     clean = F.when(F.size("spans") > 0, cut).otherwise(F.col("doc.text"))
     done = found.select("doc", clean.alias("clean"))
     columns = [F.col("clean").alias("text") if c == "text" else F.length("clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
