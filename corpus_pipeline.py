@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quorant.llm import langid, packing, quality, secrets, simhash
-from quorant.llm.common import documents, materialise
+from quorant.llm.common import discard, documents, materialise, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group of near-duplicates."""
+    """Keeps the first row of each group of near-duplicates."""
     return simhash.keep_first(docs)
 
 
@@ -45,7 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, last = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as made:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        # Its rows are written: nothing reads the stage before any more, nor what the operator wrote meanwhile.
+        discard(spark, *last, *(p for p in made if p != docs.written_to))
+        last = [docs.written_to]
     return STAGES[-1][1](spark, docs, sf_dir)
