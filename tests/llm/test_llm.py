@@ -88,6 +88,17 @@ def test_quality_counts(spark, sf, rows):
     assert sum(map(len, found.values())) == len(rows)
 
 
+def test_windows_of_equal_hash_are_told_apart(spark, monkeypatch):
+    """With a hash of two values nearly all windows collide; the counts stay those of the words."""
+    monkeypatch.setattr(quality, "_WINDOWS", quality._WINDOWS.replace("xxhash64(q_words[i], q_words[i + 1], q_words[i + 2])", "pmod(xxhash64(q_words[i], q_words[i + 1], q_words[i + 2]), 2)"))
+    said = ["a b c d e f a b c x y z", "p q r s t u v w", "a a a a a a", "one two three one two three four one two three"]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(said)], "doc_id long, text string, lang string, source string")
+    for r in quality.measures(docs, "doc_id").collect():
+        words = said[r.doc_id].split()
+        wins = list(zip(words, words[1:], words[2:]))
+        assert r.n_repeat_words == len({i + k for i, w in enumerate(wins) if wins.count(w) > 1 for k in range(3)})
+
+
 def test_quality_keeps_all_columns(spark, sf):
     for d in (sf, SF):
         docs = common.documents(spark, d)
@@ -262,6 +273,29 @@ def test_anchors_miss_no_pair():
     assert all((i, h) in reached for i, h in enumerate(home.tolist())) and len(reached) == len(at)
 
 
+def test_links_of_every_document_against_all_pairs(spark):
+    """All texts of sf0.01, every pair of distinct fingerprints, with two and with three codes; 3 bits as well."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    fps = sorted({simhash.fingerprint(t) for t in texts} | {0, 1, 3, 7, 1 << 63, (1 << 63) | 5, (1 << 60) | 1, (1 << 50) | (1 << 49), 1 << 49})
+    signed = np.array(fps, np.uint64).view(np.int64)
+    df = spark.createDataFrame([(int(x),) for x in signed], "fp long")
+    for threshold in (2, 3):
+        want = {(min(a, b), max(a, b)) for i, a in enumerate(signed.tolist()) for b in signed.tolist()[:i] if ((a ^ b) % 2**64).bit_count() <= threshold}
+        for codes in (simhash.CODES[:2], simhash.CODES):
+            found = [tuple(r) for r in simhash.links(df, threshold, codes).collect()]
+            assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_fingerprint_of_other_shingles():
+    from xxhash import xxh64_intdigest
+
+    text = "One two THREE four five six seven five six seven"
+    words = text.lower().split()
+    for n in (1, 3, 5):
+        hashes = [xxh64_intdigest(" ".join(words[i : i + n]).encode(), 42) for i in range(len(words) - n + 1)]
+        assert simhash.fingerprint(text, n) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, k) for k in range(101, 130)]
     found = dict(components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
@@ -550,6 +584,14 @@ def test_langid_gradients_and_accuracy(spark):
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] >= 0.97
 
 
+def test_langid_sample_is_bounded_whatever_repeats(spark):
+    """One doc_id on thousands of rows, null texts and many languages of one id take no more than their places."""
+    rows = [(7, f"repeated text {i} of one document", "en") for i in range(3000)] + [(i, None, "fr") for i in range(3000)] + [(5000 + i, f"texte {i} de la langue", "fr") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = Counter(lang for lang, _ in langid.sample(docs, per_lang=240))
+    assert found["en"] == 1 and found["fr"] == 240
+
+
 def test_langid_edges(spark, sf, rows):
     found = got(registry.QUERIES["op8_langid"](spark, sf))
     for doc, text, _, _ in rows:
@@ -597,6 +639,26 @@ def test_secrets_in_very_long_runs(spark):
     assert spans == {0: [(0, 2, 1_000_000)], 1: [(0, 3, len(key) + 1), (len(key) + 2, 2, len(key) + 2 + 300_000)], 2: []} and time.perf_counter() - began < 60
 
 
+def test_many_secrets_in_one_text(spark):
+    """Thousands of spans, some of them over each other, in linear time; the rest of the text stays as it is."""
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ"
+    text = " ".join(f"é🙂{i} token=abcdef{i} {key}{i} AKIA{'B' * 16}{i} token={'0123456789abcdef' * 2}{i}" for i in range(6_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    spans = [tuple(s) for s in secrets.find_secrets(docs).first().spans]
+    clean = secrets.redact(docs).first().text
+    assert time.perf_counter() - began < 60
+    base = [(m.start(), 0, m.end()) for m in re.finditer(r"token=[A-Za-z0-9+/_.=-]+", text)] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text)] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
+    assert [s for s in spans if s[1] < 3] == sorted(base)
+    assert sum(s[1] == 3 for s in spans) == 6_000 and all(text.startswith(key, a) for a, k, _ in spans if k == 3)
+    kept, pos = [], 0
+    for a, _, b in spans:
+        if a >= pos:
+            kept += [text[pos:a], "[SECRET]"]
+        pos = max(pos, b)
+    assert clean == "".join(kept) + text[pos:]
+
+
 def test_shards(spark, sf, rows):
     found = registry.QUERIES["op10_sharding"](spark, sf).collect()
     want = Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, _, _ in rows)
@@ -618,6 +680,26 @@ def test_shards_of_many_buckets_are_a_seeded_permutation(spark, tmp_path):
     assert orders[0] == orders[1] != orders[2] and len(orders[0]) == docs.count()
 
 
+def test_shards_divide_equal_records(spark, tmp_path):
+    """Equal records without an id fill every bucket alike; columns that can't be hashed and clashing names stay whole."""
+    docs = spark.createDataFrame([(None, "one text", "x")] * 6000 + [(i, f"text {i}", "y") for i in range(3000)], "doc_id long, text string, bucket string")
+    docs = docs.withColumn("n", F.create_map(F.lit("a"), F.col("doc_id")))
+    orders = []
+    for k in (1, 3):
+        sharding.write_shards(docs.repartition(k), f"{tmp_path}/{k}", shards=8, bucket_bytes=4000, seed=1)
+        back = sharding.read_shards(spark, f"{tmp_path}/{k}", docs).select("shard", "slot", "doc.doc_id", "doc.text", "doc.bucket", F.col("doc.n")["a"].alias("n")).collect()
+        orders.append(sorted((r.shard, r.slot, r.doc_id or -1) for r in back))
+        assert Counter((r.doc_id, r.text, r.bucket, r.n) for r in back) == Counter([(None, "one text", "x", None)] * 6000 + [(i, f"text {i}", "y", i) for i in range(3000)])
+        counts = Counter(r.shard for r in back)
+        assert set(counts.values()) == {1125} and all(sorted(r.slot for r in back if r.shard == s) == list(range(1125)) for s in counts)
+        # Copies are in every shard and nowhere many in a row.
+        assert all(600 < sum(r.doc_id is None for r in back if r.shard == s) < 900 for s in counts)
+    assert orders[0] == orders[1]
+    heavy = spark.createDataFrame([(5, 20_000)], "h long, n long")
+    held = dict(sharding._copies(heavy, 100).groupBy("bucket").count().collect())
+    assert len(held) == 100 and sum(held.values()) == 20_000 and max(held.values()) < 300
+
+
 def test_pipeline_against_brute_force(spark):
     """Each stage's rows, from the rows that the one before kept."""
     docs = common.documents(spark, SF)
