@@ -32,6 +32,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ END_ID = 1
 CACHE = 1_000_000
 #: Turns back of the branch-and-bound; then the incumbent stands.
 NODES = 2_000
+#: Nodes of the branch-and-bound whose options are held in memory.
+AWAKE = 16
 #: Steps in which one filling is tested against another; undecided, it is kept, which costs time alone.
 TESTED = 2_000
 #: Pieces that one window group ranks, about.
@@ -277,7 +280,8 @@ def complete_bins(counts: dict[int, int], capacity: int, most_waste: int, nodes:
     left, waste = dict(counts), 0
     lengths = sorted(left)
     path: list[tuple[int, tuple[int, ...], int]] = []  # times, items, waste
-    stack: list[Iterator[tuple[tuple[int, ...], bool]]] = []
+    # Options of each node on the way, and how many were taken; only the last AWAKE nodes hold theirs, others find them again.
+    stack: list[list] = []
 
     def take(times: int, items: tuple[int, ...], sign: int) -> None:
         for x in items:
@@ -304,10 +308,14 @@ def complete_bins(counts: dict[int, int], capacity: int, most_waste: int, nodes:
 
     if not lengths:
         return []
-    stack.append(branch())
+    stack.append([branch(), 0])
     while stack and nodes:
         nodes -= 1
-        items, often = next(stack[-1], (None, False))
+        node = stack[-1]
+        if node[0] is None:
+            node[0] = islice(branch(), node[1], None)
+        items, often = next(node[0], (None, False))
+        node[1] += 1
         if items is None:
             stack.pop()
             if path:
@@ -327,7 +335,9 @@ def complete_bins(counts: dict[int, int], capacity: int, most_waste: int, nodes:
         if not lengths:
             return [(t, tuple((x, i.count(x)) for x in dict.fromkeys(i))) for t, i, _ in path]
         nodes += 1  # only turns back count: a straight dive always ends
-        stack.append(branch())
+        if len(stack) >= AWAKE:
+            stack[-AWAKE][0] = None
+        stack.append([branch(), 0])
     return None
 
 
