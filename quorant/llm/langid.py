@@ -31,6 +31,8 @@ HIDDEN = 8
 #: Bound of the training sample: documents of each language, windows of each document.
 PER_LANG, WINDOWS = 240, 6
 STEPS, BATCH, RATE, SEED = 240, 256, 0.02, 7
+#: Classes of ids from which the sample is drawn.
+CLASSES = 16
 #: Documents below this score are rejected by `accepted`.
 LEAST_SCORE = 0.4
 #: Segments that one forward pass reads together.
@@ -164,9 +166,11 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG, windows: int = WINDOWS) -> list[tuple[str, list[str]]]:
     """(lang, windows of text) of the documents of each language that hash first: bounded by languages x per_lang x windows, however often a doc_id repeats."""
-    known = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).select("doc_id", "lang").distinct()
-    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = materialise(known.withColumn("nth", first).filter(F.col("nth") <= per_lang).select("doc_id", "lang"), "langid-sample")
+    known = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    # First in classes of ids, so that neither a frequent language nor a frequent id goes to one task; then among what these leave.
+    within = lambda *keys: F.row_number().over(W.partitionBy("lang", *keys).orderBy("h", "doc_id"))
+    some = known.withColumn("nth", within(F.pmod("h", F.lit(CLASSES)))).filter(F.col("nth") <= per_lang).select("doc_id", "lang", "h").distinct()
+    chosen = materialise(some.withColumn("nth", within()).filter(F.col("nth") <= per_lang).select("doc_id", "lang"), "langid-sample")
     cut = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.substring("text", (F.pmod(F.xxhash64("doc_id", i), F.greatest(F.length("text") - SEGMENT + 1, F.lit(1))) + 1).cast("int"), SEGMENT))
     rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL").join(chosen, ["doc_id", "lang"], "left_semi").select("lang", F.col("doc_id").cast("long"), cut.alias("windows"))
     # One row of each (language, doc_id), aggregated map-side, so what is collected keeps to the bound.
