@@ -32,6 +32,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -46,11 +47,11 @@ from .common import documents, materialise
 MAX_TOKENS = 4096
 END_ID = 1
 #: Strings whose ids a worker keeps; at more the cache starts anew.
-CACHE = 1_000_000
+CACHE = 500_000
 #: Turns back of the branch-and-bound; then the incumbent stands.
 NODES = 2_000
 #: Nodes of the branch-and-bound whose options are held in memory.
-AWAKE = 16
+AWAKE = 4
 #: Steps in which one filling is tested against another; undecided, it is kept, which costs time alone.
 TESTED = 2_000
 #: Pieces that one window group ranks, about.
@@ -63,20 +64,27 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9
 _WORD_END = "</w>"
 
 
+@cache
+def _tokenizer(path: str):
+    """The tokenizer, and of each id whether it ends a word."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    made.no_truncation()
+    made.no_padding()
+    vocabulary = made.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    for piece, i in vocabulary.items():
+        ends[i] = piece.endswith(_WORD_END)
+    return made, ends
+
+
 class _Ids(dict):
     """Strings without white space -> their token ids, as little-endian uint32 bytes."""
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        for piece, i in vocabulary.items():
-            self.ends[i] = piece.endswith(_WORD_END)
+        self.tokenizer, self.ends = _tokenizer(path)
 
     def learn(self, words: list[str], pieces: bool) -> None:
         """Takes the words in. pieces: each is one piece of the tokenizer's pattern, so its last id alone ends a word."""
@@ -247,28 +255,28 @@ def _reached(counts: dict[int, int], lengths: list[int], room: int) -> list[int]
     return found
 
 
+def _exactly(counts: dict[int, int], lengths: list[int], reached: list[int], size: int, k: int) -> Iterator[tuple[int, ...]]:
+    """Items from the first k lengths of this total size, large ones first."""
+    if not size:
+        yield ()
+    for j in range(min(k, bisect.bisect_right(lengths, size)) - 1, -1, -1):
+        length = lengths[j]
+        for times in range(min(counts[length], size // length), 0, -1):
+            if reached[j] >> size - times * length & 1:
+                for rest in _exactly(counts, lengths, reached, size - times * length, j):
+                    yield (length,) * times + rest
+        if not reached[j] >> size & 1:
+            return
+
+
 def fillings(counts: dict[int, int], lengths: list[int], room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
     """Undominated fillings of `room` that leave at most `most_waste`, least waste first; `lengths`: ascending, those in counts."""
     usable = lengths[: bisect.bisect_right(lengths, room)]
     reached = _reached(counts, usable, room)
-
-    def exactly(size: int, k: int) -> Iterator[tuple[int, ...]]:
-        """Items from the first k lengths of this total size, large ones first."""
-        if not size:
-            yield ()
-        for j in range(min(k, bisect.bisect_right(usable, size)) - 1, -1, -1):
-            length = usable[j]
-            for times in range(min(counts[length], size // length), 0, -1):
-                if reached[j] >> size - times * length & 1:
-                    for rest in exactly(size - times * length, j):
-                        yield (length,) * times + rest
-            if not reached[j] >> size & 1:
-                return
-
     kept: list[tuple[int, ...]] = []
     for waste in range(min(most_waste, room) + 1):
         if reached[-1] >> room - waste & 1:
-            for found in exactly(room - waste, len(usable)):
+            for found in _exactly(counts, usable, reached, room - waste, len(usable)):
                 more = next((x for x in usable if counts[x] > found.count(x)), waste + 1)
                 if more > waste and not any(_dominates(g, found) for g in kept):
                     kept.append(found)
