@@ -78,8 +78,19 @@ def response_mask_rows(df: DataFrame, group: str, order: str, is_eos: Column) ->
     return df.withColumn("mask", (F.coalesce(F.sum(is_eos.cast("int")).over(before), F.lit(0)) == 0).cast("int"))
 
 
+def running_sums(xs: Column) -> Column:
+    """Running sums of an array of integers: each pass joins windows twice as long as the one before, so n values cost n log n."""
+
+    def joined(k: int) -> Callable[[Column], Column]:
+        return lambda a: F.when(F.size(a) <= k, a).otherwise(F.transform(a, lambda x, i: x + F.when(i >= k, F.get(a, i - k)).otherwise(0)))
+
+    for k in (1 << j for j in range(24)):
+        xs = F.transform(F.array(xs), joined(k))[0]
+    return xs
+
+
 def position_ids(mask: Column) -> Column:
-    return F.transform(mask, lambda _, i: F.greatest(F.aggregate(F.slice(mask, 1, i + 1), F.lit(0), lambda a, x: a + x.cast("int")) - 1, F.lit(0)))
+    return F.transform(running_sums(F.transform(mask, lambda x: x.cast("int"))), lambda x: F.greatest(x - 1, F.lit(0)))
 
 
 def outcome_rewards(score: Column, mask: Column) -> Column:
@@ -94,3 +105,18 @@ def penalised_rewards(scores: Column, kl: Column, mask: Column, beta: float) ->
 
 ESTIMATORS = {"grpo": grpo, "rloo": rloo, "remax": remax}
 SEQUENCE_ESTIMATORS = {"reinforce_plus_plus": discounted_returns, "gae": gae}
+
+
+def advantages(df: DataFrame, estimator: str, **columns: str) -> DataFrame:
+    """`df` with `advantage` by the estimator of this name; `columns` names the estimator's inputs.
+
+    grpo, rloo: group, score. remax: also baselines, a table. reinforce_plus_plus: rewards, mask, gamma (arrays of a row's
+    tokens; the advantage is the return). gae: rewards, values, gamma, lam; adds `returns` too.
+    """
+    if estimator in ESTIMATORS:
+        return ESTIMATORS[estimator](df, **columns)
+    if estimator not in SEQUENCE_ESTIMATORS:
+        raise ValueError(f"unknown estimator {estimator}")
+    given = {k: F.col(v) if isinstance(v, str) else v for k, v in columns.items()}
+    found = SEQUENCE_ESTIMATORS[estimator](**given)
+    return df.withColumns({"advantage": found[0], "returns": found[1]}) if estimator == "gae" else df.withColumn("advantage", found)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SENTINELS
+from ..functions.text import SENTINELS, with_grade
 from .vote import in_band
 
 
@@ -39,6 +39,27 @@ def agreeing(ours: DataFrame, theirs: DataFrame, canonical=lambda c: F.replace(F
     return key(ours).join(key(theirs).select("qid", "_label"), ["qid", "_label"], "left_semi").drop("_label")
 
 
+def agreeing_graded(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Rows of `ours` (qid, label) whose label the grader holds equal to theirs: an equi-join on qid, then the grader on labels that differ as text."""
+    both = ours.join(theirs.select("qid", F.col("label").alias("_theirs")), "qid").filter("label IS NOT NULL AND _theirs IS NOT NULL")
+    return with_grade(both, "label", "_theirs", "_grade").filter("_grade").select(*ours.columns)
+
+
+def relabelled(stored: DataFrame, **labelers: DataFrame) -> DataFrame:
+    """`stored` (qid, label, ...) with <name>_label, <name>_p_hat and <name>_matches of each labeler (qid, label, p_hat); without a label nothing matches."""
+    canonical = lambda c: F.lower(F.replace(F.trim(c), F.lit(" "), F.lit("")))
+    out = stored
+    for name, votes in labelers.items():
+        out = out.join(votes.select("qid", F.col("label").alias(f"{name}_label"), F.col("p_hat").alias(f"{name}_p_hat")), "qid", "left")
+        out = out.withColumn(f"{name}_matches", F.coalesce(canonical(F.col(f"{name}_label")) == canonical(F.col("label")), F.lit(False)))
+    return out
+
+
+def pending(rows: DataFrame, score: str = "score") -> DataFrame:
+    """Rows that no one has scored yet: their score is 0."""
+    return rows.filter(F.col(score) == 0)
+
+
 def finite(conf: Column) -> Column:
     return conf > float("-inf")
 

@@ -116,13 +116,35 @@ def with_rank(df: DataFrame, order: list[Column], out: str = "_rank") -> DataFra
 
 
 def upper_median(df: DataFrame, x: str) -> DataFrame:
-    """median_<x>: sorted[n // 2], not interpolated; from the counts of the distinct values."""
+    """median_<x>: sorted[n // 2], not interpolated; from the counts of the distinct values, added up range by range as in `with_rank`."""
     counts = df.filter(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("_c"))
-    whole = W.orderBy(x)
-    upto = counts.withColumns({"_upto": F.sum("_c").over(whole)}).crossJoin(F.broadcast(counts.agg(F.sum("_c").alias("_n"))))  # one row
+    spread = written(counts.repartitionByRange(x).withColumn("_part", F.spark_partition_id()), "medians")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    first = spread.groupBy("_part").agg(F.sum("_c").alias("_s")).select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_first"))  # a row per partition
+    upto = spread.join(first, "_part").withColumn("_upto", F.col("_first") + F.sum("_c").over(W.partitionBy("_part").orderBy(x)))
+    upto = upto.crossJoin(F.broadcast(spread.agg(F.sum("_c").alias("_n"))))  # one row
     return upto.filter(F.expr("_upto > _n div 2")).agg(F.min(x).alias(f"median_{x}"))
 
 
+def by_majority_count(rows: DataFrame, votes: str = "n_votes", correct: str = "correct", logprob: str = "logprob") -> DataFrame:
+    """n, n_correct, accuracy and mean log-probability of the questions of each size of majority."""
+    return rows.groupBy(votes).agg(
+        F.count("*").alias("n"),
+        F.sum(F.col(correct).cast("long")).alias("n_correct"),
+        F.avg(F.col(correct).cast("double")).alias("accuracy"),
+        F.avg(logprob).alias("mean_logprob"),
+    )
+
+
+def regrade_records(graded: DataFrame, ours: str, paper: str, *keys: str) -> DataFrame:
+    """n and percentages with two decimals: raw, and with the rows below 0.5 that either grader accepts counted as right."""
+    bumps = lambda c: F.count_if((F.col("score") < 0.5) & F.coalesce(F.col(c), F.lit(False)))
+    pct = lambda c: F.floor(10000 * c + F.lit(0.5)) / 100
+    raw, n = F.avg("score"), F.count("*")
+    out = graded.groupBy(*keys).agg(n.alias("n"), raw.alias("raw"), bumps(ours).alias("ours"), bumps(paper).alias("paper"))
+    return out.select(*keys, "n", pct(F.col("raw")).alias("raw"), *[pct((F.col("n") * F.col("raw") + F.col(c)) / F.col("n")).alias(c) for c in ("ours", "paper")])
+
+
 def alignment(rows: DataFrame, label: str, stored: str, p: str) -> DataFrame:
     """n, matches, rate, rows without a label, mean and upper median of p."""
     return rows.agg(  # one row beside one row

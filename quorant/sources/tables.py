@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import fields, replace
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,11 +27,13 @@ WALLCLOCK = "iter INT, phase STRING, seconds INT, minutes DOUBLE, start STRING,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = f"file://{tempfile.mkdtemp(prefix='quorant-')}"
     return _own_dir
@@ -46,8 +51,29 @@ def read_json_array(spark: SparkSession, path: str | list[str], schema: str) ->
 
 
 def read_shards(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """All shards that a glob finds; missing ones are skipped."""
-    return spark.read.schema(schema).options(multiLine=True, ignoreMissingFiles=True).json(pattern)
+    """All shards that a glob finds; missing ones are skipped, and a glob that finds none gives no rows."""
+    try:
+        return spark.read.schema(schema).options(multiLine=True, ignoreMissingFiles=True).json(pattern)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Replaces what is there."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_metrics(metrics: DataFrame, path: str, step: int) -> None:
+    """One line of metrics a row, with its step, after those there."""
+    append_json(metrics.withColumn("step", F.lit(step)), path)
+
+
+def write_samples(samples: DataFrame, path: str, step: int, key: str, most: int, seed: int = 42) -> None:
+    """At most `most` samples of a step, those that hash first, after those there."""
+    drawn = samples.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(most)
+    append_json(drawn.withColumn("step", F.lit(step)), path)
 
 
 def append_json(df: DataFrame, path: str) -> None:
@@ -177,8 +203,27 @@ def checked_columns(df: DataFrame, schema: str) -> DataFrame:
 Client = Callable[[list[str]], list[str]]
 
 
-def complete(prompts: DataFrame, client: Callable[[], Client], batch: int = 64, tries: int = 3, fallback: str | None = None) -> DataFrame:
-    """(qid, sample_idx, prompt) with response: a model behind `client`, built once per task, called by batch, retried, then `fallback`."""
+def _attempt(call: Client, prompts: list[str], seconds: float | None) -> list[str]:
+    """The client's answers, one for each prompt; too few, or none within `seconds`, is an error."""
+    if seconds is None:
+        found = call(prompts)
+    else:
+        pool = ThreadPoolExecutor(1)
+        try:
+            found = pool.submit(call, prompts).result(seconds)
+        finally:
+            pool.shutdown(wait=False)
+    if len(found) != len(prompts):
+        raise ValueError(f"{len(found)} answers to {len(prompts)} prompts")
+    return list(found)
+
+
+def complete(prompts: DataFrame, client: Callable[[], Client], batch: int = 64, tries: int = 3, fallback: str | None = None, wait: float = 0.0, seconds: float | None = None) -> DataFrame:
+    """(qid, sample_idx, prompt) with response: a model behind `client`, built once per task, called by batch.
+
+    A call that fails, takes more than `seconds` or answers too few prompts is made again, after `wait` seconds, then twice
+    that, and so on; after `tries` calls the batch gets `fallback`.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = client()
@@ -186,13 +231,15 @@ def complete(prompts: DataFrame, client: Callable[[], Client], batch: int = 64,
             said: list[str | None] = []
             for i in range(0, len(rows), batch):
                 part = rows["prompt"].iloc[i : i + batch].tolist()
-                for n in range(tries):
+                for n in range(1, tries + 1):
                     try:
-                        said += call(part)
+                        said += _attempt(call, part, seconds)
                         break
                     except Exception:  # noqa: BLE001  (any failure of the service)
-                        if n == tries - 1:
+                        if n == tries:
                             said += [fallback] * len(part)
+                        else:
+                            time.sleep(wait * n)
             yield rows.assign(response=said)
 
     return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField("response", T.StringType())]))
