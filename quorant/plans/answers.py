@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import losses, text
 from .catalogue import _r6, query, r6, table
 
 _NL = "chr(10)"
@@ -189,3 +189,73 @@ FROM (SELECT p_partkey, string_split(string_split(string_split(CASE WHEN contain
   FROM {_duck(_SOLVED)})""")
 def solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _said(spark, sf_dir, _SOLVED, answer=text.solution_text(_t()))
+
+
+_DEEP = _cases(
+    "p_partkey",
+    r"'\boxed{' || p_size || '} so \boxed{a{b{c{' || p_brand || '}}}}'",
+    r"'\boxed{a} then {' || p_name",
+    r"'\boxed{open ' || p_name || '. The answer is: ' || p_size",
+    "p_name",
+    r"'x \boxed{ ' || p_name || ' } y } z'",
+    r"'\boxed{} is exactly ' || p_size",
+)
+_DEEP_DUCK = rf"""(SELECT p_partkey, t, CASE WHEN contains(t, '\boxed{{') THEN trim(left(tail, list_min(list_filter(range(1, length(tail) + 1),
+  lambda i: 1 + (i - length(replace(left(tail, i), '{{', ''))) = i - length(replace(left(tail, i), '}}', '')))) - 1)) END AS body
+  FROM (SELECT *, list_last(string_split(t, '\boxed{{')) AS tail FROM {_duck(_DEEP)}))"""
+
+
+@query(f"SELECT p_partkey, body AS answer FROM {_DEEP_DUCK}")
+def boxed_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(spark, sf_dir, _DEEP, answer=text.last_boxed_any_depth(_t()))
+
+
+@query(f"SELECT p_partkey, coalesce(nullif(body, ''), {_told()}) AS challenger, coalesce(body, {_told('|is exactly')}) AS solver FROM {_DEEP_DUCK}")
+def deep_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(spark, sf_dir, _DEEP, challenger=text.challenger_answer(_t()), solver=text.solver_answer(_t()))
+
+
+_GRADED = [
+    (r"'\frac{' || p_size || '}{4}'", "p_size || '*0.25'", "true"),
+    (r"'\sqrt{' || p_size * p_size || '}'", "p_size || ''", "true"),
+    (r"p_size || '\%'", "p_size || '/100'", "true"),
+    ("p_size || ''", "(p_size + 1) || ''", "false"),
+    ("'x + ' || p_size", "p_size || ''", "NULL"),
+    ("p_name", "p_name", "true"),
+    (r"'\boxed{2^{' || p_size % 10 || '}}'", "'2^' || p_size % 10", "true"),
+    ("' ' || p_size || ' '", "p_size || '.0'", "true"),
+]
+
+
+@query(f"SELECT p_partkey, ({_cases('p_partkey', *[g for _, _, g in _GRADED])})::BOOLEAN AS grade FROM part")
+def graded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an answer equals the true one as text or in value; null where that can't be told."""
+    columns = [F.expr(_cases("p_partkey", *said).replace("\\", "\\\\")) for said in list(zip(*_GRADED, strict=True))[:2]]
+    rows = table(spark, sf_dir, "part").select("p_partkey", columns[0].alias("said"), columns[1].alias("truth"))
+    return text.with_grade(rows, "said", "truth").select("p_partkey", "grade")
+
+
+_OPTIONS = _cases("p_partkey", "'the answer is (' || chr(65 + p_size % 10) || ')'", "'J or ' || chr(66 + p_size % 8)", "lower(p_name) || ' C, not A'")
+
+
+@query(f"SELECT p_partkey, list_filter(string_split('A,B,C,D,E,F,G,H,I,J', ','), lambda c: contains(t, c))[1] AS letter FROM {_duck(_OPTIONS)}")
+def option_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(spark, sf_dir, _OPTIONS, letter=text.option_letter(_t(), F.col("p_partkey")))
+
+
+@query(f"""
+SELECT p_partkey, {_r6("CASE WHEN coalesce(q, '') <> '' THEN least(s, 1 - s) ELSE -1 END - share")} AS reward
+FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS s, (p_partkey % 5) / 10.0::DOUBLE AS share, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN p_name END AS q FROM part)""")
+def challenger_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uncertain questions are worth more, those of a large cluster less, missing ones -1."""
+    asked = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, F.col("p_name"))
+    reward = losses.challenger_reward(F.col("p_size") / 50, (F.col("p_partkey") % 5) / 10, asked)
+    return table(spark, sf_dir, "part").select("p_partkey", r6(reward).alias("reward"))
+
+
+_PROOFS = _cases("p_partkey", "'证明 ' || p_name", "'a BOX of ' || p_name", "p_name", "p_brand")
+
+
+@query(f"SELECT p_partkey, NOT (contains(t, '证明') OR contains(lower(t), 'box') OR p_size % 7 = 0) AS kept FROM {_duck(_PROOFS)}")
+def row_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(spark, sf_dir, _PROOFS, kept=text.can_be_graded(_t(), F.when(F.col("p_size") % 7 == 0, "some Text").otherwise("5")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import losses
 from ..operators import advantage, filters, partition, stats, vote, walk
 from ..sources import tables
-from .catalogue import _r6, _rounded, query, r6, table
+from .catalogue import _majority, _r6, _rounded, _votes, query, r6, table
 
 _AT = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount, l_tax, l_linestatus) - 1"
 
@@ -172,3 +172,74 @@ def shard_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories of two shards of a table put together."""
     parts = table(spark, sf_dir, "part")
     return parts.filter("p_partkey % 2 = 0").unionByName(parts.filter("p_partkey % 2 = 1 AND p_size > 10")).select("p_brand").distinct()
+
+
+_THEIRS = ["p_size || '.0'", r"'\\frac{' || 2 * p_size || '}{2}'", "(p_size + 1) || ''", "' ' || p_size", "p_name"]
+
+
+@query("SELECT p_partkey AS qid, p_size::VARCHAR AS label FROM part WHERE p_partkey % 5 IN (0, 1, 3)")
+def agreement_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that the grader holds equal to another labeler's, however they are written."""
+    parts = table(spark, sf_dir, "part")
+    theirs = F.expr("CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(_THEIRS)) + " END")
+    ours = parts.select(F.col("p_partkey").alias("qid"), F.col("p_size").cast("string").alias("label"))
+    return filters.agreeing_graded(ours, parts.select(F.col("p_partkey").alias("qid"), theirs.alias("label")))
+
+
+def _half(rest: int) -> str:
+    return _majority(f"(SELECT * FROM events WHERE event_id % 2 = {rest})")
+
+
+@query(f"""
+SELECT s.qid, s.label, b.label AS base_label, {_r6('b.p_hat')} AS base_p_hat, coalesce(b.label = s.label, false) AS base_matches,
+  v.label AS solver_label, {_r6('v.p_hat')} AS solver_p_hat, coalesce(v.label = s.label, false) AS solver_matches
+FROM {_majority()} s LEFT JOIN {_half(0)} b ON s.qid = b.qid LEFT JOIN {_half(1)} v ON s.qid = v.qid""")
+def relabel_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two labelers, each of half the samples, against the stored label."""
+    votes = _votes(spark, sf_dir)
+    half = lambda rest: vote.majority(votes.filter(F.col("sample_idx") % 2 == rest))
+    return _rounded(filters.relabelled(vote.majority(votes).select("qid", "label"), base=half(0), solver=half(1)), "base_p_hat", "solver_p_hat")
+
+
+@query(f"""
+SELECT n_votes, count(*)::BIGINT AS n, (count(*) FILTER (n_samples % 2 = 0))::BIGINT AS n_correct, {_r6('avg((n_samples % 2 = 0)::INT)')} AS accuracy, {_r6('avg(-p_hat)')} AS mean_logprob
+FROM {_majority()} GROUP BY 1""")
+def majority_count_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vote.majority(_votes(spark, sf_dir)).withColumns({"correct": F.col("n_samples") % 2 == 0, "logprob": -F.col("p_hat")})
+    return _rounded(stats.by_majority_count(rows), "accuracy", "mean_logprob")
+
+
+@query("SELECT doc_id, quality FROM labels WHERE quality = 0")
+def pending_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.pending(table(spark, sf_dir, "labels").select("doc_id", "quality"), "quality")
+
+
+@query(f"""
+WITH s AS (SELECT l_suppkey % 20 AS model, l_linenumber AS d, {_r6('avg(l_discount)')} AS q FROM lineitem GROUP BY 1, 2)
+SELECT model, {', '.join(f"max(q) FILTER (d = {i + 3}) AS {n}" for i, n in enumerate(stats.HARD_SETS))},
+  {_r6("avg(q) FILTER (d >= 3)")} AS mean FROM s GROUP BY 1""")
+def hard_set_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report grid over the five hard sets of the seven."""
+    name = F.element_at(F.array(*[F.lit(n) for n in stats.SEVEN_SETS]), F.col("l_linenumber").cast("int"))
+    scores = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("model"), name.alias("dataset")).agg(r6(F.avg("l_discount")).alias("q"))
+    return _rounded(stats.report_grid(scores, "model", "dataset", "q", stats.HARD_SETS), "mean")
+
+
+def _bumped(extra: str) -> str:
+    return f"floor(10000 * ((n * raw + {extra}) / n) + 0.5) / 100"
+
+
+@query(f"""
+SELECT l_linestatus, n, floor(10000 * raw + 0.5) / 100 AS raw, {_bumped('a')} AS ours, {_bumped('b')} AS paper
+FROM (SELECT l_linestatus, count(*)::BIGINT AS n, avg((l_quantity > 25)::INT) AS raw, count(*) FILTER (l_quantity <= 25 AND l_returnflag = 'R') AS a,
+  count(*) FILTER (l_quantity <= 25 AND l_returnflag IN ('R', 'A')) AS b FROM lineitem GROUP BY 1)""")
+def regrade_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy as graded, and as two other graders would have it."""
+    flag = F.col("l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select("l_linestatus", (F.col("l_quantity") > 25).cast("double").alias("score"), (flag == "R").alias("a"), flag.isin("R", "A").alias("b"))
+    return stats.regrade_records(rows, "a", "b", "l_linestatus")
+
+
+@query("SELECT o_orderkey, (o_custkey + 6) // 7 AS parts FROM orders")
+def rounded_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", losses.ceil_div(F.col("o_custkey"), F.lit(7)).alias("parts"))

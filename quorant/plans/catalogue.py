@@ -451,7 +451,10 @@ def ustat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.u_statistics(votes, 9), "u", "variance")
 
 
-@query()
+@query(f"""
+WITH c AS (SELECT user_id AS qid, left(event_type, 1) AS class, arg_min(event_type, event_id) AS label, min(event_id) AS first, count(*)::BIGINT AS n_votes FROM events GROUP BY 1, 2)
+SELECT qid, label, n_votes, n_samples, {_r6('n_votes / n_samples')} AS p_hat
+FROM (SELECT *, (sum(n_votes) OVER (PARTITION BY qid))::BIGINT AS n_samples, row_number() OVER (PARTITION BY qid ORDER BY n_votes DESC, first) AS place FROM c) WHERE place = 1""")
 def equiv_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(vote.equivalence_vote(_votes(spark, sf_dir), lambda a, b: a[:1] == b[:1]), "p_hat")
 

@@ -1,5 +1,7 @@
 import math
+import time
 from collections import Counter
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -205,3 +207,192 @@ def test_stream_of_votes(spark, tmp_path):
     events = stream.read_events(spark, str(tmp_path / "in"), rows.schema)
     stream.run_available(stream.windowed_votes(events), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0] == 6  # the last two windows stay open
+
+
+def test_boxed_groups_of_any_depth(spark):
+    assert text.boxed_bodies(r"\boxed{a \boxed{b}} x \boxed{c{d}}") == [r"a \boxed{b}", "c{d}"]
+    assert text.boxed_bodies(r"\boxed{a} \boxed{open {e") == ["a", "open {"] and text.boxed_bodies(None) == text.boxed_bodies("none") == []
+    assert text.last_boxed_body(r"\boxed{a} then {b") == "a" and text.last_boxed_body(r"\boxed{a} \boxed{b") is None
+    assert one(spark, r"\boxed{1} so \boxed{ a{b{c{d}}} }", text.challenger_answer, text.solver_answer, lambda c: text.last_boxed_any_depth(c, True))[:] == ("a{b{c{d}}}",) * 3
+    assert one(spark, r"\boxed{}", text.solver_answer, lambda c: text.last_boxed_any_depth(c, True))[:] == ("", None)
+    began = time.perf_counter()
+    text.boxed_bodies(r"\boxed{" * 100_000), text.last_boxed_body(r"\boxed{" * 100_000)
+    assert time.perf_counter() - began < 5
+
+
+def _trees():
+    """(LaTeX, value) of arithmetic expressions."""
+
+    def join(made):
+        sign, (a, x), (b, y) = made
+        told = {"+": f"({a}+{b})", "-": rf"\left({a}-{b}\right)", "*": rf"({a})\cdot({b})", "/": rf"\frac{{{a}}}{{{b}}}", "i": f"({a})({b})", "%": rf"({a})\%"}[sign]
+        value = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: x / y if y and x is not None else None, "i": lambda: x * y, "%": lambda: x / 100}
+        return told, None if x is None or y is None else value[sign]()
+
+    leaves = st.integers(0, 5000).map(lambda n: (f"{n:,}", Fraction(n)))
+    return st.recursive(leaves, lambda inner: st.tuples(st.sampled_from("+-*/i%"), inner, inner).map(join), max_leaves=10)
+
+
+@given(_trees())
+@settings(max_examples=500, deadline=None)
+def test_number_of_any_expression(pair):
+    said, value = pair
+    assert text.number(said) == value and text.number(rf"\boxed{{{said}}}") == value
+    if value is not None:
+        assert text.number(text.infix(said)) == value
+
+
+def test_expressions():
+    for said, value in {r"\sqrt2": 2**0.5, r"2\sqrt{4}": 4, "2^10": 1024, r"2^{-1}": 0.5, r"45^{\circ}": 45, "90°": 90, "-2^2": -4, r"\$5": 5, "2pi": 2 * math.pi, "2**3": 8, "+".join(["1"] * 400): 400}.items():
+        assert math.isclose(text.number(said), value), said
+    for said in ("", "x+1", "1 2", "1/0", "(" * 5000, "2 +", r"\text{no}", r"\int x", None, "3)", "a_b"):
+        assert text.number(said) is None, said
+    assert text.infix(r"\frac{1}{2}x") == "((1/2)*x)" and text.infix(r"\int") is None
+
+
+def test_estimators_by_name(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("b", 2.0), ("b", 4.0)], "uid string, score double")
+    assert sorted(r.advantage for r in advantage.advantages(df, "rloo", group="uid", score="score").collect()) == [-2.0, -1.0, 1.0, 2.0]
+    base = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "uid string, baseline double")
+    assert sorted(r.advantage for r in advantage.advantages(df, "remax", baselines=base).collect()) == [-1.0, -1.0, 0.0, 1.0]
+    tokens = spark.createDataFrame([([0.0, 1.0], [0.5, 0.5], [1, 1])], "r array<double>, v array<double>, m array<int>")
+    assert advantage.advantages(tokens, "gae", rewards="r", values="v").first()[3:] == ([0.5, 0.5], [1.0, 1.0])
+    assert advantage.advantages(tokens, "reinforce_plus_plus", rewards="r", mask="m", gamma=0.5).first().advantage == [0.5, 1.0]
+    with pytest.raises(ValueError):
+        advantage.advantages(df, "other")
+
+
+def test_position_ids_of_long_sequences(spark):
+    mask = [int(i % 7 > 1) for i in range(5000)]
+    df = spark.createDataFrame([(mask,), ([],), ([1],), ([0, 0, 1, 1],)], "m array<int>").coalesce(1)
+    found = [r[0] for r in df.select(advantage.position_ids(F.col("m"))).collect()]
+    assert found == [[max(int(x) - 1, 0) for x in np.cumsum(mask)], [], [0], [0, 0, 0, 1]]
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 11, 500])
+def test_upper_median_over_ranges(spark, n):
+    xs = np.random.default_rng(n).normal(size=n).round(1).tolist()
+    assert stats.upper_median(spark.createDataFrame([(x,) for x in [*xs, None]], "x double").repartition(3), "x").first()[0] == sorted(xs)[n // 2]
+
+
+def test_schedules_samples_and_topics(spark):
+    assert [walk.schedule([1.0, 0.5], i) for i in (0, 1, 5)] == [1.0, 0.5, 0.5]
+    assert math.isclose(walk.kl_coefficient(0.1, 6.0, 3.0, 10, 100), 0.1 * 1.02) and math.isclose(walk.kl_coefficient(0.1, 0.0, 3.0, 10, 100), 0.1 * 0.98)
+    df = spark.range(100)
+    one_, two = ([r.id for r in walk.sampled(d, "id", 10).collect()] for d in (df, df.repartition(7)))
+    assert one_ == two and len(set(one_)) == 10 and one_ != [r.id for r in walk.sampled(df, "id", 10, seed=1).collect()]
+    assert {r[0] for r in df.select(text.topic_of(F.col("id"))).collect()} == set(text.TOPICS)
+    assert text.option_letter is not None and {r[0] for r in df.select(text.option_letter(F.lit("none"), F.col("id"))).collect()} == set("ABCDEFGHIJ")
+    assert [r.score for r in filters.candidates_for_recheck(spark.createDataFrame([(0.0,), (0.5,), (None,)], "score double")).collect()] == [0.0]
+    pool = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x y z"), (3, None)], "id long, t string")
+    assert [r.id for r in dedup.one_against(pool, "id", "t", "a b c d e f g i").collect()] == [1]
+
+
+def test_energy_against_brute_force(spark):
+    rows = [(i, t, (i % 10) / 10) for i, t in enumerate(["a b c d e f g h", "a b c d e f g i", "q r s t u v w", "a b c d e f g h", "x", "m n o p q r s t u v"])]
+    df = spark.createDataFrame(rows, "id long, text string, r_unc double")
+    own = dedup.written(dedup.classes(df, "id", "text"), "classes")
+    degree = dedup.degrees(own, dedup.near_pairs(own)).join(own.select("id", "tokens"), "id")
+    pool = df.withColumn("tokens", F.split("text", " ")).join(degree.drop("id"), "tokens").select("r_unc", "degree")
+    toks = [r[1].split() for r in rows]
+    near = lambda i, j: i == j or dedup.bleu(toks[min(i, j)], toks[max(i, j)]) > 0.5
+    want = sum(max(0.0, r[2] - sum(near(i, j) for j in range(len(rows))) / len(rows)) for i, r in enumerate(rows))
+    assert math.isclose(stats.energy(pool).first().energy, want)
+
+
+def test_differencing_on_known_sets():
+    """The largest differencing method on the textbook set, and never worse than half of greedy's spread on random ones."""
+    parts = partition.differencing([8, 7, 6, 5, 4], 2)
+    assert sorted(sum([8, 7, 6, 5, 4][i] for i in p) for p in parts) == [14, 16]
+
+
+def test_readers_and_writers(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b,\"c\"\nd")], "x long, y string")
+    tables.write_json(df, f"{tmp_path}/j")
+    tables.write_json(df, f"{tmp_path}/j")
+    assert spark.read.json(f"{tmp_path}/j").count() == 2
+    tables.append_json(df, f"{tmp_path}/j")
+    assert spark.read.json(f"{tmp_path}/j").count() == 4
+    (tmp_path / "s_1.json").write_text('[{"x": 1, "y": "a"}, {"x": 2, "y": null}]')
+    assert tables.read_shards(spark, f"{tmp_path}/s_*.json", "x long, y string").count() == 2
+    assert tables.read_shards(spark, f"{tmp_path}/none_*.json", "x long, y string").count() == 0
+    df.coalesce(1).write.csv(f"{tmp_path}/c", header=True, escape='"')
+    assert sorted(map(tuple, tables.read_csv(spark, f"{tmp_path}/c", "x long, y string").collect())) == sorted(map(tuple, df.collect()))
+    tables.write_metrics(df, f"{tmp_path}/m", 3)
+    tables.write_samples(spark.range(50), f"{tmp_path}/p", 3, "id", 5)
+    assert {r.step for r in spark.read.json(f"{tmp_path}/m").collect()} == {3} and spark.read.json(f"{tmp_path}/p").count() == 5
+    timing = spark.createDataFrame([(1, "walk", 10), (1, "train", 5)], "iter int, phase string, seconds int")
+    tables.write_timing(timing, f"{tmp_path}/t")
+    assert tables.seconds_by_iteration(spark.read.schema("iter int, phase string, seconds int").csv(f"{tmp_path}/t", sep="\t")).first()[:] == (1, 15, 2)
+    assert tables.checked_columns(df, "y string").columns == ["y"]
+    with pytest.raises(TypeError):
+        tables.checked_columns(df, "x string")
+
+
+def test_files_are_consumed_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('[{"x": 1}, {"x": 2}]')
+    run = lambda: tables.consume_once(spark, f"{tmp_path}/in", "x long").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination(60)
+    run()
+    (tmp_path / "in" / "b.json").write_text('[{"x": 3}]')
+    run()
+    assert sorted(r.x for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
+
+
+def test_shaping_and_settings(spark):
+    gsm = spark.createDataFrame([("q", "so 1 + 1 = 2 #### 2")], "question string, answer string")
+    assert tables.shape_dataset(gsm, "gsm8k").first()[:] == ("q", "2")
+    assert tables.shape_dataset(spark.createDataFrame([("q", "7")], "question string, answer string"), "amc").count() == 32
+    settings_ = tables.merged(walk.WalkSettings(), {"beta": 0.1}, {"seed": 3})
+    assert (settings_.beta, settings_.seed, settings_.samples) == (0.1, 3, 9)
+    with pytest.raises(KeyError):
+        tables.merged(walk.WalkSettings(), {"other": 1})
+
+
+def test_model_calls_are_retried_and_fall_back(spark, tmp_path):
+    path = str(tmp_path / "calls")
+
+    def client():
+        def call(prompts):
+            with open(path, "a") as f:
+                f.write("x")
+            n = len(open(path).read())
+            if n == 1:
+                raise OSError("down")
+            if n == 2:
+                return ["too few"]
+            if n == 3:
+                time.sleep(3)
+            return [p.upper() for p in prompts]
+
+        return call
+
+    prompts = spark.createDataFrame([(i, 0, f"p{i}") for i in range(3)], "qid long, sample_idx int, prompt string").coalesce(1)
+    done = tables.complete(prompts, client, tries=4, wait=0.01, seconds=1.0)
+    assert [r.response for r in done.collect()] == ["P0", "P1", "P2"]
+
+    def broken():
+        return lambda prompts: []
+
+    assert {r.response for r in tables.complete(prompts, broken, tries=2, fallback="-1").collect()} == {"-1"}
+
+
+def test_rewards_and_plugins(spark):
+    from quorant.functions import rewards
+
+    df = spark.createDataFrame([(r"<think>a</think> \boxed{3}", "3"), ("3", "3"), ("<think>a</think><answer> 3 </answer>", "3")], "r string, t string")
+    found = [tuple(x[0]) for x in df.select(rewards.load("quorant.functions.rewards:math_reward")(F.col("r"), F.col("t"))).collect()]
+    assert found[0] == (1.0, 1.0, 1.0) and found[1][2] == 0.0
+    assert [tuple(x[0]) for x in df.select(rewards.answer_tag_reward(F.col("r"), F.col("t"))).collect()][2] == (1.0, 1.0, 1.0)
+    batch = spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 5.0)], "b long, x double")
+    centred = rewards.apply_batch(batch, "b", lambda rows: rows.assign(x=rows["x"] - rows["x"].mean()), "b long, x double")
+    assert sorted(r.x for r in centred.collect()) == [-1.0, 0.0, 1.0]
+
+
+def test_optional_parts_hide_no_other_error():
+    """A missing dependency of the training-data operators is an error; their absence is not."""
+    import re
+    from pathlib import Path
+
+    source = (Path(__file__).parent.parent / "__spark_entry__.py").read_text()
+    assert len(re.findall(r"except ImportError as error:\n    if error.name not in _OPTIONAL:\n        raise", source)) == 2
