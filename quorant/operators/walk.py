@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import save_state, saved_iterations
-from .dedup import NEAR, bleu
+from ..sources.tables import save_state, saved_iterations, written
+from .dedup import NEAR, bleu, classes, near_pairs
 from .stats import u_statistic
 
 
@@ -72,9 +72,13 @@ def walk_step(pool: DataFrame, proposals: DataFrame, step: int, settings: WalkSe
     proposed. Energy is the sum of max(0, r_unc - weight * degree / N); a proposal changes its own row's
     uncertainty and every degree that its near texts have. Proposals equal to the incumbent are skipped.
     With settings.corrected, utilities are U-statistics and alpha takes their variance off.
+
+    If the pool has a column near (ids of the texts near a text, itself included, as `with_neighbours` makes it), it is
+    carried along and only rows that a proposal touches are compared anew; without it all pairs of a chain are.
     """
+    carried = "near" in pool.columns
     new = proposals.select("chain", "id", F.col("text").alias("new_text"), F.col("answers").alias("new_answers"), uniform(settings.seed, step, F.col("id")).alias("draw"), F.xxhash64(F.lit(settings.seed + 1), F.lit(step), "id").alias("turn"))
-    both = pool.select("chain", "id", "text", "answers").join(new, ["chain", "id"], "left")
+    both = pool.select("chain", "id", "text", "answers", *(["near"] if carried else [])).join(new, ["chain", "id"], "left")
 
     def utility(answers: list[str], share: float) -> tuple[float, float]:
         if settings.corrected:
@@ -88,7 +92,11 @@ def walk_step(pool: DataFrame, proposals: DataFrame, step: int, settings: WalkSe
         n = len(rows)
         texts, answers = rows["text"].tolist(), [list(a) for a in rows["answers"]]
         tokens = [t.split() for t in texts]
-        near = [{j for j in range(n) if i == j or bleu(tokens[min(i, j)], tokens[max(i, j)]) > NEAR} for i in range(n)]
+        if carried:
+            place = {k: i for i, k in enumerate(rows["id"].tolist())}
+            near = [{i} | {place[k] for k in ks} for i, ks in enumerate(rows["near"])]
+        else:
+            near = [{j for j in range(n) if i == j or bleu(tokens[min(i, j)], tokens[max(i, j)]) > NEAR} for i in range(n)]
         value = lambda k: utility(answers[k], settings.weight * len(near[k]) / n)
         alphas: list[float | None] = [None] * n
         taken: list[bool | None] = [None] * n
@@ -116,10 +124,26 @@ def walk_step(pool: DataFrame, proposals: DataFrame, step: int, settings: WalkSe
                     near[j] ^= {k}
                 near[k], answers[k] = old
         out = pd.DataFrame({"chain": rows["chain"], "id": rows["id"], "text": texts, "answers": answers})
+        if carried:
+            ids = rows["id"].tolist()
+            out["near"] = [[ids[j] for j in sorted(own)] for own in near]
         out["accepted"], out["alpha"] = pd.array(taken, "boolean"), pd.array(alphas, "Float64")
         return out
 
-    return both.groupBy("chain").applyInPandas(chain, "chain long, id long, text string, answers array<string>, accepted boolean, alpha double")
+    return both.groupBy("chain").applyInPandas(chain, f"chain long, id long, text string, answers array<string>, {'near array<long>, ' if carried else ''}accepted boolean, alpha double")
+
+
+def with_neighbours(pool: DataFrame) -> DataFrame:
+    """`pool` (chain, id, text, ...) with near: the ids of its chain's texts near a text, itself included. One exact join over the whole pool."""
+    own = written(classes(pool, "id", "text"), "classes")
+    pairs = written(near_pairs(own), "pairs")
+    # Copies are near each other if their BLEU with themselves is: that takes three tokens.
+    both = pairs.select("i", "j").unionByName(pairs.selectExpr("j AS i", "i AS j")).unionByName(own.filter(F.size("tokens") >= 3).selectExpr("id AS i", "id AS j"))
+    tokens = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != "")
+    named = written(pool.select("chain", "id", tokens.alias("tokens")).join(own.select(F.col("id").alias("class"), "tokens"), "tokens").select("chain", "id", "class"), "named")
+    ends = named.join(both, F.col("class") == F.col("i")).select("chain", "id", F.col("j").alias("class")).join(named.select("chain", "class", F.col("id").alias("other")), ["chain", "class"])
+    lists = ends.groupBy("chain", "id").agg(F.collect_set("other").alias("near"))
+    return pool.join(lists, ["chain", "id"], "left").withColumn("near", F.array_sort(F.array_union(F.coalesce("near", F.array().cast("array<long>")), F.array(F.col("id").cast("long")))))
 
 
 # Step sizes, bounds and number of micro-steps of the temperature update.

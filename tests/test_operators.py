@@ -396,3 +396,31 @@ def test_optional_parts_hide_no_other_error():
 
     source = (Path(__file__).parent.parent / "__spark_entry__.py").read_text()
     assert len(re.findall(r"except ImportError as error:\n    if error.name not in _OPTIONAL:\n        raise", source)) == 2
+
+
+@pytest.mark.parametrize("corrected", [False, True])
+def test_walk_carries_its_neighbours(spark, corrected):
+    """Three steps with the neighbours carried along give the rows of three steps that compare all pairs, with and without the correction."""
+    rng = np.random.default_rng(5)
+    words = "a b c d e f g h".split()
+    say = lambda: " ".join(rng.choice(words[:4], 5)) if rng.random() < 0.5 else " ".join(rng.choice(words, rng.integers(1, 8)))
+    answers = lambda: rng.choice(["1", "2", "3"], 6).tolist()
+    schema = "chain long, id long, text string, answers array<string>"
+    plain = spark.createDataFrame([(i % 2, i, say(), answers()) for i in range(40)], schema)
+    carried = walk.with_neighbours(plain)
+    toks = {r.id: r.text.split() for r in plain.collect()}
+    for r in carried.collect():
+        want = [j for j in toks if j % 2 == r.id % 2 and (j == r.id or dedup.bleu(toks[min(j, r.id)], toks[max(j, r.id)]) > dedup.NEAR)]
+        assert r.near == sorted(want)
+    settings_ = walk.WalkSettings(beta=0.3, samples=5, corrected=corrected)
+    accepted = 0
+    for step in range(3):
+        proposals = spark.createDataFrame([(i % 2, i, say(), answers()) for i in range(40) if rng.random() < 0.8], schema)
+        plain = tables.written(walk.walk_step(plain.select(*schema.replace(" long", "").replace(" string", "").replace(" array<string>", "").split(", ")), proposals, step, settings_), "plain")
+        carried = tables.written(walk.walk_step(carried.select("chain", "id", "text", "answers", "near"), proposals, step, settings_), "carried")
+        key = lambda r: r.id
+        a, b = sorted(plain.collect(), key=key), sorted(carried.collect(), key=key)
+        assert [(r.text, r.answers, r.accepted) for r in a] == [(r.text, r.answers, r.accepted) for r in b]
+        assert all(x.alpha is y.alpha is None or math.isclose(x.alpha, y.alpha) for x, y in zip(a, b))
+        accepted += sum(bool(r.accepted) for r in a)
+    assert 0 < accepted < 90
