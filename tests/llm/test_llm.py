@@ -5,6 +5,7 @@ import math
 import os
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -99,6 +100,53 @@ def test_windows_of_equal_hash_are_told_apart(spark, monkeypatch):
         assert r.n_repeat_words == len({i + k for i, w in enumerate(wins) if wins.count(w) > 1 for k in range(3)})
 
 
+def test_rules_against_a_plain_version(spark):
+    """Sketches, quartiles, fences and verdicts in plain Python, from the rules as the docstring states them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    found = {}
+    for r in docs.collect():
+        text = r.text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        wins = list(zip(words, words[1:], words[2:]))
+        times = Counter(wins)
+        repeats = len({i + k for i, w in enumerate(wins) if times[w] > 1 for k in range(3)})
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        chars, n = sum(map(len, words)), max(1, len(words))
+        values = [1000 * chars // n, 1000 * len(re.findall(r"[#*$%&|<>]", text)) // n, 1000 * (len(lines) - len(set(lines))) // max(1, len(lines)), 1000 * repeats // n, 1000 * sum(c.isupper() and unicodedata.category(c) == "Lu" for c in text) // max(1, chars)]
+        found[r.doc_id] = (r.lang, r.source), values, len(words) < 50 or 100 * repeats > 50 * len(words)
+    sketch = defaultdict(Counter)
+    for (lang, source), values, failed in found.values():
+        if not failed:
+            for name, v in zip(quality.SPREADS, values):
+                shift = max(v.bit_length() - 7, 0)
+                for level in ((lang, source), (lang,), ()):
+                    sketch[level, name][v >> shift << shift] += 1
+
+    def quartiles(counts):
+        total, upto, out = sum(counts.values()), 0, []
+        for want in (1, 3):
+            upto = 0
+            for bucket in sorted(counts):
+                upto += counts[bucket]
+                if 4 * upto >= want * total:
+                    out.append(bucket)
+                    break
+        return out
+
+    kept = set()
+    for doc, ((lang, source), values, failed) in found.items():
+        inside = not failed
+        for (name, least), v in zip(quality.SPREADS.items(), values):
+            level = next((x for x in ((lang, source), (lang,)) if sum(sketch[x, name].values()) >= quality.LEAST_GROUP), ())
+            q1, q3 = quartiles(sketch[level, name])
+            room = quality.REACH * max(q3 - q1, least)
+            inside = inside and q1 - room <= v <= q3 + room
+        if inside:
+            kept.add(doc)
+    assert 0 < len(kept) < len(found)
+    assert {r.doc_id for r in quality.apply_rules(docs).collect()} == kept
+
+
 def test_quality_keeps_all_columns(spark, sf):
     for d in (sf, SF):
         docs = common.documents(spark, d)
@@ -584,6 +632,32 @@ def test_langid_gradients_and_accuracy(spark):
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] >= 0.97
 
 
+def test_langid_against_a_plain_network(spark):
+    """Document probabilities by a loop over the bytes, one at a time, from the weights alone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    h, w = model.h, {k: v.astype(float) for k, v in model.w.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    texts_ = ["short text, with 12 signs", "é" * 60 + " words in the river", *[r.text for r in docs.filter("length(text) BETWEEN 200 AND 600").limit(6).collect()]]
+    langs, scores = model.predict(texts_)
+    for text, lang, score in zip(texts_, langs, scores):
+        data = text.encode()
+        total = np.zeros(len(model.langs))
+        for at in range(0, len(data), langid.SEGMENT):
+            part = data[at : at + langid.SEGMENT].ljust(langid.SEGMENT, b"\0")
+            states = np.zeros((len(part), 2 * h))
+            for d, order in ((0, range(len(part))), (1, range(len(part) - 1, -1, -1))):
+                s = np.zeros(h)
+                for t in order:
+                    e, u = w["E"][d][part[t]], s @ w["U"][d]
+                    z, r = sigmoid(e[:h] + u[:h]), sigmoid(e[h : 2 * h] + u[h : 2 * h])
+                    s = (1 - z) * np.tanh(e[2 * h :] + r * u[2 * h :]) + z * s
+                    states[t, d * h : d * h + h] = s
+            p = np.exp(states @ w["V"] + w["b"])
+            total += (p / p.sum(axis=1, keepdims=True))[: len(data) - at].sum(axis=0)
+        assert lang == model.langs[int(total.argmax())] and math.isclose(score, total.max() / len(data), abs_tol=1e-3)
+
+
 def test_langid_sample_is_bounded_whatever_repeats(spark):
     """One doc_id on thousands of rows, null texts and many languages of one id take no more than their places."""
     rows = [(7, f"repeated text {i} of one document", "en") for i in range(3000)] + [(i, None, "fr") for i in range(3000)] + [(5000 + i, f"texte {i} de la langue", "fr") for i in range(400)]
