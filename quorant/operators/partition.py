@@ -129,3 +129,17 @@ def balance(df: DataFrame, group: str, key: str, length: str, k: int, method: st
 def micro_batches(lengths: list[int], most_tokens: int) -> list[list[int]]:
     """As few balanced batches as the token budget allows."""
     return differencing(lengths, max(1, -(-sum(lengths) // most_tokens)))
+
+
+def micro_batch_rows(df: DataFrame, group: str, key: str, length: str, most_tokens: int) -> DataFrame:
+    """group, key, micro_batch: rows of each group dealt to as few balanced batches as the token budget allows. A group is one batch of a step."""
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key).reset_index(drop=True)
+        part = pd.Series(0, rows.index)
+        for p, members in enumerate(micro_batches(rows[length].tolist(), most_tokens)):
+            part[members] = p
+        return pd.DataFrame({group: rows[group], key: rows[key], "micro_batch": part.astype("int32")})
+
+    types = {c: df.schema[c].dataType.simpleString() for c in (group, key)}
+    return df.select(group, key, length).groupBy(group).applyInPandas(deal, f"{group} {types[group]}, {key} {types[key]}, micro_batch int")

@@ -444,7 +444,16 @@ def near_dup_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.energy(pool), "energy")
 
 
-@query()
+@query(f"""
+WITH s AS (SELECT qid, a, k FROM (SELECT user_id AS qid, event_type AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 12),
+n AS (SELECT qid, max(k) AS n FROM s GROUP BY 1),
+subsets AS (SELECT qid, n, m FROM n JOIN (SELECT m FROM (SELECT unnest(range(4096)) AS m) WHERE bit_count(m) = 9) ON m < (1 << n)),
+counts AS (SELECT b.qid, m, count(*) AS c FROM subsets b JOIN s ON s.qid = b.qid AND ((m >> (k - 1)) & 1) = 1 GROUP BY b.qid, m, a),
+u AS (SELECT qid, m, greatest(0, greatest(0, 1 - 2 * abs(max(c)::DOUBLE / 9 - 0.5::DOUBLE)) - 0.1::DOUBLE) AS u FROM counts GROUP BY 1, 2),
+left_out AS (SELECT u.qid, n, k, avg(u) AS l FROM u JOIN n ON u.qid = n.qid JOIN s ON s.qid = u.qid AND ((m >> (k - 1)) & 1) = 0 GROUP BY 1, 2, 3),
+jack AS (SELECT qid, (n - 1) / n * sum((l - whole) * (l - whole)) AS v FROM (SELECT *, avg(l) OVER (PARTITION BY qid) AS whole FROM left_out) GROUP BY qid, n),
+mean AS (SELECT qid, avg(u) AS u FROM u GROUP BY 1)
+SELECT n.qid, {_r6('coalesce(u, 0)')} AS u, {_r6('coalesce(v, 0)')} AS variance FROM n LEFT JOIN mean ON n.qid = mean.qid LEFT JOIN jack ON n.qid = jack.qid""")
 def ustat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-9 U-statistics over the first 12 samples of each question."""
     votes = vote.first_samples(_votes(spark, sf_dir), 12).withColumn("share", F.lit(0.1))

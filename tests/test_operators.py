@@ -424,3 +424,18 @@ def test_walk_carries_its_neighbours(spark, corrected):
         assert all(x.alpha is y.alpha is None or math.isclose(x.alpha, y.alpha) for x, y in zip(a, b))
         accepted += sum(bool(r.accepted) for r in a)
     assert 0 < accepted < 90
+
+
+def test_micro_batches_of_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, i, int(rng.integers(1, 100))) for g in range(3) for i in range(50)]
+    size = {(g, i): n for g, i, n in rows}
+    found = partition.micro_batch_rows(spark.createDataFrame(rows, "g long, i long, n int"), "g", "i", "n", 400).collect()
+    assert len(found) == len(rows)
+    for g in range(3):
+        sums = Counter()
+        for r in found:
+            if r.g == g:
+                sums[r.micro_batch] += size[g, r.i]
+        total = sum(n for h, _, n in rows if h == g)
+        assert sorted(sums) == list(range(len(sums))) and len(sums) == -(-total // 400) and max(sums.values()) - min(sums.values()) <= 100
