@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 from itertools import combinations
 
@@ -227,3 +228,20 @@ def difficulty_bands(df: DataFrame, p: str, *keys: str, low: float = 0.3, high:
 
 def judged_accuracy(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(F.col("correct").cast("double")).alias("acc"), F.count("correct").alias("n_judged"), F.count("*").alias("n"))
+
+
+def validated(rows: DataFrame, idx: str, n: int, divisor: int, score: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """key, n and the mean of each of its metrics, after scoring `rows` padded to whole batches; key null: all rows together.
+
+    `score` gives the rows back with the array-free double columns reward and any others named metric_*.
+    """
+    from .partition import pad_to_divisor, unpad
+
+    scored = unpad(score(pad_to_divisor(rows, idx, n, divisor)))
+    metrics = ["reward", *(c for c in scored.columns if c.startswith("metric_"))]
+    return scored.groupingSets([[key], []], key).agg(F.count("*").alias("n"), *[F.avg(m).alias(m) for m in metrics])
+
+
+def mean_metrics(lists: DataFrame, *names: str) -> DataFrame:
+    """One row: the mean over all values of each array column."""
+    return lists.agg(*[F.try_divide(F.sum(F.aggregate(n, F.lit(0.0), lambda a, x: a + x)), F.sum(F.size(n))).alias(n) for n in names])

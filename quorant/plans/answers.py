@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import losses, text
+from ..functions import losses, rewards, text
 from .catalogue import _r6, query, r6, table
 
 _NL = "chr(10)"
@@ -259,3 +259,28 @@ _PROOFS = _cases("p_partkey", "'证明 ' || p_name", "'a BOX of ' || p_name", "p
 @query(f"SELECT p_partkey, NOT (contains(t, '证明') OR contains(lower(t), 'box') OR p_size % 7 = 0) AS kept FROM {_duck(_PROOFS)}")
 def row_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _said(spark, sf_dir, _PROOFS, kept=text.can_be_graded(_t(), F.when(F.col("p_size") % 7 == 0, "some Text").otherwise("5")))
+
+
+_BOXES = _cases("p_partkey", r"'\boxed{' || p_name || '} and \boxed{' || p_size || '}'", "p_name", r"'\boxed{}'", r"'x \boxed{' || p_brand || '} y'")
+_BODIES = r"regexp_extract_all(t, '\\boxed\{([^{}]*)\}', 1)"
+
+
+@query(f"SELECT p_partkey, array_to_string({_BODIES}, '|') AS bodies, len({_BODIES})::INT AS n FROM {_duck(_BOXES)}")
+def all_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(spark, sf_dir, _BOXES, bodies=F.array_join(text.all_boxed(_t()), "|"), n=F.size(text.all_boxed(_t())))
+
+
+_REPLIES = _cases(
+    "p_partkey",
+    r"'<think>a</think> \boxed{' || p_size || '}'",
+    r"'<think>a</think> \boxed{' || (p_size + 1) || '}'",
+    r"'\boxed{' || p_size || '.0}'",
+    "'<think>a</think><answer> ' || p_size || ' </answer>'",
+)
+
+
+@query(f"SELECT p_partkey, {_cases('p_partkey', '1.0', '0.1', '0.9', '0.0')}::DOUBLE AS math, {_cases('p_partkey', '0.0', '0.0', '0.0', '1.0')}::DOUBLE AS tagged FROM part")
+def plugin_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overall reward of the two registered plugins."""
+    truth = F.col("p_size").cast("string")
+    return _said(spark, sf_dir, _REPLIES, math=r6(rewards.SCALAR["math"](_t(), truth)["overall"]), tagged=r6(rewards.SCALAR["answer_tag"](_t(), truth)["overall"]))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import losses
 from ..operators import advantage, filters, partition, stats, vote, walk
 from ..sources import tables
-from .catalogue import _majority, _r6, _rounded, _votes, query, r6, table
+from .catalogue import _IDX as _ORDERS
+from .catalogue import _majority, _r6, _ranked_orders, _rounded, _votes, query, r6, table
 
 _AT = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount, l_tax, l_linestatus) - 1"
 
@@ -243,3 +246,117 @@ def regrade_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, (o_custkey + 6) // 7 AS parts FROM orders")
 def rounded_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", losses.ceil_div(F.col("o_custkey"), F.lit(7)).alias("parts"))
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{tables.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey, nullif(p_name, 'x') AS p_name, CASE WHEN p_size % 5 > 0 THEN p_size END AS p_size FROM part")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as JSON arrays, a file for each of three shards, and read back."""
+    path = _place(spark, "arrays")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_size") % 5 > 0, F.col("p_size")).alias("p_size"))
+    tables.write_json_arrays(rows.repartition(3), path)
+    return tables.read_json_array(spark, path, "p_partkey long, p_name string, p_size int")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def appended_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, rows = _place(spark, "lines"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    tables.append_json(rows, path)
+    tables.append_json(rows.filter("o_orderstatus = 'F'"), path)
+    return spark.read.schema("o_orderkey long, o_orderstatus string").json(path)
+
+
+@query("""SELECT c_custkey, c_name || ', "' || c_mktsegment || '"' || chr(10) || 'x' AS told FROM customer""")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Separators, quotes and line breaks within a field."""
+    path = _place(spark, "csv")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"\nx')).alias("told"))
+    rows.write.csv(path, header=True, escape='"')
+    return tables.read_csv(spark, path, "c_custkey long, told string")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0")
+def published_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _place(spark, "published")
+    tables.publish(table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select("s_suppkey", "s_name"), path, "test")
+    return tables.read_split(spark, f"{path}@test")
+
+
+@query("SELECT doc_id::VARCHAR AS question, quality::DOUBLE AS score FROM labels")
+def trailer_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows, written with a trailing average and read without it."""
+    path = _place(spark, "results")
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("question"), F.col("quality").cast("double").alias("score"), F.lit(None).cast("double").alias("average_score"))
+    trailer = rows.agg(F.lit(None).cast("string").alias("question"), F.lit(None).cast("double").alias("score"), F.avg("score").alias("average_score"))
+    tables.write_json_arrays(rows.unionByName(trailer).coalesce(1), path)
+    return filters.without_trailer(tables.read_json_array(spark, path, "question string, score double, average_score double")).select("question", "score")
+
+
+@query("SELECT doc_id, toxic FROM labels WHERE quality < 0.5")
+def recheck_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").withColumnRenamed("quality", "score")
+    return filters.candidates_for_recheck(rows).select("doc_id", "toxic")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def routed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.checked_columns(table(spark, sf_dir, "nation"), "n_nationkey int, n_name string")
+
+
+@query("SELECT p_name || '?' AS question, (p_size * 2)::VARCHAR AS answer FROM part")
+def shaped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question and answer of a registered data set, whose answer follows a mark."""
+    rows = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit("?")).alias("question"), F.concat(F.lit("so much: 1 #### "), F.col("p_size") * 2).alias("answer"))
+    return tables.shape_dataset(rows, "gsm8k")
+
+
+def _classes(denominator: str) -> str:
+    return f"""
+WITH c AS (SELECT user_id AS qid, left(a, 1) AS class, arg_min(a, event_id) AS label, min(event_id) AS first, count(*)::BIGINT AS n_votes
+  FROM (SELECT *, CASE WHEN event_id % 3 > 0 THEN event_type END AS a FROM events) GROUP BY 1, 2)
+SELECT qid, label, n_votes, n_samples, {_r6('n_votes / n_samples')} AS p_hat FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY class IS NULL, n_votes DESC, first) AS place, (sum(n_votes) {denominator} OVER (PARTITION BY qid))::BIGINT AS n_samples FROM c)
+WHERE place = 1 AND class IS NOT NULL"""
+
+
+def _class_votes(spark: SparkSession, sf_dir: str, denominator: str) -> DataFrame:
+    votes = _votes(spark, sf_dir).withColumn("answer", F.when(F.col("sample_idx") % 3 > 0, F.col("answer")))
+    return _rounded(vote.equivalence_vote(votes, lambda a, b: a[:1] == b[:1], denominator), "p_hat")
+
+
+@query(_classes("FILTER (class IS NOT NULL)"))
+def share_of_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the samples that have an answer."""
+    return _class_votes(spark, sf_dir, "nonempty")
+
+
+@query(_classes(""))
+def share_of_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of all samples."""
+    return _class_votes(spark, sf_dir, "all")
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders), s AS (SELECT o_orderstatus AS k, (o_orderkey % 10) / 10.0::DOUBLE AS r, (o_orderkey % 7)::DOUBLE AS f FROM o)
+SELECT k AS o_orderstatus, count(*)::BIGINT AS n, {_r6('avg(r)')} AS reward, {_r6('avg(f)')} AS metric_format FROM s GROUP BY GROUPING SETS ((k), ())""")
+def validation_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked, n = _ranked_orders(spark, sf_dir)
+    rows = ranked.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    score = lambda df: df.withColumns({"reward": (F.col("o_orderkey") % 10) / 10, "metric_format": (F.col("o_orderkey") % 7).cast("double")})
+    return _rounded(stats.validated(rows, "idx", n, 64, score, "o_orderstatus"), "reward", "metric_format")
+
+
+@query(f"SELECT {_r6('avg(l_quantity)')} AS quantity, {_r6('avg(l_tax)')} AS tax FROM lineitem")
+def mean_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = _sequences(spark, sf_dir).select(F.col("items.l_quantity").alias("quantity"), F.col("items.l_tax").alias("tax"))
+    return _rounded(stats.mean_metrics(lists, "quantity", "tax"), "quantity", "tax")
+
+
+@query(f"SELECT o_orderkey AS renamed, idx FROM {_ORDERS} WHERE idx BETWEEN 100 AND 199 UNION ALL SELECT o_orderkey, idx FROM {_ORDERS} WHERE idx < 10")
+def sliced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice and the first rows of a batch, put together under another column name."""
+    ranked = _ranked_orders(spark, sf_dir)[0].select(F.col("o_orderkey").alias("renamed"), "idx")
+    return ranked.filter("idx BETWEEN 100 AND 199").unionByName(ranked.orderBy("idx").limit(10))

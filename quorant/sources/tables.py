@@ -65,6 +65,21 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """A file for each partition, a JSON array of its rows; replaces what is there."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = "["
+        for rows in batches:
+            told = rows["value"].tolist()
+            if told:
+                yield pd.DataFrame({"value": [before + told[0], *("," + x for x in told[1:])]})
+                before = ","
+        yield pd.DataFrame({"value": ["]" if before == "," else "[]"]})
+
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).mapInPandas(lines, "value string").write.mode("overwrite").text(path)
+
+
 def write_metrics(metrics: DataFrame, path: str, step: int) -> None:
     """One line of metrics a row, with its step, after those there."""
     append_json(metrics.withColumn("step", F.lit(step)), path)
