@@ -137,10 +137,12 @@ def average_linkage(distance: np.ndarray, threshold: float) -> list[int]:
     return label
 
 
-def cluster_share(df: DataFrame, batch: str, key: str, text: str, threshold: float = 0.5) -> DataFrame:
-    """key, share: size of a text's cluster over the size of its batch. Needs all distances of a batch, so batches are small by contract."""
+def cluster_share(df: DataFrame, batch: str, key: str, text: str, threshold: float = 0.5, most: int = 4096) -> DataFrame:
+    """key, share: size of a text's cluster over the size of its batch. Needs all distances of a batch; a batch of over `most` texts is an error."""
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) > most:
+            raise ValueError(f"a batch of {len(rows)} texts; at most {most} are clustered together")
         rows = rows.sort_values(key)
         tokens = [(t or "").split() for t in rows[text]]
         n = len(tokens)

@@ -439,3 +439,28 @@ def test_micro_batches_of_rows(spark):
                 sums[r.micro_batch] += size[g, r.i]
         total = sum(n for h, _, n in rows if h == g)
         assert sorted(sums) == list(range(len(sums))) and len(sums) == -(-total // 400) and max(sums.values()) - min(sums.values()) <= 100
+
+
+def test_batches_to_cluster_are_bounded(spark):
+    df = spark.createDataFrame([(0, i, f"text {i}") for i in range(5)], "b long, i long, t string")
+    assert dedup.cluster_share(df, "b", "i", "t", most=5).count() == 5
+    with pytest.raises(Exception, match="at most 4"):
+        dedup.cluster_share(df, "b", "i", "t", most=4).count()
+
+
+def test_polluters_in_any_case(spark):
+    said = ["MONGOCLIENT here", "see \\[最终答案", "clean", "a \\BOXED{} b", None, "[add] and User:"]
+    df = spark.createDataFrame([(s,) for s in said], "t string").coalesce(1)
+    found = df.select(text.is_polluted(F.col("t")), text.first_polluter(F.col("t"))).collect()
+    assert [r[0] for r in found] == [True, True, False, True, None, True]
+    assert [r[1] for r in found] == ["MONGOCLIENT", "\\[最终答案", None, "\\BOXED{}", None, "[add]"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    asked = lambda master: tables.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master)))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://host"):
+        with pytest.raises(RuntimeError):
+            asked(master)
+    assert asked("local[4]").startswith("file:") and asked("local").startswith("file:")
