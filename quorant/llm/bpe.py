@@ -280,7 +280,8 @@ def _bucketed(df: DataFrame, by: str, parts: int, name: str, codec: str) -> Data
 def encode_documents(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _bucketed(split_blocks(docs, 2 * parts, block_chars), "block", parts, "word_blocks", "none")
+    # More buckets than tasks that run at once, so that few blocks share one; a block is written to one file all the same.
+    blocks = _bucketed(split_blocks(docs, 2 * parts, block_chars), "block", 4 * parts, "word_blocks", "none")
     lists = blocks.filter("bucket IS NOT NULL").select("block", "bucket", "data").repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
     table = _bucketed(number_words(lists, path), "bucket", parts, "word_table", "zstd")
     pieces_table = spark.createDataFrame(list(enumerate(map(bytearray, pieces(path)))), "id int, piece binary")
