@@ -33,7 +33,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -136,16 +136,19 @@ def split_blocks(docs: DataFrame, buckets: int, block_chars: int = BLOCK_CHARS)
 
         def flush() -> pa.RecordBatch:
             words = [w.encode() for w in places]
-            of = [zlib.crc32(w) % buckets for w in words]
-            order = sorted(range(len(words)), key=lambda i: (of[i], words[i]))
+            places.clear()
+            of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+            by_word = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+            order = by_word[np.argsort(of[by_word], kind="stable")]
             moved = np.empty(len(words), np.int64)
             moved[order] = np.arange(len(words))
-            counts = np.bincount(moved[np.concatenate(rows)], minlength=len(words))
+            at = moved[np.concatenate(rows)]
+            counts = np.bincount(at, minlength=len(words))
             # A block's name is its partition and its place there: no two blocks share it, and a repeated task gives the same rows.
             block = partition << 32 | nth
-            lists = [(b, _pack_words([words[i] for i in part])) for b, part in groupby(order, of.__getitem__)]
-            rank = _ranks(counts)[1]
-            data = _packed(rank[moved[np.concatenate(rows)]])
+            ends = np.searchsorted(of[order], np.arange(buckets + 1)).tolist()
+            lists = [(b, _pack_words([words[i] for i in order[lo:hi].tolist()])) for b, (lo, hi) in enumerate(pairwise(ends)) if lo < hi]
+            data = _packed(_ranks(counts)[1][at])
             row = {"block": block, "doc_ids": ids, "sizes": _packed(np.array([len(r) for r in rows])), "counts": _packed(counts), "data": data}
             return pa.RecordBatch.from_pylist([row, *({"block": block, "bucket": b, "data": d} for b, d in lists)], schema=BLOCKS)
 
