@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import losses
 from ..operators import advantage, filters, partition, stats, vote, walk
 from ..sources import tables
+from ..streaming import votes
 from .catalogue import _IDX as _ORDERS
 from .catalogue import _majority, _r6, _ranked_orders, _rounded, _votes, query, r6, table
 
@@ -360,3 +361,175 @@ def sliced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slice and the first rows of a batch, put together under another column name."""
     ranked = _ranked_orders(spark, sf_dir)[0].select(F.col("o_orderkey").alias("renamed"), "idx")
     return ranked.filter("idx BETWEEN 100 AND 199").unionByName(ranked.orderBy("idx").limit(10))
+
+
+@query(f"""
+WITH u AS (SELECT o_orderkey, o_orderstatus, avg(o_totalprice) OVER w AS m, stddev_samp(o_totalprice) OVER w AS s, sum(o_totalprice) OVER w AS t, count(*) OVER w AS k, o_totalprice AS x FROM orders WINDOW w AS (PARTITION BY o_orderstatus)),
+l AS (SELECT l_orderkey, sum(l_quantity * pow(0.5, nth)) AS r FROM (SELECT *, {_AT} AS nth FROM lineitem) GROUP BY 1)
+SELECT 'grpo' AS estimator, o_orderkey, {_r6('(x - m) / (s + 1e-6)')} AS advantage FROM u UNION ALL SELECT 'rloo', o_orderkey, {_r6('x - (t - x) / (k - 1)')} FROM u
+UNION ALL SELECT 'reinforce_plus_plus', l_orderkey, {_r6('r')} FROM l""")
+def estimators_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advantages of orders within their status, and of the first of an order's lines."""
+    orders = table(spark, sf_dir, "orders")
+    tokens = _sequences(spark, sf_dir).select(F.col("l_orderkey").alias("o_orderkey"), F.col("items.l_quantity").alias("rewards"), F.transform("items", lambda _: F.lit(1)).alias("mask"))
+    named = lambda name, df: df.select(F.lit(name).alias("estimator"), "o_orderkey", r6(F.col("advantage")).alias("advantage"))
+    groups = [named(n, advantage.advantages(orders, n, group="o_orderstatus", score="o_totalprice")) for n in ("grpo", "rloo")]
+    returns = advantage.advantages(tokens, "reinforce_plus_plus", rewards="rewards", mask="mask", gamma=0.5)
+    return groups[0].unionByName(groups[1]).unionByName(named("reinforce_plus_plus", returns.withColumn("advantage", F.get("advantage", F.lit(0)))))
+
+
+_LENGTHS = "(SELECT o_custkey, o_orderkey, o_orderkey % 97 + 1 AS n FROM orders)"
+# Two parts: the two longest are put on different sides, which leaves their difference, until one difference is left.
+_SPREADS = f"""
+WITH RECURSIVE d AS (SELECT o_custkey, list(n ORDER BY n DESC) AS l FROM {_LENGTHS} GROUP BY 1 UNION ALL SELECT o_custkey, list_reverse_sort(list_append(l[3:], l[1] - l[2])) FROM d WHERE len(l) > 1),
+spreads AS (SELECT o_custkey, l[1]::BIGINT AS spread FROM d WHERE len(l) = 1), totals AS (SELECT o_custkey, sum(n)::BIGINT AS total FROM {_LENGTHS} GROUP BY 1)"""
+
+
+def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 97 + 1).alias("n"))
+
+
+@query(f"{_SPREADS} SELECT o_custkey, spread FROM spreads")
+def differencing_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far apart two parts of a customer's orders are by largest differencing."""
+    rows = _lengths(spark, sf_dir)
+    dealt = partition.balance(rows, "o_custkey", "o_orderkey", "n", 2).join(rows, ["o_custkey", "o_orderkey"])
+    return dealt.groupBy("o_custkey").agg(F.abs(F.sum(F.when(F.col("part") == 0, F.col("n")).otherwise(-F.col("n")))).alias("spread"))
+
+
+@query(f"{_SPREADS} SELECT o_custkey, CASE WHEN total > 700 THEN 2 ELSE 1 END AS n_batches, CASE WHEN total > 700 THEN (total + spread) // 2 ELSE total END AS most_tokens FROM spreads JOIN totals USING (o_custkey)")
+def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced micro-batches of a customer's orders, as few as 700 tokens each allow (two at the most here)."""
+    rows = _lengths(spark, sf_dir)
+    dealt = partition.micro_batch_rows(rows, "o_custkey", "o_orderkey", "n", 700).join(rows, ["o_custkey", "o_orderkey"])
+    sums = dealt.groupBy("o_custkey", "micro_batch").agg(F.sum("n").alias("tokens"))
+    return sums.groupBy("o_custkey").agg(F.count("*").cast("int").alias("n_batches"), F.max("tokens").alias("most_tokens"))
+
+
+@query(f"""
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM {_LENGTHS}),
+w AS (SELECT DISTINCT o_custkey, 0::BIGINT AS nth, 0::BIGINT AS o_orderkey, 0 AS part, [0, 0, 0]::BIGINT[] AS s FROM o UNION ALL
+  SELECT o.o_custkey, o.nth, o.o_orderkey, list_position(s, list_min(s)) - 1, list_transform(s, lambda x, i: x + CASE WHEN i = list_position(s, list_min(s)) THEN n ELSE 0 END) FROM w JOIN o ON o.o_custkey = w.o_custkey AND o.nth = w.nth + 1)
+SELECT o_custkey, o_orderkey, part FROM w WHERE nth > 0""")
+def greedy_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders, each in turn to the lightest of three parts."""
+    return partition.balance(_lengths(spark, sf_dir), "o_custkey", "o_orderkey", "n", 3, "greedy")
+
+
+@query("SELECT s_suppkey, s_nationkey + 66 AS s_nationkey FROM supplier")
+def resumed_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve iterations, of which the last comes from a second run that goes on after the eleventh."""
+    path, start = _place(spark, "iterations"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    add = lambda spark, pool, i: pool.withColumn("s_nationkey", F.col("s_nationkey") + i)
+    walk.run_iterations(spark, start, [add], 11, path)
+    return walk.run_iterations(spark, start, [add], 12, path)
+
+
+@query("SELECT p_partkey AS qid, p_size AS sample_idx, p_name AS prompt, upper(p_name) AS response FROM part")
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client whose first call in each task fails, so that it is made again."""
+
+    def client() -> tables.Client:
+        calls: list[int] = []
+
+        def call(prompts: list[str]) -> list[str]:
+            calls.append(len(prompts))
+            if len(calls) == 1:
+                raise ConnectionError
+            return [p.upper() for p in prompts]
+
+        return call
+
+    return tables.complete(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("qid"), F.col("p_size").alias("sample_idx"), F.col("p_name").alias("prompt")), client)
+
+
+@query("SELECT s_suppkey AS qid, s_name AS prompt, CASE WHEN s_suppkey % 4 = 0 THEN '-1' ELSE length(s_name)::VARCHAR END AS response FROM supplier")
+def service_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scoring service that fails on some questions, which get its sentinel."""
+
+    def client() -> tables.Client:
+        def call(prompts: list[str]) -> list[str]:
+            if any(int(p.partition("|")[0]) % 4 == 0 for p in prompts):
+                raise TimeoutError
+            return [str(len(p.partition("|")[2])) for p in prompts]
+
+        return call
+
+    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("qid"), F.concat_ws("|", "s_suppkey", "s_name").alias("prompt"))
+    return tables.complete(asked, client, batch=1, tries=2, fallback="-1").withColumn("prompt", F.substring_index("prompt", "|", -1))
+
+
+@query(f"SELECT l_returnflag, {_r6('avg(l_quantity)')} AS quantity, s.step FROM lineitem, (SELECT unnest([1, 2]) AS step) s GROUP BY ALL")
+def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of two steps, appended to one log and read back."""
+    path, means = _place(spark, "metrics"), table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(r6(F.avg("l_quantity")).alias("quantity"))
+    for step in (1, 2):
+        tables.write_metrics(means, path, step)
+    return spark.read.schema("l_returnflag string, quantity double, step int").json(path)
+
+
+@query("SELECT n_nationkey, n_name, s.step FROM nation, (SELECT unnest([1, 2]) AS step) s")
+def sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of two steps in one log; there are fewer than may be drawn."""
+    path, rows = _place(spark, "samples"), table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    for step in (1, 2):
+        tables.write_samples(rows, path, step, "n_nationkey", 100)
+    return spark.read.schema("n_nationkey int, n_name string, step int").json(path)
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def consumed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of rows, each read once as a stream."""
+    folder, path = _place(spark, "drop"), _place(spark, "consumed")
+    tables.write_json_arrays(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").repartition(3), folder)
+    votes.run_available(tables.consume_once(spark, folder, "o_orderkey long, o_orderstatus string"), path, _place(spark, "consumed-log"))
+    return spark.read.schema("o_orderkey long, o_orderstatus string").parquet(path)
+
+
+@query("""
+WITH e AS (SELECT *, date_trunc('hour', ts) AS h FROM events), closed AS (SELECT * FROM e WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE),
+c AS (SELECT user_id AS qid, event_type AS answer, count(*)::BIGINT AS n, min(event_id) AS first FROM closed GROUP BY 1, 2) SELECT qid, answer, n, first FROM c""")
+def streamed_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of the windows that the watermark has closed; what comes after is not counted."""
+    folder, path = _place(spark, "events"), _place(spark, "votes")
+    found = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("qid"), F.col("event_id").alias("sample_idx"), F.col("event_type").alias("answer"))
+    found.write.parquet(folder)
+    # All files in one batch, so that none is late.
+    counted = votes.windowed_votes(votes.read_events(spark, folder, found.schema, max_files=1 << 30))
+    votes.run_available(counted, path, _place(spark, "votes-log"))
+    closed = spark.read.schema(counted.schema).parquet(path)
+    return closed.groupBy("qid", "answer").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def mixed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result objects appended to one another without line breaks, indented or not."""
+    path, rows = _place(spark, "glued"), table(spark, sf_dir, "nation")
+    flat = F.to_json(F.struct("n_nationkey", "n_name"))
+    told = F.when(F.col("n_nationkey") % 2 == 0, flat).otherwise(F.replace(flat, F.lit(","), F.lit(",\n    ")))
+    rows.groupBy("n_regionkey").agg(F.concat_ws("", F.collect_list(told)).alias("value")).select("value").write.text(path)
+    return tables.read_mixed_json(spark, path, "n_nationkey int, n_name string")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 < 2")
+def shards_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of which one was never written, found by a pattern."""
+    path, rows = _place(spark, "shards"), table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    for shard in (0, 1):
+        tables.write_json_arrays(rows.filter(F.col("c_custkey") % 3 == shard), f"{path}/{shard}")
+    return tables.read_shards(spark, f"{path}/[0-2]/part-*", "c_custkey long, c_mktsegment string")
+
+
+@query("SELECT n_nationkey AS iteration, [0.1, 0.2, 0.4][least(n_nationkey, 2) + 1]::DOUBLE AS beta, "
+       f"{_r6('0.2 * (1 + least(0.2, greatest(-0.2, n_nationkey / 10.0 - 1)) * 8 / 100)')} AS coefficient FROM nation")
+def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The step size and the divergence coefficient of each iteration."""
+    at = [(i, walk.schedule([0.1, 0.2, 0.4], i), walk.kl_coefficient(0.2, float(i), 10.0, 8, 100)) for i in range(25)]
+    return _rounded(spark.createDataFrame(at, "iteration int, beta double, coefficient double"), "coefficient")
+
+
+@query("SELECT 1.0::DOUBLE AS weight, 0.5::DOUBLE AS beta, 3::BIGINT AS seed")
+def merged_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defaults, a file's values over them, then those of a command line."""
+    found = tables.merged(walk.WalkSettings(), {"beta": 0.2, "seed": 3}, {"beta": 0.5})
+    return spark.createDataFrame([(found.weight, found.beta, found.seed)], "weight double, beta double, seed long")

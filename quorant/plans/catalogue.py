@@ -427,14 +427,53 @@ def kk_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.balance(docs, "batch", "doc_id", "n_chars", 8)
 
 
-@query()
+def _grams(own: str) -> str:
+    return f"""
+words AS (SELECT id, unnest(w) AS g1, generate_subscripts(w, 1) AS pos FROM {own}),
+runs AS (SELECT id, g1, lead(g1, 1) OVER t AS b, lead(g1, 2) OVER t AS c, lead(g1, 3) OVER t AS d FROM words WINDOW t AS (PARTITION BY id ORDER BY pos)),
+grams AS (SELECT id, k, g, count(*) AS m FROM (
+    SELECT id, 1 AS k, g1 AS g FROM runs UNION ALL SELECT id, 2, g1 || ' ' || b FROM runs WHERE b IS NOT NULL
+    UNION ALL SELECT id, 3, g1 || ' ' || b || ' ' || c FROM runs WHERE c IS NOT NULL UNION ALL SELECT id, 4, g1 || ' ' || b || ' ' || c || ' ' || d FROM runs WHERE d IS NOT NULL) GROUP BY ALL)"""
+
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
+_BLEU = f"""
+hits AS (SELECT i, j, a.k, sum(least(a.m, b.m)) AS n FROM candidates JOIN grams a ON a.id = i JOIN grams b ON b.id = j AND b.k = a.k AND b.g = a.g GROUP BY ALL),
+scores AS (SELECT i, j, least(1, exp(1 - any_value(r.n_words) / any_value(h.n_words))) * exp(({' + '.join(f"ln(coalesce(max(n) FILTER (k = {k}), 0.1::DOUBLE) / greatest(1, any_value(h.n_words) - {k - 1}))" for k in (1, 2, 3, 4))}) / 4) AS bleu
+  FROM hits JOIN own h ON h.id = i JOIN own r ON r.id = j GROUP BY i, j)"""
+_NEAR = f"""
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+own AS (SELECT min(doc_id) AS id, count(*) AS n_copies, w, len(w) AS n_words FROM docs GROUP BY w), {_grams('own')},
+candidates AS (SELECT DISTINCT a.id AS i, b.id AS j FROM grams a JOIN grams b ON a.k = b.k AND a.g = b.g AND a.id < b.id JOIN own h ON h.id = a.id JOIN own r ON r.id = b.id
+  WHERE a.k = CASE WHEN h.n_words < 5 THEN 1 ELSE 4 END AND 2 * r.n_words > h.n_words AND r.n_words < 1.7 * h.n_words), {_BLEU},
+ends AS (SELECT i AS id, j AS other FROM scores WHERE bleu > 0.5 UNION ALL SELECT j, i FROM scores WHERE bleu > 0.5)"""
+
+
+@query(f"""
+WITH own AS (SELECT doc_id AS id, w, len(w) AS n_words FROM (SELECT doc_id, {_WORDS} AS w FROM documents)), {_grams('own')},
+candidates AS (SELECT (SELECT min(doc_id) FROM documents) AS i, doc_id AS j FROM documents), {_BLEU}
+SELECT j AS doc_id, {_r6('bleu')} AS bleu FROM scores WHERE bleu > 0.5""")
+def near_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents near the first one, which is the hypothesis."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    first = docs.agg(F.min_by("text", "doc_id")).first()[0]
+    return _rounded(dedup.one_against(docs, "doc_id", "text", first), "bleu")
+
+
+@query(f"""
+WITH {_NEAR}
+SELECT doc_id, id AS class_id, (SELECT count(*) FROM ends WHERE ends.id = own.id) AS n_links FROM docs JOIN own USING (w)""")
 def near_dup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     own = dedup.written(dedup.classes(docs, "doc_id", "text"), "classes")
     return dedup.membership(docs, "doc_id", "text", own, dedup.written(dedup.near_pairs(own), "pairs"))
 
 
-@query()
+@query(f"""
+WITH {_NEAR},
+degrees AS (SELECT id, w, CASE WHEN n_words >= 3 THEN n_copies ELSE 1 END + coalesce((SELECT sum(o.n_copies) FROM ends JOIN own o ON o.id = ends.other WHERE ends.id = own.id), 0) AS degree FROM own),
+pool AS (SELECT greatest(0, 1 - 2 * abs(doc_id % 10 / 10.0::DOUBLE - 0.5::DOUBLE)) - degree::DOUBLE / (SELECT count(*) FROM docs) AS utility FROM docs JOIN degrees USING (w))
+SELECT {_r6('sum(greatest(0, utility))')} AS energy FROM pool""")
 def near_dup_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     own = dedup.written(dedup.classes(docs, "doc_id", "text"), "classes")
