@@ -32,28 +32,29 @@ def remax(df: DataFrame, baselines: DataFrame, group: str = "uid", score: str =
     return df.join(baselines.select(group, "baseline"), group).withColumn("advantage", F.col(score) - F.col("baseline")).drop("baseline")
 
 
-def _backward(xs: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """Running values from the end: step(previous value, element), in the order of xs."""
-    run = F.aggregate(F.reverse(xs), F.struct(F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("out")), lambda a, x: F.struct(step(a["v"], x).alias("v"), F.array_append(a["out"], step(a["v"], x)).alias("out")))
-    return F.reverse(run["out"])
+def _backward(xs: Column, factors: Column) -> Column:
+    """v[i] = x[i] + factor[i] * v[i + 1], 0 after the end; by doubling, so that n values cost n log n."""
+    later = lambda z, i, name: F.when(i < F.size(z), F.get(z, i)[name]).otherwise(0.0)
+
+    def joined(z: Column, k: Column) -> Column:
+        # Before: v[i] = x[i] + f[i] * v[i + k]. After: the same with 2k.
+        return F.transform(z, lambda p, i: F.struct((p["x"] + p["f"] * later(z, i + k, "x")).alias("x"), (p["f"] * later(z, i + k, "f")).alias("f")))
+
+    pairs = F.zip_with(xs, factors, lambda x, f: F.struct(x.cast("double").alias("x"), f.cast("double").alias("f")))
+    spans = F.filter(F.array(*[F.lit(1 << j) for j in range(31)]), lambda k: k < F.size(xs))
+    return F.transform(F.aggregate(spans, pairs, joined), lambda p: p["x"])
 
 
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     """Reversed discounted sums; the running value, not the written one, is masked."""
-    pairs = F.zip_with(rewards, mask, lambda r, m: F.struct(r.cast("double").alias("r"), m.cast("double").alias("m")))
-    run = F.aggregate(
-        F.reverse(pairs),
-        F.struct(F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("out")),
-        lambda a, x: F.struct(((x["r"] + gamma * a["v"]) * x["m"]).alias("v"), F.array_append(a["out"], x["r"] + gamma * a["v"]).alias("out")),
-    )
-    return F.reverse(run["out"])
+    return _backward(rewards, F.transform(mask, lambda _, i: gamma * F.coalesce(F.get(mask, i + 1).cast("double"), F.lit(0.0))))
 
 
 def gae(rewards: Column, values: Column, gamma: float = 1.0, lam: float = 1.0) -> tuple[Column, Column]:
     """Advantages and returns (advantages + values) of a token sequence; the value after the end is 0."""
     after = F.concat(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.array(F.lit(0.0)))
     delta = F.zip_with(F.zip_with(rewards, after, lambda r, n: r + gamma * n), values, lambda d, v: d - v)
-    advantages = _backward(delta, lambda carry, d: d + gamma * lam * carry)
+    advantages = _backward(delta, F.transform(delta, lambda _: F.lit(gamma * lam)))
     return advantages, F.zip_with(advantages, values, lambda a, v: a + v)
 
 

@@ -464,3 +464,14 @@ def test_a_cluster_needs_a_shared_folder():
         with pytest.raises(RuntimeError):
             asked(master)
     assert asked("local[4]").startswith("file:") and asked("local").startswith("file:")
+
+
+def test_returns_of_long_and_empty_sequences(spark):
+    r, m = [float(i * 7919 % 13) for i in range(5000)], [int(i % 11 != 7) for i in range(5000)]
+    df = spark.createDataFrame([(0, r, m), (1, [], []), (2, [1.0, None, 2.0], [1, 1, 1]), (3, None, None)], "k int, r array<double>, m array<int>")
+    got = [x[1] for x in df.select("k", advantage.discounted_returns(F.col("r"), F.col("m"), 0.99)).orderBy("k").collect()]
+    run, want = 0.0, []
+    for x, keep in zip(reversed(r), reversed(m), strict=True):
+        want.append(x + 0.99 * run)
+        run = want[-1] * keep
+    assert np.allclose(got[0], want[::-1]) and got[1:] == [[], [None, None, 2.0], None]
