@@ -29,17 +29,22 @@ from ..sources.tables import written
 NEAR = 0.5
 
 
-def bleu(hyp: list[str], ref: list[str]) -> float:
+def bleu(hyp: list[str], ref: list[str], above: float = 0.0) -> float:
+    """0 as soon as the n-grams counted so far, the longest first, show that it is not over `above`."""
     c, r = len(hyp), len(ref)
-    if not c or not set(hyp) & set(ref):
+    if not c or not r:
         return 0.0
-    logs = 0.0
-    for n in range(1, 5):
+    brevity, logs = min(1.0, math.exp(1 - r / c)), []
+    if brevity < above * (1 - 1e-9) or set(hyp).isdisjoint(ref):
+        return 0.0
+    for n in range(4, 0, -1):
         grams = Counter(zip(*(hyp[i:] for i in range(n)), strict=False))
         known = Counter(zip(*(ref[i:] for i in range(n)), strict=False))
         hits = sum((grams & known).values())
-        logs += math.log((hits or 0.1) / max(1, c - n + 1))
-    return min(1.0, math.exp(1 - r / c)) * math.exp(logs / 4)
+        logs.append(math.log((hits or 0.1) / max(1, c - n + 1)))
+        if brevity * math.exp(sum(logs) / 4) < above * (1 - 1e-9):
+            return 0.0
+    return brevity * math.exp((logs[3] + logs[2] + logs[1] + logs[0]) / 4)
 
 
 def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -77,15 +82,15 @@ def near_pairs(own: DataFrame, threshold: float = NEAR) -> DataFrame:
     sets = written(gram_sets(own), "grams")
     pairs = written(candidate_pairs(own, sets), "candidates")
     side = lambda k: sets.select(F.col("id").alias(k), F.col("c").alias(f"c_{k}"), F.col("gs").alias(f"gs_{k}"))
-    # The bound on 4-grams again, now on all of them: each distinct one that is not shared leaves a position without a match.
-    enough = "c_i < 5 OR 16 * (c_i - 3 - size(gs_i) + size(array_intersect(gs_i, gs_j))) > c_i - 3"
+    # The bound on 4-grams again, now on all of them, with the brevity penalty: each distinct one that is not shared leaves a position without a match.
+    enough = "c_i < 5 OR 16.001 * (c_i - 3 - size(gs_i) + size(array_intersect(gs_i, gs_j))) * least(1, exp(4 * (1 - c_j / c_i))) > c_i - 3"
     pairs = pairs.join(side("i"), "i").join(side("j"), "j").filter(enough).select("i", "j")
     text = own.select("id", "tokens")
     pairs = pairs.join(text.select(F.col("id").alias("i"), F.col("tokens").alias("hyp")), "i").join(text.select(F.col("id").alias("j"), F.col("tokens").alias("ref")), "j")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            scores = np.array([bleu(list(h), list(r)) for h, r in zip(b["hyp"], b["ref"], strict=True)], float)
+            scores = np.array([bleu(list(h), list(r), threshold) for h, r in zip(b["hyp"], b["ref"], strict=True)], float)
             yield b.loc[scores > threshold, ["i", "j"]].assign(bleu=scores[scores > threshold])
 
     return pairs.select("i", "j", "hyp", "ref").mapInPandas(verify, "i long, j long, bleu double")
@@ -100,11 +105,12 @@ def degrees(own: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def membership(docs: DataFrame, key: str, text: str, own: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A row per document: key, class_id, n_links (classes near its own)."""
+    """A row per document: key, class_id, n_links (classes near its own). Joined by digests of the tokens, so that no text is shuffled."""
+    digest = lambda tokens: F.sha2(F.concat_ws(" ", tokens), 256).alias("digest")
     tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda t: t != "")
     ends = pairs.selectExpr("i AS id").unionByName(pairs.selectExpr("j AS id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = own.select(F.col("id").alias("class_id"), "tokens").join(ends.withColumnRenamed("id", "class_id"), "class_id", "left")
-    return docs.select(F.col(key), tokens.alias("tokens")).join(named, "tokens").select(key, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = own.select(F.col("id").alias("class_id"), digest("tokens")).join(ends.withColumnRenamed("id", "class_id"), "class_id", "left")
+    return docs.select(F.col(key), digest(tokens)).join(named, "digest").select(key, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_against(df: DataFrame, key: str, text: str, new: str) -> DataFrame:

@@ -96,7 +96,7 @@ def walk_step(pool: DataFrame, proposals: DataFrame, step: int, settings: WalkSe
             place = {k: i for i, k in enumerate(rows["id"].tolist())}
             near = [{i} | {place[k] for k in ks} for i, ks in enumerate(rows["near"])]
         else:
-            near = [{j for j in range(n) if i == j or bleu(tokens[min(i, j)], tokens[max(i, j)]) > NEAR} for i in range(n)]
+            near = [{j for j in range(n) if i == j or bleu(tokens[min(i, j)], tokens[max(i, j)], NEAR) > NEAR} for i in range(n)]
         value = lambda k: utility(answers[k], settings.weight * len(near[k]) / n)
         alphas: list[float | None] = [None] * n
         taken: list[bool | None] = [None] * n
@@ -105,7 +105,7 @@ def walk_step(pool: DataFrame, proposals: DataFrame, step: int, settings: WalkSe
             if text == texts[k]:
                 continue
             hyp = text.split()
-            now = {k} | {j for j in range(n) if j != k and bleu(hyp, tokens[j]) > NEAR}
+            now = {k} | {j for j in range(n) if j != k and bleu(hyp, tokens[j], NEAR) > NEAR}
             touched = {k} | near[k] ^ now
             before = [value(j) for j in touched]
             old = near[k], answers[k]

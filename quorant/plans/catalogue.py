@@ -513,13 +513,23 @@ def cluster_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(dedup.cluster_share(items, "batch", "item_id", "text"), "share")
 
 
+def _walked(spark: SparkSession, items: DataFrame, carried: bool) -> DataFrame:
+    """One step of chains of 32 of the items (id, text); the proposal for an item is the text of the next one."""
+    draw = lambda seed: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.pmod(F.xxhash64("id", i, F.lit(seed)), F.lit(3)).cast("string"))
+    chain = F.floor(F.col("id") / 32).alias("chain")
+    pool = items.select(chain, "id", "text", draw(1).alias("answers"))
+    following = items.select((F.col("id") - 1).alias("id"), "text")
+    proposals = following.select(chain, "id", "text", draw(2).alias("answers"))
+    moved = walk.walk_step(walk.with_neighbours(pool) if carried else pool, proposals, 0)
+    return _rounded(moved, "alpha").select("chain", "id", F.sha2("text", 256).alias("text_sha256"), "accepted", "alpha")
+
+
 @query()
 def mh_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One step of chains of 32 items; the proposal for an item is the text of the next one."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    draw = lambda seed: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.pmod(F.xxhash64("item_id", i, F.lit(seed)), F.lit(3)).cast("string"))
-    chain = F.floor(F.col("item_id") / 32).alias("chain")
-    pool = items.select(chain, F.col("item_id").alias("id"), "text", draw(1).alias("answers"))
-    following = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("text"))
-    proposals = following.select(chain, F.col("item_id").alias("id"), "text", draw(2).alias("answers"))
-    return _rounded(walk.walk_step(pool, proposals, 0), "alpha").select("chain", "id", F.sha2("text", 256).alias("text_sha256"), "accepted", "alpha")
+    return _walked(spark, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), False)
+
+
+@query()
+def mh_walk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over documents, whose neighbours come from one join."""
+    return _walked(spark, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), True)

@@ -475,3 +475,11 @@ def test_returns_of_long_and_empty_sequences(spark):
         want.append(x + 0.99 * run)
         run = want[-1] * keep
     assert np.allclose(got[0], want[::-1]) and got[1:] == [[], [None, None, 2.0], None]
+
+
+def test_bleu_over_a_threshold(spark):
+    texts = [["a b c d e f g h", "a b c d e f g h"], ["a b c d e f g h", "a b c d x f g h"], ["a b", "a b"], ["a", "b"], ["", "a"], ["a b c d e", "a b c d e f g h i j k"], ["x y z w v", "x y z w u"]]
+    for hyp, ref in texts:
+        whole = dedup.bleu(hyp.split(), ref.split())
+        for above in (0.1, 0.3, 0.5, 0.7):
+            assert (dedup.bleu(hyp.split(), ref.split(), above) > above) == (whole > above)
