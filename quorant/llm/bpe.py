@@ -27,6 +27,7 @@ ignored.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import re
@@ -49,19 +50,21 @@ BLOCK_CHARS = 32 << 20
 _WHITE = r"\t-\r \x85\xa0  -     　"
 WORD = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
-_tokenizers: dict[str, object] = {}
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
+    made = Tokenizer.from_file(path)
+    made.no_truncation()
+    made.no_padding()
+    return made
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
-        made.no_truncation()
-        made.no_padding()
-        _tokenizers[path] = made
-    return _tokenizers[path]
+def _give_back() -> None:
+    """Free memory goes back to the system: else every worker that waits for its next task keeps the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def pieces(path: str) -> list[bytes]:
@@ -79,7 +82,7 @@ def _packed(values: np.ndarray) -> bytes:
     """Integers by byte planes, compressed; the high planes are nearly constant."""
     import zstandard
 
-    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    planes = values.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T
     return zstandard.ZstdCompressor(level=9).compress(np.ascontiguousarray(planes).tobytes())
 
 
@@ -135,20 +138,22 @@ def split_blocks(docs: DataFrame, buckets: int, block_chars: int = BLOCK_CHARS)
         partition, nth = TaskContext.get().partitionId(), 0
 
         def flush() -> pa.RecordBatch:
-            words = [w.encode() for w in places]
+            words = list(places)
             places.clear()
+            for i, word in enumerate(words):  # in place, so that few words are held twice
+                words[i] = word.encode()
             of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             by_word = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
             order = by_word[np.argsort(of[by_word], kind="stable")]
-            moved = np.empty(len(words), np.int64)
-            moved[order] = np.arange(len(words))
+            moved = np.empty(len(words), np.uint32)
+            moved[order] = np.arange(len(words), dtype=np.uint32)
             at = moved[np.concatenate(rows)]
             counts = np.bincount(at, minlength=len(words))
             # A block's name is its partition and its place there: no two blocks share it, and a repeated task gives the same rows.
             block = partition << 32 | nth
             ends = np.searchsorted(of[order], np.arange(buckets + 1)).tolist()
             lists = [(b, _pack_words([words[i] for i in order[lo:hi].tolist()])) for b, (lo, hi) in enumerate(pairwise(ends)) if lo < hi]
-            data = _packed(_ranks(counts)[1][at])
+            data = _packed(_ranks(counts)[1].astype("<u4")[at])
             row = {"block": block, "doc_ids": ids, "sizes": _packed(np.array([len(r) for r in rows])), "counts": _packed(counts), "data": data}
             return pa.RecordBatch.from_pylist([row, *({"block": block, "bucket": b, "data": d} for b, d in lists)], schema=BLOCKS)
 
@@ -163,6 +168,8 @@ def split_blocks(docs: DataFrame, buckets: int, block_chars: int = BLOCK_CHARS)
                 size += len(text)
         if rows:
             yield flush()
+        rows.clear()
+        _give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, "block long, bucket int, doc_ids array<long>, sizes binary, counts binary, data binary")
 
@@ -175,7 +182,7 @@ def number_words(lists: DataFrame, path: str) -> DataFrame:
     """From the word lists (block, bucket, data): a row (bucket, number, word, ids) for each distinct word, and a row (bucket, block, numbers) for each list."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, current = _Places(), None
+        places, current, tokenizer = _Places(), None, None
         for batch in batches:
             for block, bucket, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != current:
@@ -184,13 +191,16 @@ def number_words(lists: DataFrame, path: str) -> DataFrame:
                 words = _unpack_words(data)
                 numbers = np.fromiter(map(places.__getitem__, words), np.uint32, len(words))
                 new = [words[i].decode() for i in np.flatnonzero(numbers >= known).tolist()]
+                tokenizer = tokenizer or _tokenizer(path)
                 for i in range(0, len(new), 20_000):
                     part = new[i : i + 20_000]
-                    ids = [e.ids for e in _tokenizer(path).encode_batch_fast(part, add_special_tokens=False)]
+                    ids = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
                     n = len(part)
                     columns = [np.full(n, bucket, np.int32), np.arange(known + i, known + i + n, dtype=np.int32), part, ids, [None] * n, [None] * n]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, WORD_TABLE, strict=True)], schema=WORD_TABLE)
                 yield pa.RecordBatch.from_pylist([{"bucket": bucket, "block": block, "numbers": _packed(numbers)}], schema=WORD_TABLE)
+        del places, tokenizer
+        _give_back()
 
     return lists.select("block", "bucket", "data").mapInArrow(number, TABLE)
 
@@ -231,6 +241,8 @@ def spell_lists(lists: DataFrame, words: DataFrame) -> DataFrame:
             sizes = ends[own + 1] - ends[own]
             at = np.repeat(ends[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
             out.append(_pack_all(_packed(sizes), _packed(flat[at]), _pack_words([decoded[i] for i in own.tolist()])))
+        del decoded, ids, flat
+        _give_back()
         return pa.table([held["block"], held["bucket"], pa.array(out, pa.binary())], names=["block", "bucket", "data"])
 
     return lists.groupBy("bucket").cogroup(words.groupBy("word_bucket")).applyInArrow(spell, "block long, bucket int, data binary")
@@ -245,7 +257,7 @@ def join_back(placed: DataFrame, spelled: DataFrame) -> DataFrame:
     def join(rows: pa.Table, lists: pa.Table) -> pa.Table:
         block, *others = rows.to_pylist()
         assert not others
-        order = _ranks(_unpacked(block["counts"]))[0].tolist()
+        order = _ranks(_unpacked(block["counts"]))[0]
         numbers, decoded, counts = [], [], []
         for data in lists.sort_by("bucket")["data"].to_pylist():
             sizes, ids, words = _unpack_all(data)
@@ -254,16 +266,17 @@ def join_back(placed: DataFrame, spelled: DataFrame) -> DataFrame:
             numbers += [",".join(map(str, ids[a:b])) for a, b in zip([0, *ends], ends)]  # noqa: B905
             decoded += _unpack_words(words)
             counts.append(size)
-        numbers, decoded = [numbers[i] for i in order], [decoded[i] for i in order]
-        count = np.concatenate(counts).astype(np.int64)[order] if counts else np.zeros(0, np.int64)
+        count = np.concatenate(counts) if counts else np.zeros(0, np.uint32)
         out = []
         places, upto = _unpacked(block["data"]), np.cumsum(_unpacked(block["sizes"])).tolist()
         for doc, a, b in zip(block["doc_ids"], [0, *upto], upto):  # noqa: B905
-            at = places[a:b]
+            at = order[places[a:b]]
             own = at.tolist()
             text = b"".join([decoded[i] for i in own]).decode("utf-8", "replace")
             told = ",".join([numbers[i] for i in own])
-            out.append((doc, int(count[at].sum()), hashlib.sha256(told.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+            out.append((doc, int(count[at].sum(dtype=np.int64)), hashlib.sha256(told.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+        del numbers, decoded
+        _give_back()
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), DOCUMENTS, strict=True)], schema=DOCUMENTS)
 
     spelled = spelled.withColumnRenamed("block", "of_block")
