@@ -258,24 +258,24 @@ def join_back(placed: DataFrame, spelled: DataFrame) -> DataFrame:
         block, *others = rows.to_pylist()
         assert not others
         order = _ranks(_unpacked(block["counts"]))[0]
-        numbers, decoded, counts = [], [], []
-        for data in lists.sort_by("bucket")["data"].to_pylist():
-            sizes, ids, words = _unpack_all(data)
-            size, ids = _unpacked(sizes), _unpacked(ids).tolist()
-            ends = np.cumsum(size).tolist()
-            numbers += [",".join(map(str, ids[a:b])) for a, b in zip([0, *ends], ends)]  # noqa: B905
-            decoded += _unpack_words(words)
-            counts.append(size)
-        count = np.concatenate(counts) if counts else np.zeros(0, np.uint32)
-        out = []
+        parts = [tuple(_unpack_all(data)) for data in lists.sort_by("bucket")["data"].to_pylist()]
         places, upto = _unpacked(block["data"]), np.cumsum(_unpacked(block["sizes"])).tolist()
-        for doc, a, b in zip(block["doc_ids"], [0, *upto], upto):  # noqa: B905
+        spans = list(pairwise([0, *upto]))
+        # The texts first, then the ids: a block's words are held as bytes or as numbers, not as both.
+        spelled = [w for _, _, words in parts for w in _unpack_words(words)]
+        texts = [hashlib.sha256(b"".join([spelled[i] for i in order[places[a:b]].tolist()]).decode("utf-8", "replace").encode()).hexdigest() for a, b in spans]
+        del spelled
+        numbers, counts = [], [np.zeros(0, np.uint32)]
+        for sizes, ids, _ in parts:
+            counts.append(_unpacked(sizes))
+            ends, ids = np.cumsum(counts[-1]).tolist(), _unpacked(ids).tolist()
+            numbers += [",".join(map(str, ids[a:b])) for a, b in pairwise([0, *ends])]
+        count, out = np.concatenate(counts), []
+        for doc, text, (a, b) in zip(block["doc_ids"], texts, spans, strict=True):
             at = order[places[a:b]]
-            own = at.tolist()
-            text = b"".join([decoded[i] for i in own]).decode("utf-8", "replace")
-            told = ",".join([numbers[i] for i in own])
-            out.append((doc, int(count[at].sum(dtype=np.int64)), hashlib.sha256(told.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-        del numbers, decoded
+            told = ",".join([numbers[i] for i in at.tolist()])
+            out.append((doc, int(count[at].sum(dtype=np.int64)), hashlib.sha256(told.encode()).hexdigest(), text))
+        del numbers
         _give_back()
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), DOCUMENTS, strict=True)], schema=DOCUMENTS)
 
