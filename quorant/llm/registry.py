@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and the SQL that DuckDB can run for the same rows."""
 
-from . import bpe, chat, langid, packing, pii, prefixhash, quality, secrets, sharding, simhash
+from . import bpe, chat, langid, packing, pieces, pii, prefixhash, quality, secrets, sharding, simhash
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_secrets": secrets.op9_secrets,
     "op10_sharding": sharding.op10_sharding,
+    "op12_pieces": pieces.op12_pieces,
 }
 
 ORACLE_SQL = {"op1_quality": quality.ORACLE_SQL, "op5_chat": chat.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL}
