@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and the SQL that DuckDB can run for the same rows."""
 
-from . import bpe, chat, langid, packing, pieces, pii, prefixhash, quality, secrets, sharding, simhash
+from . import bitslices, bpe, chat, langid, packing, pieces, pii, prefixhash, quality, secrets, sharding, simhash
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,3 +17,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {"op1_quality": quality.ORACLE_SQL, "op5_chat": chat.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL}
+
+#: Those over the shop's tables.
+SHOP_QUERIES = {"op11_ties": bitslices.op11_ties}
+
+SHOP_SQL = {"op11_ties": bitslices.ORACLE_SQL}
