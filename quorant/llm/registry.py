@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and the SQL that DuckDB can run for the same rows."""
 
-from . import bitslices, bpe, chat, langid, packing, pieces, pii, prefixhash, quality, secrets, sharding, simhash
+from . import bitslices, bpe, chat, langid, packing, pieces, pii, prefixhash, quality, repair, secrets, sharding, simhash
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_sharding": sharding.op10_sharding,
     "op12_pieces": pieces.op12_pieces,
+    "op13_repair": repair.op13_repair,
 }
 
 ORACLE_SQL = {"op1_quality": quality.ORACLE_SQL, "op5_chat": chat.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL}
