@@ -10,8 +10,8 @@ of reachable sums lead it to every filling of a given waste and to nothing
 else. Each filling is applied as often as the histogram allows, later once, so
 that no packing is out of reach, and a branch whose waste exceeds what one bin
 fewer can hold is left. Exhausted without a packing, the search proves that
-there is none; it stops undecided only after NODES turns back, and the incumbent
-stands. The plan (runs of equal bins) has a few rows per length; the pieces find
+there is none; it stops undecided only after NODES turns back or TRIED tests of
+fillings, and the incumbent stands. The plan (runs of equal bins) has a few rows per length; the pieces find
 their places in it by their rank among the pieces of their length.
 
 Tokenising keeps a bounded cache of the ids of pieces of text in each worker. A
@@ -54,6 +54,8 @@ NODES = 2_000
 AWAKE = 4
 #: Steps in which one filling is tested against another; undecided, it is kept, which costs time alone.
 TESTED = 2_000
+#: Fillings found, and tests of one against another, in one search: with very short pieces there are more of them than could be gone through.
+TRIED = 1_000_000
 #: Pieces that one window group ranks, about.
 RANKED = 1_000
 
@@ -218,26 +220,42 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, Pattern]]
 
 def _dominates(big: tuple[int, ...], small: tuple[int, ...]) -> bool:
     """Whether the items of `small` are found to fit into bins of the sizes in `big` (Martello and Toth); items of both are set against each other."""
-    more, rest = Counter(big), Counter(small)
-    room, items = sorted((more - rest).elements()), sorted((rest - more).elements(), reverse=True)
-    steps = TESTED
-
-    def place(i: int) -> bool:
-        nonlocal steps
-        if i == len(items):
-            return True
+    return _covers(Counter(big), Counter(small))
+
+
+def _covers(big: dict[int, int], small: dict[int, int]) -> bool:
+    """As `_dominates`, of how often each length occurs. Equal items go together: a step puts as many of a run as fit into a bin, and a turn back takes one of them out."""
+    runs = sorted(((x, n - big.get(x, 0)) for x, n in small.items() if n > big.get(x, 0)), reverse=True)
+    rooms = [(x, n - small.get(x, 0)) for x, n in big.items() if n > small.get(x, 0)]
+    if sum(x * n for x, n in rooms) < sum(x * n for x, n in runs) or runs and (not rooms or runs[0][0] > max(rooms)[0]):
+        return False
+    room = sorted(x for x, n in rooms for _ in range(n))
+    steps, i, j, left = TESTED, 0, 0, runs[0][1] if runs else 0
+    taken: list[tuple[int, int, int, int]] = []  # run, bin, how many, how many there were
+    while i < len(runs):
+        length = runs[i][0]
+        j = next((k for k in range(j, len(room)) if room[k] >= length), len(room))
+        if j < len(room):
+            n = min(left, room[j] // length)
+        elif taken:
+            i, j, n, left = taken.pop()
+            length = runs[i][0]
+            room[j] += n * length
+            n -= 1
+        else:
+            return False
         steps -= 1
-        if steps < 0 or sum(items[i:]) > sum(room):
+        if steps < 0:
             return False
-        for j in range(len(room)):
-            if room[j] >= items[i] and room[j] not in room[:j]:
-                room[j] -= items[i]
-                if place(i + 1):
-                    return True
-                room[j] += items[i]
-        return False
-
-    return place(0)
+        if n:
+            taken.append((i, j, n, left))
+            room[j] -= n * length
+            left -= n
+        j += 1
+        if not left:
+            i, j = i + 1, 0
+            left = runs[i][1] if i < len(runs) else 0
+    return True
 
 
 def _reached(counts: dict[int, int], lengths: list[int], room: int) -> list[int]:
@@ -255,7 +273,7 @@ def _reached(counts: dict[int, int], lengths: list[int], room: int) -> list[int]
     return found
 
 
-def _exactly(counts: dict[int, int], lengths: list[int], reached: list[int], size: int, k: int) -> Iterator[tuple[int, ...]]:
+def _exactly(counts: dict[int, int], lengths: list[int], reached: list[int], size: int, k: int) -> Iterator[Pattern]:
     """Items from the first k lengths of this total size, large ones first."""
     if not size:
         yield ()
@@ -264,84 +282,100 @@ def _exactly(counts: dict[int, int], lengths: list[int], reached: list[int], siz
         for times in range(min(counts[length], size // length), 0, -1):
             if reached[j] >> size - times * length & 1:
                 for rest in _exactly(counts, lengths, reached, size - times * length, j):
-                    yield (length,) * times + rest
+                    yield ((length, times), *rest)
         if not reached[j] >> size & 1:
             return
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings of `room` that leave at most `most_waste`, least waste first; `lengths`: ascending, those in counts."""
+class _Effort:
+    """What a search may still spend on finding fillings and setting them against each other."""
+
+    def __init__(self, left: int):
+        self.left = left
+
+
+def _fillings(counts: dict[int, int], lengths: list[int], room: int, most_waste: int, effort: _Effort) -> Iterator[Pattern]:
+    """As `fillings`, as lengths and how often they occur; ends where the effort does."""
     usable = lengths[: bisect.bisect_right(lengths, room)]
     reached = _reached(counts, usable, room)
-    kept: list[tuple[int, ...]] = []
+    kept: list[dict[int, int]] = []
     for waste in range(min(most_waste, room) + 1):
         if reached[-1] >> room - waste & 1:
-            for found in _exactly(counts, usable, reached, room - waste, len(usable)):
-                more = next((x for x in usable if counts[x] > found.count(x)), waste + 1)
-                if more > waste and not any(_dominates(g, found) for g in kept):
+            for pattern in _exactly(counts, usable, reached, room - waste, len(usable)):
+                found = dict(pattern)
+                more = next((x for x in usable if counts[x] > found.get(x, 0)), waste + 1)
+                effort.left -= 1 + len(kept)
+                if effort.left < 0:
+                    return
+                if more > waste and not any(_covers(g, found) for g in kept):
                     kept.append(found)
-                    yield found
+                    yield pattern
+
+
+def fillings(counts: dict[int, int], lengths: list[int], room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of `room` that leave at most `most_waste`, least waste first; `lengths`: ascending, those in counts."""
+    for pattern in _fillings(counts, lengths, room, most_waste, _Effort(1 << 62)):
+        yield tuple(x for x, n in pattern for _ in range(n))
 
 
-def complete_bins(counts: dict[int, int], capacity: int, most_waste: int, nodes: int = NODES) -> list[tuple[int, Pattern]] | None:
-    """Branch-and-bound: bins whose total waste is at most `most_waste`; None if there are none, or none is found within `nodes` turns back."""
+def complete_bins(counts: dict[int, int], capacity: int, most_waste: int, nodes: int = NODES, tried: int = TRIED) -> list[tuple[int, Pattern]] | None:
+    """Branch-and-bound: bins whose total waste is at most `most_waste`; None if there are none, or none is found within `nodes` turns back and `tried` tests of fillings."""
     left, waste = dict(counts), 0
-    lengths = sorted(left)
-    path: list[tuple[int, tuple[int, ...], int]] = []  # times, items, waste
+    lengths, effort = sorted(left), _Effort(tried)
+    path: list[tuple[int, Pattern, int]] = []  # times, pattern, waste
     # Options of each node on the way, and how many were taken; only the last AWAKE nodes hold theirs, others find them again.
     stack: list[list] = []
 
-    def take(times: int, items: tuple[int, ...], sign: int) -> None:
-        for x in items:
+    def take(times: int, pattern: Pattern, sign: int) -> None:
+        for x, n in pattern:
             if not left.get(x, 0) and sign > 0:
                 bisect.insort(lengths, x)
-            left[x] = left.get(x, 0) + sign * times
+            left[x] = left.get(x, 0) + sign * times * n
             if not left[x]:
                 del lengths[bisect.bisect_left(lengths, x)]
 
-    def branch() -> Iterator[tuple[tuple[int, ...], bool]]:
+    def branch() -> Iterator[tuple[Pattern, bool]]:
         """Fillings of a bin with the largest length left, first all of them as often as can be, then once."""
         top = lengths[-1]
-        left[top] -= 1
-        now = {x: left[x] for x in lengths}
-        left[top] += 1
+        now = {x: left[x] - (x == top) for x in lengths}
         own = [x for x in lengths if now[x]]
         seen = []
-        for filling in fillings(now, own, capacity - top, most_waste - waste):
-            seen.append((top, *filling))
+        for filling in _fillings(now, own, capacity - top, most_waste - waste, effort):
+            more = filling[0][1] if filling and filling[0][0] == top else 0
+            seen.append(((top, 1 + more), *filling[bool(more) :]))
             yield seen[-1], True
-        for items in seen:
-            if min(left[x] // items.count(x) for x in set(items)) > 1:
-                yield items, False
+        for pattern in seen:
+            if min(left[x] // n for x, n in pattern) > 1:
+                yield pattern, False
 
     if not lengths:
         return []
     stack.append([branch(), 0])
-    while stack and nodes:
+    while stack and nodes and effort.left >= 0:
         nodes -= 1
         node = stack[-1]
         if node[0] is None:
             node[0] = islice(branch(), node[1], None)
-        items, often = next(node[0], (None, False))
+        pattern, often = next(node[0], (None, False))
         node[1] += 1
-        if items is None:
+        if pattern is None:
             stack.pop()
             if path:
-                times, items, lost = path.pop()
+                times, pattern, lost = path.pop()
                 waste -= lost
-                take(times, items, 1)
+                take(times, pattern, 1)
             continue
-        lost = capacity - sum(items)
-        times = min(left[x] // items.count(x) for x in set(items)) if often else 1
+        lost = capacity - sum(x * n for x, n in pattern)
+        times = min(left[x] // n for x, n in pattern) if often else 1
         if lost:
             times = min(times, (most_waste - waste) // lost)
         if times < 1:
             continue
-        take(times, items, -1)
+        take(times, pattern, -1)
         waste += times * lost
-        path.append((times, items, times * lost))
+        path.append((times, pattern, times * lost))
         if not lengths:
-            return [(t, tuple((x, i.count(x)) for x in dict.fromkeys(i))) for t, i, _ in path]
+            return [(t, p) for t, p, _ in path]
         nodes += 1  # only turns back count: a straight dive always ends
         if len(stack) >= AWAKE:
             stack[-AWAKE][0] = None
@@ -371,7 +405,7 @@ def plan_bins(counts: dict[int, int], capacity: int = MAX_TOKENS) -> list[tuple[
     best = best_fit(counts, capacity)
     while (bins := sum(b for b, _ in best)) > lower_bound(counts, capacity):
         total = sum(k * v for k, v in counts.items())
-        fewer = complete_bins(counts, capacity, (bins - 1) * capacity - total)
+        fewer = complete_bins(counts, capacity, (bins - 1) * capacity - total, NODES, TRIED)
         if fewer is None:
             break
         best = fewer
