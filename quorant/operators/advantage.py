@@ -51,8 +51,8 @@ def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
 
 
 def gae(rewards: Column, values: Column, gamma: float = 1.0, lam: float = 1.0) -> tuple[Column, Column]:
-    """Advantages and returns (advantages + values) of a token sequence; the value after the end is 0."""
-    after = F.concat(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.array(F.lit(0.0)))
+    """Advantages and returns (advantages + values) of a token sequence; the value after the end is 0. An empty sequence has none."""
+    after = F.slice(F.concat(values, F.array(F.lit(0.0))), 2, F.greatest(F.size(values), F.lit(0)))
     delta = F.zip_with(F.zip_with(rewards, after, lambda r, n: r + gamma * n), values, lambda d, v: d - v)
     advantages = _backward(delta, F.transform(delta, lambda _: F.lit(gamma * lam)))
     return advantages, F.zip_with(advantages, values, lambda a, v: a + v)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
-from functools import cache
-from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import FAIL_FORMAT
 from ..sources.tables import written
 
 # The seven sets of a report row, in order, and the five hard ones.
@@ -25,30 +26,83 @@ def energy(pool: DataFrame, weight: float = 1.0) -> DataFrame:
     return pool.crossJoin(F.broadcast(n)).agg(F.sum(F.greatest(F.lit(0.0), F.col("r_unc") - weight * F.col("degree") / F.col("n"))).alias("energy"))  # one row
 
 
-@cache
-def _subsets(n: int, m: int) -> np.ndarray:
-    return np.array(list(combinations(range(n), m)), np.intp).reshape(-1, m)
+def _times(p: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Row by row, the product of two series, to the same number of terms."""
+    out = np.zeros_like(p)
+    for j in range(p.shape[1]):
+        out[:, j:] += f[:, j : j + 1] * p[:, : p.shape[1] - j]
+    return out
+
+
+def _without(p: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Row by row, the series that times `f`, which begins with 1, gives `p`."""
+    out = p.copy()
+    for j in range(1, p.shape[1]):
+        for i in range(1, j + 1):
+            out[:, j] -= f[:, i] * out[:, j - i]
+    return out
+
+
+class _Largest:
+    """How many m-subsets of samples have a largest class of at most 0, 1, ... m members.
+
+    That is the coefficient of x^m in a product with one factor for each class, the sum of C(n, j) x^j over the j
+    it may have, and one for the samples that don't vote. A sample is left out by dividing its class's factor out and
+    multiplying by that of a class one smaller. Counts are integers throughout, so division is exact.
+    """
+
+    def __init__(self, classes: list[int], silent: int, m: int):
+        self.m, self.classes, self.silent = m, classes, silent
+        n = sum(classes) + silent
+        self.kind = np.int64 if comb(n, min(m, n // 2)) < 1 << 63 else object
+        product = self.factor(silent, False)
+        for c in classes:
+            product = _times(product, self.factor(c, True))
+        self.product = product
+
+    def factor(self, n: int, votes: bool) -> np.ndarray:
+        """A row for each bound on the largest class."""
+        whole = np.array([comb(n, j) for j in range(self.m + 1)], self.kind)
+        rows = np.tile(whole, (self.m + 1, 1))
+        if votes:
+            rows[np.arange(self.m + 1)[None, :] > np.arange(self.m + 1)[:, None]] = 0
+        return rows
+
+    def mean(self, product: np.ndarray, n: int, utility: np.ndarray) -> float:
+        upto = [int(x) for x in product[:, self.m]]
+        total = comb(n, self.m)
+        return sum(float(u) * ((a - b) / total) for u, a, b in zip(utility, upto, [0, *upto], strict=False))
+
+    def left_out(self, n: int, votes: bool) -> np.ndarray:
+        return _times(_without(self.product, self.factor(n, votes)), self.factor(n - 1, votes))
+
+
+#: Answers that never vote.
+SILENT = {"", FAIL_FORMAT}
 
 
 def u_statistic(answers: list[str | None], share: float, m: int = 9) -> tuple[float, float]:
-    """Mean over all m-subsets of max(0, r_unc(p) - share), p the share of the subset's majority; and its delete-one jackknife variance. (0, 0) below m answers."""
+    """Mean over all m-subsets of max(0, r_unc(p) - share), p the share of the subset's majority; and its delete-one jackknife variance. (0, 0) below m answers.
+
+    Null, empty and formless answers are samples but never vote.
+    """
     n = len(answers)
     if n < m:
         return 0.0, 0.0
-    codes = {a: i for i, a in enumerate(dict.fromkeys(x for x in answers if x is not None))}
-    votes = np.zeros((n, max(len(codes), 1)))
-    for i, a in enumerate(answers):
-        if a is not None:
-            votes[i, codes[a]] = 1
-    subsets = _subsets(n, m)
-    p = votes[subsets].sum(axis=1).max(axis=1) / m
-    u = np.maximum(0.0, np.maximum(0.0, 1 - 2 * np.abs(p - 0.5)) - share)
+    counts = Counter(a for a in answers if a is not None and a not in SILENT)
+    p = np.arange(m + 1) / m
+    utility = np.maximum(0.0, np.maximum(0.0, 1 - 2 * np.abs(p - 0.5)) - share)
+    largest = _Largest(list(counts.values()), n - counts.total(), m)
+    mean = largest.mean(largest.product, n, utility)
     if n == m:
-        return float(u.mean()), 0.0
-    has = np.zeros((len(subsets), n), bool)
-    has[np.arange(len(subsets))[:, None], subsets] = True
-    left_out = np.array([u[~has[:, j]].mean() for j in range(n)])
-    return float(u.mean()), float((n - 1) / n * ((left_out - left_out.mean()) ** 2).sum())
+        return mean, 0.0
+    # Left-out samples of classes of one size all give the same mean.
+    sizes = Counter(counts.values())
+    means = [(c * times, largest.mean(largest.left_out(c, True), n - 1, utility)) for c, times in sizes.items()]
+    if largest.silent:
+        means.append((largest.silent, largest.mean(largest.left_out(largest.silent, False), n - 1, utility)))
+    centre = sum(k * x for k, x in means) / n
+    return mean, (n - 1) / n * sum(k * (x - centre) ** 2 for k, x in means)
 
 
 def u_statistics(votes: DataFrame, m: int = 9) -> DataFrame:

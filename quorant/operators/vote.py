@@ -41,8 +41,8 @@ def first_samples(votes: DataFrame, m: int, keys: tuple[str, ...] = ("qid",)) ->
 
 
 def same_answer(a: str, b: str) -> bool:
-    """Equal, both a negation, or equal as numbers."""
-    return a == b or ("no " in a and "no " in b) or bool(equal_values(a, b))
+    """Equal, both a negation in either case, or equal in value."""
+    return a == b or ("no " in a.lower() and "no " in b.lower()) or bool(equal_values(a, b))
 
 
 def equivalence_vote(votes: DataFrame, same: Callable[[str, str], bool] = same_answer, denominator: str = "nonempty") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import save_state, saved_iterations, written
 from .dedup import NEAR, bleu, classes, near_pairs
-from .stats import u_statistic
+from .stats import SILENT, u_statistic
 
 
 def uniform(seed: int, step: int | Column, key: Column) -> Column:
@@ -83,7 +83,7 @@ def walk_step(pool: DataFrame, proposals: DataFrame, step: int, settings: WalkSe
     def utility(answers: list[str], share: float) -> tuple[float, float]:
         if settings.corrected:
             return u_statistic(list(answers), share, settings.samples)
-        told = [a for a in answers if a is not None]
+        told = [a for a in answers if a is not None and a not in SILENT]
         p = max((told.count(a) for a in set(told)), default=0) / max(1, len(answers))
         return max(0.0, max(0.0, 1 - 2 * abs(p - 0.5)) - share), 0.0
 

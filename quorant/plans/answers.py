@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import losses, rewards, text
+from ..operators import vote
 from .catalogue import _r6, query, r6, table
 
 _NL = "chr(10)"
+#: SQL: white space of Unicode, by code.
+_SPACES = " || ".join(f"chr({c})" for c in [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
+
+
+def _bare_ends(sql: str) -> str:
+    return f"trim({sql}, {_SPACES})"
+
 
 
 def _cases(key: str, *said: str) -> str:
@@ -44,10 +52,13 @@ _TAGGED = _cases(
     "p_name || '<question>' || p_type",
     f"'<question>' || p_type || {_NL} || p_brand || '</question>'",
     "'<question> </question>'",
+    f"'<question>' || {_NL} || chr(9) || p_name || {_NL} || p_type || chr(13) || {_NL} || '</question>'",
+    f"'<question>' || {_NL} || chr(9) || chr(160) || '</question>'",
+    f"'<question>a</question><question> b' || {_NL} || '<question>' || {_NL} || p_brand || chr(12) || '</question>'",
 )
 
 
-@query(f"SELECT p_partkey, nullif(trim(list_last(string_split(list_last(regexp_extract_all(t, '(?s)<question>(.*?)</question>', 1)), '<question>'))), '') AS question FROM {_duck(_TAGGED)}")
+@query(f"SELECT p_partkey, nullif({_bare_ends("list_last(string_split(list_last(regexp_extract_all(t, '(?s)<question>(.*?)</question>', 1)), '<question>'))")}, '') AS question FROM {_duck(_TAGGED)}")
 def question_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _said(spark, sf_dir, _TAGGED, question=text.question_text(_t()))
 
@@ -97,11 +108,11 @@ def well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _said(spark, sf_dir, _ASKED, question=_t()).filter(text.is_well_formed(F.col("question")))
 
 
-_LOOSE = _cases("p_partkey", r"'$\left( \dfrac{' || p_size || '}{7} \right)$'", r"' ' || p_type || ' \text{ cm} '", "p_name")
+_LOOSE = _cases("p_partkey", r"'$\left( \dfrac{' || p_size || '}{7} \right)$'", r"' ' || p_type || ' \text{ cm} '", "p_name", f"{_NL} || ' ' || p_size || ' ' || p_brand || chr(9) || {_NL}")
 
 
 @query(rf"""
-SELECT p_partkey, replace(trim(t), ' ', '') AS tight,
+SELECT p_partkey, replace({_bare_ends('t')}, ' ', '') AS tight,
   lower(regexp_replace(replace(replace(regexp_replace(t, '\\(left|right|,|!|;|displaystyle|mathrm|text)', '', 'g'), '\dfrac', '\frac'), '$', ''), '\s+', '', 'g')) AS loose
 FROM {_duck(_LOOSE)}""")
 def loose_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,17 +165,15 @@ def question_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", made.alias("prompt")).filter(text.fits(F.col("prompt"), 60))
 
 
-_WRAPPED = _cases("p_partkey", "'The answer is: ' || p_name || '.'", "'$' || p_size || '$'", r"'\text{' || p_name || '}'", "'The final answer is ' || p_type", r"'\boxed{\text{' || p_brand || '}}'", "NULL")
-_PREFIXES = ("The answer is:", "The final answer is ", "The final answer is: ", "The answer is ")
-
+_WRAPPED = _cases("p_partkey", "'The answer is: ' || p_name || '.'", "'$' || p_size || '$'", r"'\text{' || p_name || '}'", "'The final answer is ' || p_type", r"'\boxed{\text{' || p_brand || '}}'", "NULL", f"'The answer is:' || {_NL} || p_name || '.' || {_NL}", f"p_name || '.' || {_NL}")
 
 def _bare(t: str) -> str:
     out = f"(SELECT p_partkey, coalesce(t, '') AS t FROM {t})"
-    for p in _PREFIXES:
-        out = f"(SELECT p_partkey, CASE WHEN contains(t, '{p}') THEN trim(list_last(string_split(t, '{p}'))) ELSE t END AS t FROM {out})"
-    out = rf"(SELECT p_partkey, regexp_replace(regexp_replace(t, '\.$', ''), '(?s)^\$(.*)\$$', '\1') AS t FROM {out})"
+    for p in text.ANSWER_PREFIXES:
+        out = f"(SELECT p_partkey, CASE WHEN contains(t, '{p}') THEN {_bare_ends(f"list_last(string_split(t, '{p}'))")} ELSE t END AS t FROM {out})"
+    out = rf"(SELECT p_partkey, regexp_replace(regexp_replace(t, '\.\z', ''), '(?s)^\$(.*)\$\z', '\1') AS t FROM {out})"
     for w in ("boxed{", "text{", "texttt{"):
-        out = rf"(SELECT p_partkey, CASE WHEN contains(t, '{w}') AND ends_with(t, '}}') THEN string_split(regexp_replace(t, '\}}$', ''), '{w}')[2] ELSE t END AS t FROM {out})"
+        out = rf"(SELECT p_partkey, CASE WHEN contains(t, '{w}') AND ends_with(t, '}}') THEN string_split(regexp_replace(t, '\}}\z', ''), '{w}')[2] ELSE t END AS t FROM {out})"
     return out
 
 
@@ -173,20 +182,50 @@ def bare_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _said(spark, sf_dir, _WRAPPED, answer=text.bare_answer(_t()))
 
 
+_PREDICTED = _cases(
+    "p_partkey",
+    f"{_NL} || {_NL} || 'The answer is: **' || p_name || ', ' || p_brand || '**.' || {_NL} || 'Because.'",
+    f"chr(9) || p_type || '.' || {_NL}",
+    "'The answer is: $' || p_size || '$.'",
+    f"p_brand || '.' || {_NL} || p_size",
+    "NULL",
+)
+
+
+@query(rf"""
+WITH a AS (SELECT p_partkey, t AS answer FROM {_bare(f"(SELECT p_partkey, {_bare_ends('t')} AS t FROM {_duck(_PREDICTED)})")}),
+p AS (SELECT p_partkey, string_split(replace(replace(lower(answer), ', ', ','), '**', ''), chr(10))[1] AS p FROM a)
+SELECT p.p_partkey, CASE WHEN ends_with(p, '.') THEN left(p, length(p) - 1) ELSE p END AS prediction, replace(lower({_bare_ends('t')}), ', ', ',') AS truth
+FROM p JOIN {_duck(_PREDICTED)} d ON p.p_partkey = d.p_partkey""")
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers and references as they are compared."""
+    return _said(spark, sf_dir, _PREDICTED, prediction=text.prediction_text(_t()), truth=text.reference_text(_t()))
+
+
 _SOLVED = _cases(
     "p_partkey",
     r"'<|im_start|>user \boxed{0}<|im_start|>assistant so \boxed{' || p_size || '}<|im_end|> \boxed{1}'",
     f"'Assistant: x' || {_NL} || 'Final Answer: ' || p_name || {_NL}",
     f"'The answer is: ' || p_brand || {_NL} || '</s>Final Answer: none' || {_NL}",
     "p_name",
+    f"'Assistant: x' || {_NL} || 'Final Answer: ' || p_name || {_NL} || 'that is all' || {_NL}",
+    f"'The answer is: ' || p_brand || {_NL} || 'so it is</s>Final Answer: none' || {_NL}",
+    f"'Final Answer: ' || p_type || {_NL}",
 )
 
 
+def _until(stop: str, rows: str) -> str:
+    return f"(SELECT p_partkey, CASE WHEN contains(t, '{stop}') THEN {_bare_ends(f"string_split(t, '{stop}')[1]")} ELSE t END AS t FROM {rows})"
+
+
+_SPOKEN = rf"""(SELECT p_partkey, CASE WHEN contains(t, '<|im_start|>user') THEN regexp_replace(t, '(?s)^.*?<\|im_start\|>assistant', '')
+  WHEN contains(t, 'Assistant:') THEN {_bare_ends("list_last(string_split(t, 'Assistant:'))")} ELSE t END AS t FROM {_duck(_SOLVED)})"""
+
+
 @query(rf"""
 SELECT p_partkey, coalesce(nullif(list_last(regexp_extract_all(t, '\\boxed\{{((?:[^{{}}]|\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})*)\}}', 1)), ''),
   list_last(regexp_extract_all(t, 'Final Answer:((?:[^<]|<[^<])*?)\n', 1)), list_last(regexp_extract_all(t, 'The answer is:((?:[^<]|<[^<])*?)\n', 1))) AS answer
-FROM (SELECT p_partkey, string_split(string_split(string_split(CASE WHEN contains(t, '<|im_start|>user') THEN regexp_replace(t, '(?s)^.*?<\|im_start\|>assistant', '') WHEN contains(t, 'Assistant:') THEN trim(list_last(string_split(t, 'Assistant:'))) ELSE t END, '</s>')[1], '<|im_end|>')[1], '<|endoftext|>')[1] AS t
-  FROM {_duck(_SOLVED)})""")
+FROM {_until('<|endoftext|>', _until('<|im_end|>', _until('</s>', _SPOKEN)))}""")
 def solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _said(spark, sf_dir, _SOLVED, answer=text.solution_text(_t()))
 
@@ -227,6 +266,54 @@ _GRADED = [
 ]
 
 
+_FORMS = [
+    ("'x+' || p_size", "p_size || '+x'", "true"),
+    ("'2x'", "'x*2'", "true"),
+    (r"'\frac12'", "'0.5'", "true"),
+    ("'3!'", "'6'", "true"),
+    (r"'\{' || p_size || ', 99\}'", r"'\{99, ' || p_size || '\}'", "true"),
+    (r"'\sin(0)'", "'0'", "true"),
+    (r"'(x+' || p_size || ')^2'", r"'x^2+' || 2 * p_size || 'x+' || p_size * p_size", "true"),
+    (r"'\frac{x^2-' || p_size * p_size || '}{x-' || p_size || '}'", "'x+' || p_size", "true"),
+    (r"'\sqrt{' || 2 * p_size * p_size || '}y'", r"p_size || '\sqrt{2}y'", "true"),
+    ("'x+' || p_size", "'x+' || (p_size + 1)", "false"),
+    ("'(' || p_size || ', 1)'", "'(1, ' || (p_size + 1) || ')'", "false"),
+    ("'[0, ' || p_size || ')'", r"'\left[0, \frac{' || 2 * p_size || '}{2}\right)'", "true"),
+    (r"'\sin x'", r"'\cos x'", "NULL"),
+    ("p_name", "p_type", "NULL"),
+]
+
+
+@query(f"SELECT p_partkey, ({_cases('p_partkey', *[g for _, _, g in _FORMS])})::BOOLEAN AS grade FROM part")
+def graded_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether expressions with names, tuples, intervals and sets in different written forms are the same."""
+    columns = [F.expr(_cases("p_partkey", *said).replace("\\", "\\\\")) for said in list(zip(*_FORMS, strict=True))[:2]]
+    rows = table(spark, sf_dir, "part").select("p_partkey", columns[0].alias("said"), columns[1].alias("truth"))
+    return text.with_grade(rows, "said", "truth", decide=True).select("p_partkey", "grade")
+
+
+#: Answers in several written forms, and the class that each is in; a negation is one in either case.
+_WRITTEN = [("1/2", 0), ("0.5", 0), (r"\frac12", 0), (r"\frac{2}{4}", 0), ("x+1", 1), ("1+x", 1), (r"\frac{2x+2}{2}", 1), ("No solution", 2), ("there is no answer", 2), ("NO way", 2), ("(1, 2)", 3), ("(1, 4/2)", 3), ("17", 4), ("seventeen", 5)]
+
+
+def _written_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = F.element_at(F.array(*[F.lit(a) for a, _ in _WRITTEN]), (F.pmod(F.col("event_id") * 7 + F.col("user_id"), F.lit(len(_WRITTEN))) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("qid"), F.col("event_id").alias("sample_idx"), F.when(F.col("event_id") % 11 > 0, answer).alias("answer"))
+
+
+@query(f"""
+WITH forms(k, answer, class) AS (VALUES {", ".join(f"({i}, '{a}', {c})" for i, (a, c) in enumerate(_WRITTEN))}),
+v AS (SELECT user_id AS qid, event_id, answer, class FROM events JOIN forms ON k = (event_id * 7 + user_id) % {len(_WRITTEN)} WHERE event_id % 11 > 0),
+c AS (SELECT qid, class, arg_min(answer, event_id) AS label, min(event_id) AS first, count(*)::BIGINT AS n_votes FROM v GROUP BY 1, 2),
+p AS (SELECT *, (sum(n_votes) OVER (PARTITION BY qid))::BIGINT AS n_samples, row_number() OVER (PARTITION BY qid ORDER BY n_votes DESC, first) AS place FROM c)
+SELECT e.qid, label, coalesce(n_votes, 0)::BIGINT AS n_votes, coalesce(n_samples, 0)::BIGINT AS n_samples, {_r6('coalesce(n_votes / n_samples, 0)')} AS p_hat
+FROM (SELECT DISTINCT user_id AS qid FROM events) e LEFT JOIN p ON e.qid = p.qid AND place = 1""")
+def graded_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes by classes of answers that the grader takes for the same."""
+    found = vote.equivalence_vote(_written_votes(spark, sf_dir))
+    return found.withColumn("p_hat", r6(F.col("p_hat")))
+
+
 @query(f"SELECT p_partkey, ({_cases('p_partkey', *[g for _, _, g in _GRADED])})::BOOLEAN AS grade FROM part")
 def graded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an answer equals the true one as text or in value; null where that can't be told."""

@@ -338,17 +338,26 @@ def regex_boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.last_boxed(said).alias("answer"))
 
 
-_PAIRS = "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN p_brand WHEN 1 THEN '[' || p_brand || ']' WHEN 2 THEN p_brand || '?' WHEN 3 THEN p_size || '.0' WHEN 4 THEN '(a)' WHEN 5 THEN p_name ELSE '''' || p_brand END AS said, CASE p_partkey % 7 WHEN 3 THEN p_size || '' WHEN 4 THEN 'a' ELSE p_brand END AS truth FROM part"
+_QUOTE = "chr(39)"
+#: Pairs of what was said and what is true, by the key modulo their number.
+_COMPARED = [
+    ("p_brand", "p_brand"), ("'[' || p_brand || ']'", "p_brand"), ("p_brand || '?'", "p_brand"), ("p_size || '.0'", "p_size || ''"), ("'(a)'", "'a'"), ("p_name", "p_brand"), (f"{_QUOTE} || p_brand", "p_brand"),
+    ("p_size || 'd'", "p_size || ''"), ("'1_' || p_size", "'1' || p_size || '.'"), ("' ' || p_size || 'e1 '", "(p_size * 10) || ''"), ("'nan'", "'nan '"), ("p_size || '__0'", "p_size || '0'"), ("'-Infinity'", "'-inf'"), ("'.5'", "'0.50'"), ("'1e5f'", "'100000'"),
+]
+_SAID, _TRUE = (f"CASE p_partkey % {len(_COMPARED)} " + " ".join(f"WHEN {i} THEN {pair[k]}" for i, pair in enumerate(_COMPARED)) + " END" for k in (0, 1))
+
+
+def _number_sql(t: str) -> str:
+    """SQL: a text as a number, where its form is that of decimal notation."""
+    return f"CASE WHEN regexp_full_match(trim({t}), '[+-]?(([0-9]+(_[0-9]+)*[.]?([0-9]+(_[0-9]+)*)?|[.][0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+)?|(?i)(inf|infinity))') THEN replace(trim({t}), '_', '')::DOUBLE END"
 
 
 @query(f"""
 SELECT p_partkey, CASE WHEN said = truth THEN true WHEN length(said) = 3 AND said[1] = '(' AND said[3] = ')' THEN said[2] = truth WHEN length(truth) = 3 AND truth[1] = '(' AND truth[3] = ')' THEN truth[2] = said
-  ELSE coalesce(try_cast(said AS DOUBLE) = try_cast(truth AS DOUBLE), false) OR replace(said, '''', '') = replace(truth, '''', '') OR '[' || truth || ']' = said OR '[' || said || ']' = truth OR said = truth || '?' END AS same
-FROM ({_PAIRS})""")
+  ELSE coalesce({_number_sql('said')} = {_number_sql('truth')}, false) OR replace(said, {_QUOTE}, '') = replace(truth, {_QUOTE}, '') OR '[' || truth || ']' = said OR '[' || said || ']' = truth OR said = truth || '?' END AS same
+FROM (SELECT p_partkey, {_SAID} AS said, {_TRUE} AS truth FROM part)""")
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.expr("CASE p_partkey % 7 WHEN 0 THEN p_brand WHEN 1 THEN concat('[', p_brand, ']') WHEN 2 THEN concat(p_brand, '?') WHEN 3 THEN concat(p_size, '.0') WHEN 4 THEN '(a)' WHEN 5 THEN p_name ELSE concat(\"'\", p_brand) END")
-    truth = F.expr("CASE p_partkey % 7 WHEN 3 THEN concat(p_size, '') WHEN 4 THEN 'a' ELSE p_brand END")
-    pairs = table(spark, sf_dir, "part").select("p_partkey", said.alias("said"), truth.alias("truth"))
+    pairs = table(spark, sf_dir, "part").select("p_partkey", F.expr(_SAID).alias("said"), F.expr(_TRUE).alias("truth"))
     return pairs.select("p_partkey", text.fuzzy_match(F.col("said"), F.col("truth")).alias("same"))
 
 
