@@ -45,7 +45,11 @@ from pyspark.sql import functions as F
 from .common import documents, shared_path
 
 #: Characters of text in a block.
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 16 << 20
+#: Bytes of input for each bucket of words at most, so that what a bucket holds does not grow with the corpus.
+BUCKET_BYTES = 6 << 20
+#: Files that Spark lets a table be dealt to.
+MOST_TASKS = 25_000
 #: Unicode White_Space.
 _WHITE = r"\t-\r \x85\xa0  -     　"
 WORD = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
@@ -259,6 +263,7 @@ def join_back(placed: DataFrame, spelled: DataFrame) -> DataFrame:
         assert not others
         order = _ranks(_unpacked(block["counts"]))[0]
         parts = [tuple(_unpack_all(data)) for data in lists.sort_by("bucket")["data"].to_pylist()]
+        del lists
         places, upto = _unpacked(block["data"]), np.cumsum(_unpacked(block["sizes"])).tolist()
         spans = list(pairwise([0, *upto]))
         # The texts first, then the ids: a block's words are held as bytes or as numbers, not as both.
@@ -296,10 +301,13 @@ def _bucketed(df: DataFrame, by: str, parts: int, name: str, codec: str) -> Data
 def encode_documents(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The size that Spark plans with: of files their bytes; over a petabyte where it knows none.
+    size = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(parts, min(-(-size // (2 * BUCKET_BYTES)), MOST_TASKS)) if size < 1 << 50 else parts
     # More buckets than tasks that run at once, so that few blocks share one; a block is written to one file all the same.
-    blocks = _bucketed(split_blocks(docs, 2 * parts, block_chars), "block", 4 * parts, "word_blocks", "none")
-    lists = blocks.filter("bucket IS NOT NULL").select("block", "bucket", "data").repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
-    table = _bucketed(number_words(lists, path), "bucket", parts, "word_table", "zstd")
+    blocks = _bucketed(split_blocks(docs, 2 * tasks, block_chars), "block", 4 * tasks, "word_blocks", "none")
+    lists = blocks.filter("bucket IS NOT NULL").select("block", "bucket", "data").repartition(tasks, "bucket").sortWithinPartitions("bucket", "block")
+    table = _bucketed(number_words(lists, path), "bucket", tasks, "word_table", "zstd")
     pieces_table = spark.createDataFrame(list(enumerate(map(bytearray, pieces(path)))), "id int, piece binary")
     words = with_pieces(table.filter("block IS NULL").select("bucket", "number", "ids"), pieces_table)
     spelled = spell_lists(table.filter("block IS NOT NULL").select("bucket", "block", "numbers"), words)
