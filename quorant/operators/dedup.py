@@ -10,7 +10,8 @@ near if BLEU > 0.5, hypothesis the text of the lower id. Exact pruning:
 - one of 4 or fewer tokens shares a token with a reference of at most 6;
 - 0.5 < r/c < 1 + ln 2 for lengths c, r.
 
-Equal token sequences are one class, joined once.
+Equal token sequences are one class, joined once. With `within`, all of this holds
+for each value of a column apart: 4-grams are counted and ranked there alone.
 """
 
 from __future__ import annotations
@@ -47,32 +48,36 @@ def bleu(hyp: list[str], ref: list[str], above: float = 0.0) -> float:
     return brevity * math.exp((logs[3] + logs[2] + logs[1] + logs[0]) / 4)
 
 
-def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, tokens, n_copies: a row for each token sequence, id its least key."""
+def classes(docs: DataFrame, key: str, text: str, within: str | None = None) -> DataFrame:
+    """id, tokens, n_copies: a row for each token sequence, id its least key; with `within` for each of that column's values, named within."""
     tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda t: t != "")
-    return docs.select(F.col(key).alias("id"), tokens.alias("tokens")).groupBy("tokens").agg(F.min("id").alias("id"), F.count("*").alias("n_copies")).select("id", "tokens", "n_copies")
+    apart = [F.col(within).alias("within")] if within else []
+    grouped = docs.select(F.col(key).alias("id"), tokens.alias("tokens"), *apart).groupBy("tokens", *["within"] * len(apart))
+    return grouped.agg(F.min("id").alias("id"), F.count("*").alias("n_copies")).select("id", "tokens", "n_copies", *["within"] * len(apart))
 
 
 def gram_sets(own: DataFrame) -> DataFrame:
-    """id, c (tokens), gs (hashes of the distinct 4-grams) of each class."""
+    """id, c (tokens), gs (hashes of the distinct 4-grams) of each class, and within if it has one: equal 4-grams of other values hash apart."""
+    apart = ["within"] * ("within" in own.columns)
     at = lambda k: f"tokens[i + {k}]"
-    gram = F.expr(f"CASE WHEN c >= 4 THEN array_distinct(transform(sequence(0, c - 4), i -> xxhash64({at(0)}, {at(1)}, {at(2)}, {at(3)}))) ELSE array() END")
-    return own.select("id", F.size("tokens").alias("c"), "tokens").withColumn("gs", gram).select("id", "c", "gs")
+    gram = F.expr(f"CASE WHEN c >= 4 THEN array_distinct(transform(sequence(0, c - 4), i -> xxhash64({', '.join([*apart, *map(at, range(4))])}))) ELSE array() END")
+    return own.select("id", F.size("tokens").alias("c"), "tokens", *apart).withColumn("gs", gram).select("id", "c", "gs", *apart)
 
 
 def candidate_pairs(own: DataFrame, sets: DataFrame) -> DataFrame:
     """(i, j), i < j, of the classes that may be near; sets: gram_sets(own), written."""
-    sized = own.select("id", F.size("tokens").alias("c"), "tokens")
-    grams = sets.select("id", "c", F.size("gs").alias("d"), F.explode("gs").alias("g"))
+    apart = ["within"] * ("within" in own.columns)
+    sized = own.select("id", F.size("tokens").alias("c"), "tokens", *apart)
+    grams = sets.select("id", "c", F.size("gs").alias("d"), F.explode("gs").alias("g"), *apart)
     counts = grams.groupBy("g").agg(F.count("*").alias("f")).filter("f > 1")
     # 4-grams that occur in one class only pair nothing; those left are ranked from rare to frequent.
     shared = grams.join(counts, "g")
-    ranked = shared.groupBy("id", "c", "d").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("gs"))
+    ranked = shared.groupBy("id", "c", "d", *apart).agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("gs"))
     # More than (c - 3) / 16 of the c - 3 positions must match; d distinct 4-grams hold them, each one at least, so this many of the most frequent may be left out.
-    rare = ranked.filter("c >= 5").select("id", "c", F.explode(F.expr("slice(gs, 1, greatest(size(gs) - greatest(CAST(floor((c - 3) / 16.0) AS INT) - (c - 3 - d), 0), 0))")).alias("x")).select("id", "c", "x.g")
-    lengths = "h.id < r.id AND 2 * r.c > h.c AND r.c < 1.6931472 * h.c"
+    rare = ranked.filter("c >= 5").select("id", "c", *apart, F.explode(F.expr("slice(gs, 1, greatest(size(gs) - greatest(CAST(floor((c - 3) / 16.0) AS INT) - (c - 3 - d), 0), 0))")).alias("x")).select("id", "c", *apart, "x.g")
+    lengths = "h.id < r.id AND 2 * r.c > h.c AND r.c < 1.6931472 * h.c" + " AND h.within <=> r.within" * len(apart)
     long = rare.alias("h").join(grams.alias("r"), F.expr(f"h.g = r.g AND {lengths}")).select(F.col("h.id").alias("i"), F.col("r.id").alias("j"))
-    words = sized.filter("c <= 6").select("id", "c", F.explode(F.array_distinct("tokens")).alias("g"))
+    words = sized.filter("c <= 6").select("id", "c", *apart, F.explode(F.array_distinct("tokens")).alias("g"))
     short = words.filter("c <= 4").alias("h").join(words.alias("r"), F.expr(f"h.g = r.g AND {lengths}")).select(F.col("h.id").alias("i"), F.col("r.id").alias("j"))
     return long.unionByName(short).distinct()
 
@@ -96,6 +101,56 @@ def near_pairs(own: DataFrame, threshold: float = NEAR) -> DataFrame:
     return pairs.select("i", "j", "hyp", "ref").mapInPandas(verify, "i long, j long, bleu double")
 
 
+class NearIndex:
+    """Texts by their 4-grams, and short ones by their tokens, to which texts are added and from which they are taken.
+
+    `near` gives the places of the texts near one, which is the hypothesis, by the same bounds as `near_pairs`: a text
+    comes to BLEU if it shares a 4-gram outside the most frequent ones and enough of all. `compared` counts those.
+    """
+
+    def __init__(self, texts: list[list[str]]):
+        self.texts: dict[int, list[str]] = {}
+        self.grams: dict[tuple[str, ...], set[int]] = {}
+        self.words: dict[str, set[int]] = {}
+        self.compared = 0
+        for i, tokens in enumerate(texts):
+            self.add(i, tokens)
+
+    @staticmethod
+    def _grams(tokens: list[str]) -> set[tuple[str, ...]]:
+        return set(zip(*(tokens[k:] for k in range(4)), strict=False))
+
+    def add(self, i: int, tokens: list[str]) -> None:
+        self.texts[i] = tokens
+        for g in self._grams(tokens):
+            self.grams.setdefault(g, set()).add(i)
+        for w in set(tokens) if len(tokens) <= 6 else ():
+            self.words.setdefault(w, set()).add(i)
+
+    def remove(self, i: int) -> None:
+        tokens = self.texts.pop(i)
+        for g in self._grams(tokens):
+            self.grams[g].discard(i)
+        for w in set(tokens) if len(tokens) <= 6 else ():
+            self.words[w].discard(i)
+
+    def near(self, hyp: list[str], threshold: float = NEAR) -> set[int]:
+        c = len(hyp)
+        if c < 5:
+            found = set().union(*(self.words.get(w, ()) for w in set(hyp)))
+        else:
+            own = self._grams(hyp)
+            lists = sorted((self.grams[g] for g in own if g in self.grams), key=len)
+            # The positions that may go without a match, less those that repeated 4-grams hold, are left to the most frequent ones.
+            spare = max(0, math.floor((c - 3) / 16) - (c - 3 - len(own)))
+            met = set().union(*lists[: max(0, len(lists) - spare)])
+            shared = Counter(i for held in lists for i in held if i in met)
+            found = {i for i, n in shared.items() if 16.001 * (c - 3 - len(own) + n) * min(1.0, math.exp(4 * (1 - len(self.texts[i]) / c))) > c - 3}
+        found = {i for i in found if 2 * len(self.texts[i]) > c and len(self.texts[i]) < 1.6931472 * c}
+        self.compared += len(found)
+        return {i for i in found if bleu(hyp, self.texts[i], threshold) > threshold}
+
+
 def degrees(own: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, degree: texts near a text, itself and its copies included (copies of one or two tokens are not near by BLEU)."""
     ends = pairs.selectExpr("i AS id", "j AS other").unionByName(pairs.selectExpr("j AS id", "i AS other"))
@@ -125,22 +180,44 @@ def one_against(df: DataFrame, key: str, text: str, new: str) -> DataFrame:
 
 
 def average_linkage(distance: np.ndarray, threshold: float) -> list[int]:
-    """Cluster of each item: the two clusters of least mean distance are joined while that is below `threshold`; ties by index."""
+    """Cluster of each item: the two clusters of least mean distance are joined while that is below `threshold`; ties by index.
+
+    Each cluster keeps its nearest one of higher index. A union changes the distances to one cluster and takes one away,
+    so only clusters whose nearest was one of the two look again: about the square of the number of items in time.
+    """
     d = distance.astype(float).copy()
+    n = len(d)
     np.fill_diagonal(d, np.inf)
-    label, size, alive = list(range(len(d))), np.ones(len(d)), np.ones(len(d), bool)
-    while alive.sum() > 1:
-        i, j = divmod(int(np.where(alive[:, None] & alive, d, np.inf).argmin()), len(d))
-        if not d[i, j] < threshold:
+    d[np.tril_indices(n)] = np.inf  # from the lower index to the higher
+    label, size, alive = np.arange(n), np.ones(n), np.ones(n, bool)
+    nearest = d.argmin(axis=1) if n else np.zeros(0, int)
+    least = d[np.arange(n), nearest]
+
+    def to_all(i: int) -> np.ndarray:
+        return np.where(np.arange(n) < i, d[:, i], d[i])
+
+    while n:
+        i = int(least.argmin())
+        j = int(nearest[i])
+        if not least[i] < threshold:
             break
-        i, j = min(i, j), max(i, j)
-        d[i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[:, i] = d[i]
-        d[i, i] = np.inf
+        mean = (size[i] * to_all(i) + size[j] * to_all(j)) / (size[i] + size[j])
         size[i] += size[j]
         alive[j] = False
-        label = [i if x == j else x for x in label]
-    return label
+        label[label == j] = i
+        d[:, j] = d[j] = np.inf
+        mean[~alive] = np.inf
+        d[:i, i], d[i, i + 1 :] = mean[:i], mean[i + 1 :]
+        least[j] = np.inf
+        stale = alive & ((nearest == i) | (nearest == j))
+        stale[i] = True
+        for k in np.flatnonzero(stale):
+            nearest[k] = d[k].argmin()
+            least[k] = d[k, nearest[k]]
+        # Those below i that it is nearer to now; of equal distances the lower index stays.
+        closer = alive & (np.arange(n) < i) & ((d[:, i] < least) | (d[:, i] == least) & (i < nearest))
+        nearest[closer], least[closer] = i, d[closer, i]
+    return label.tolist()
 
 
 def cluster_share(df: DataFrame, batch: str, key: str, text: str, threshold: float = 0.5, most: int = 4096) -> DataFrame:

@@ -242,6 +242,14 @@ def chunk_statistics(rows: DataFrame, rank: str, n: int, chunk: int, inside: Col
     return out.filter("n >= 2")
 
 
+def chunk_energies(rows: DataFrame, weight: float = 1.0, low: float = 0.3, high: float = 0.8) -> DataFrame:
+    """chunk_id, n, v, r of rows (chunk_id, r_unc, degree): the share of r_unc within the band, and the sum of max(0, r_unc - weight * degree / n)."""
+    sizes = rows.groupBy("chunk_id").agg(F.count("*").alias("n"))
+    held = rows.join(sizes, "chunk_id")
+    kept = F.greatest(F.lit(0.0), F.col("r_unc") - weight * F.col("degree") / F.col("n"))
+    return held.groupBy("chunk_id", "n").agg(F.avg(F.col("r_unc").between(low, high).cast("double")).alias("v"), F.sum(kept).alias("r")).filter("n >= 2")
+
+
 def covariance(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("k"), F.avg("v").alias("v_mean"), F.avg("r").alias("r_mean"), F.coalesce(F.covar_samp("v", "r"), F.lit(0.0)).alias("cov"))
 

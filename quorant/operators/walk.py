@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import save_state, saved_iterations, written
-from .dedup import NEAR, bleu, classes, near_pairs
+from .dedup import NearIndex, classes, near_pairs
 from .stats import SILENT, u_statistic
 
 
@@ -74,7 +74,8 @@ def walk_step(pool: DataFrame, proposals: DataFrame, step: int, settings: WalkSe
     With settings.corrected, utilities are U-statistics and alpha takes their variance off.
 
     If the pool has a column near (ids of the texts near a text, itself included, as `with_neighbours` makes it), it is
-    carried along and only rows that a proposal touches are compared anew; without it all pairs of a chain are.
+    carried along; without it a chain finds its own. A proposal meets its chain through an index of 4-grams that follows
+    what is accepted.
     """
     carried = "near" in pool.columns
     new = proposals.select("chain", "id", F.col("text").alias("new_text"), F.col("answers").alias("new_answers"), uniform(settings.seed, step, F.col("id")).alias("draw"), F.xxhash64(F.lit(settings.seed + 1), F.lit(step), "id").alias("turn"))
@@ -96,7 +97,14 @@ def walk_step(pool: DataFrame, proposals: DataFrame, step: int, settings: WalkSe
             place = {k: i for i, k in enumerate(rows["id"].tolist())}
             near = [{i} | {place[k] for k in ks} for i, ks in enumerate(rows["near"])]
         else:
-            near = [{j for j in range(n) if i == j or bleu(tokens[min(i, j)], tokens[max(i, j)], NEAR) > NEAR} for i in range(n)]
+            near = [{i} for i in range(n)]
+            later = NearIndex([])
+            for i in reversed(range(n)):  # the lower id is the hypothesis
+                for j in later.near(tokens[i]):
+                    near[i].add(j)
+                    near[j].add(i)
+                later.add(i, tokens[i])
+        index = NearIndex(tokens)
         value = lambda k: utility(answers[k], settings.weight * len(near[k]) / n)
         alphas: list[float | None] = [None] * n
         taken: list[bool | None] = [None] * n
@@ -105,7 +113,7 @@ def walk_step(pool: DataFrame, proposals: DataFrame, step: int, settings: WalkSe
             if text == texts[k]:
                 continue
             hyp = text.split()
-            now = {k} | {j for j in range(n) if j != k and bleu(hyp, tokens[j], NEAR) > NEAR}
+            now = {k} | index.near(hyp)
             touched = {k} | near[k] ^ now
             before = [value(j) for j in touched]
             old = near[k], answers[k]
@@ -119,6 +127,8 @@ def walk_step(pool: DataFrame, proposals: DataFrame, step: int, settings: WalkSe
             taken[k] = bool(rows.at[k, "draw"] < alphas[k])
             if taken[k]:
                 texts[k], tokens[k] = text, hyp
+                index.remove(k)
+                index.add(k, hyp)
             else:
                 for j in (old[0] ^ now) - {k}:
                     near[j] ^= {k}
@@ -140,7 +150,8 @@ def with_neighbours(pool: DataFrame) -> DataFrame:
     # Copies are near each other if their BLEU with themselves is: that takes three tokens.
     both = pairs.select("i", "j").unionByName(pairs.selectExpr("j AS i", "i AS j")).unionByName(own.filter(F.size("tokens") >= 3).selectExpr("id AS i", "id AS j"))
     tokens = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != "")
-    named = written(pool.select("chain", "id", tokens.alias("tokens")).join(own.select(F.col("id").alias("class"), "tokens"), "tokens").select("chain", "id", "class"), "named")
+    digest = lambda c: F.sha2(F.concat_ws(" ", c), 256).alias("digest")  # noqa: E731  (so that no text is shuffled)
+    named = written(pool.select("chain", "id", digest(tokens)).join(own.select(F.col("id").alias("class"), digest("tokens")), "digest").select("chain", "id", "class"), "named")
     ends = named.join(both, F.col("class") == F.col("i")).select("chain", "id", F.col("j").alias("class")).join(named.select("chain", "class", F.col("id").alias("other")), ["chain", "class"])
     lists = ends.groupBy("chain", "id").agg(F.collect_set("other").alias("near"))
     return pool.join(lists, ["chain", "id"], "left").withColumn("near", F.array_sort(F.array_union(F.coalesce("near", F.array().cast("array<long>")), F.array(F.col("id").cast("long")))))

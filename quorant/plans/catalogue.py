@@ -492,6 +492,28 @@ def near_dup_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.energy(pool), "energy")
 
 
+@query(f"""
+WITH docs AS (SELECT doc_id, doc_id // 50 AS chunk, {_WORDS} AS w FROM documents),
+own AS (SELECT min(doc_id) AS id, chunk, count(*) AS n_copies, w, len(w) AS n_words FROM docs GROUP BY chunk, w), {_grams('own')},
+candidates AS (SELECT DISTINCT a.id AS i, b.id AS j FROM grams a JOIN grams b ON a.k = b.k AND a.g = b.g AND a.id < b.id JOIN own h ON h.id = a.id JOIN own r ON r.id = b.id
+  WHERE h.chunk = r.chunk AND a.k = CASE WHEN h.n_words < 5 THEN 1 ELSE 4 END AND 2 * r.n_words > h.n_words AND r.n_words < 1.7 * h.n_words), {_BLEU},
+ends AS (SELECT i AS id, j AS other FROM scores WHERE bleu > 0.5 UNION ALL SELECT j, i FROM scores WHERE bleu > 0.5),
+degrees AS (SELECT id, chunk, w, CASE WHEN n_words >= 3 THEN n_copies ELSE 1 END + coalesce((SELECT sum(o.n_copies) FROM ends JOIN own o ON o.id = ends.other WHERE ends.id = own.id), 0) AS degree FROM own),
+pool AS (SELECT docs.chunk, greatest(0, 1 - 2 * abs(doc_id % 10 / 10.0::DOUBLE - 0.5::DOUBLE)) AS r_unc, degree::DOUBLE / count(*) OVER (PARTITION BY docs.chunk) AS share FROM docs JOIN degrees ON docs.chunk = degrees.chunk AND docs.w = degrees.w)
+SELECT chunk AS chunk_id, count(*)::BIGINT AS n, {_r6('avg((r_unc BETWEEN 0.3::DOUBLE AND 0.8::DOUBLE)::INT)')} AS v, {_r6('sum(greatest(0, r_unc - share))')} AS r FROM pool GROUP BY chunk HAVING count(*) >= 2""")
+def chunk_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share in the band and energy of each chunk of 50 documents, whose degrees count the near texts of the chunk."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("doc_id div 50").alias("chunk"))
+    own = dedup.written(dedup.classes(docs, "doc_id", "text", "chunk"), "classes")
+    degree = dedup.degrees(own, dedup.near_pairs(own))
+    digest = lambda tokens: F.sha2(F.concat_ws(" ", tokens), 256).alias("digest")
+    tokens = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != "")
+    members = docs.select("chunk", digest(tokens), losses.uncertainty(F.pmod(F.col("doc_id"), F.lit(10)) / 10).alias("r_unc"))
+    named = own.select("id", F.col("within").alias("chunk"), digest("tokens")).join(degree, "id")
+    pool = members.join(named, ["chunk", "digest"]).select(F.col("chunk").alias("chunk_id"), "r_unc", "degree")
+    return _rounded(stats.chunk_energies(pool), "v", "r")
+
+
 @query(f"""
 WITH s AS (SELECT qid, a, k FROM (SELECT user_id AS qid, event_type AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 12),
 n AS (SELECT qid, max(k) AS n FROM s GROUP BY 1),
