@@ -260,6 +260,19 @@ def batch_metrics(rows: DataFrame, longest: int) -> DataFrame:
     return rows.agg(*three("score"), *three("length"), F.avg((F.col("length") >= longest).cast("double")).alias("clip_ratio"))
 
 
+def token_metrics(tokens: DataFrame, **measures: Column) -> DataFrame:
+    """mean, max and min of each measure over the tokens whose mask is 1, as <name>_mean and so on."""
+    three = [f(c).alias(f"{name}_{n}") for name, c in measures.items() for n, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
+    return tokens.filter("mask = 1").agg(*three)
+
+
+def batch_divergence(tokens: DataFrame, sequence: str, kl: str) -> DataFrame:
+    """kl: the mean over sequences of the mean over their tokens whose mask is 1. Partial sums of a sequence are added before they are shuffled."""
+    m = F.col("mask").cast("double")
+    own = tokens.groupBy(sequence).agg((F.sum(F.col(kl) * m) / (F.sum(m) + 1e-8)).alias("own"))
+    return own.agg(F.avg("own").alias("kl"))
+
+
 def explained_variance(tokens: DataFrame) -> DataFrame:
     return tokens.filter("mask = 1").agg((1 - F.var_samp(F.col("ret") - F.col("value")) / (F.var_samp("ret") + 1e-5)).alias("explained_variance"))
 

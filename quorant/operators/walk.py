@@ -186,6 +186,13 @@ def dual_updates(df: DataFrame, beta: float, lam: float, s: DualSettings = DualS
     return df.withColumn("_end", end).withColumns({"beta_new": F.col("_end.b"), "lambda_new": F.col("_end.l")}).drop("_end")
 
 
+def schedules(iteration: Column, values: list[float], observed: Column, value: float, target: float, steps: int, horizon: int) -> tuple[Column, Column]:
+    """`schedule` and `kl_coefficient` of each row."""
+    at = F.element_at(F.array(*[F.lit(v) for v in values]), (F.least(iteration, F.lit(len(values) - 1)) + 1).cast("int"))
+    error = F.least(F.lit(0.2), F.greatest(F.lit(-0.2), observed / target - 1))
+    return at, value * (1 + error * steps / horizon)
+
+
 def schedule(values: list[float], iteration: int) -> float:
     """The value of an iteration; the last one repeats."""
     return values[min(iteration, len(values) - 1)]

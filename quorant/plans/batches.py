@@ -523,13 +523,60 @@ def shards_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_nationkey AS iteration, [0.1, 0.2, 0.4][least(n_nationkey, 2) + 1]::DOUBLE AS beta, "
        f"{_r6('0.2 * (1 + least(0.2, greatest(-0.2, n_nationkey / 10.0 - 1)) * 8 / 100)')} AS coefficient FROM nation")
 def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The step size and the divergence coefficient of each iteration."""
-    at = [(i, walk.schedule([0.1, 0.2, 0.4], i), walk.kl_coefficient(0.2, float(i), 10.0, 8, 100)) for i in range(25)]
-    return _rounded(spark.createDataFrame(at, "iteration int, beta double, coefficient double"), "coefficient")
+    """The step size and the divergence coefficient of each row's iteration."""
+    at = F.col("n_nationkey")
+    beta, coefficient = walk.schedules(at, [0.1, 0.2, 0.4], at.cast("double"), 0.2, 10.0, 8, 100)
+    return _rounded(table(spark, sf_dir, "nation").select(at.cast("int").alias("iteration"), beta.alias("beta"), coefficient.alias("coefficient")), "coefficient")
 
 
-@query("SELECT 1.0::DOUBLE AS weight, 0.5::DOUBLE AS beta, 3::BIGINT AS seed")
+@query("""
+SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN s_acctbal ELSE 1.0::DOUBLE END AS weight, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey / 10.0::DOUBLE WHEN s_suppkey % 2 = 0 THEN 0.2::DOUBLE ELSE 0.05::DOUBLE END AS beta,
+  CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE 7 END::BIGINT AS seed FROM supplier""")
 def merged_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Defaults, a file's values over them, then those of a command line."""
-    found = tables.merged(walk.WalkSettings(), {"beta": 0.2, "seed": 3}, {"beta": 0.5})
-    return spark.createDataFrame([(found.weight, found.beta, found.seed)], "weight double, beta double, seed long")
+    """Defaults, one layer of each row's values over them, then another."""
+    key = F.col("s_suppkey")
+    file = {"beta": F.when(key % 2 == 0, 0.2), "seed": F.when(key % 2 == 0, key), "weight": F.when(key % 5 == 0, F.col("s_acctbal"))}
+    line = {"beta": F.when(key % 3 == 0, F.col("s_nationkey") / 10)}
+    found = tables.merged_columns(table(spark, sf_dir, "supplier"), walk.WalkSettings(), file, line)
+    return found.select("s_suppkey", F.col("weight").cast("double").alias("weight"), "beta", F.col("seed").cast("long").alias("seed"))
+
+
+@query(f"""
+SELECT {", ".join(f"{_r6(f'{f}({c})')} AS {n}_{f.replace('avg', 'mean')}" for n, c in (("advantage", "l_discount - l_tax"), ("returned", "l_quantity / 50")) for f in ("avg", "max", "min"))}
+FROM lineitem WHERE l_linestatus = 'F'""")
+def masked_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advantages and returns of the tokens that count."""
+    tokens = table(spark, sf_dir, "lineitem").withColumn("mask", (F.col("l_linestatus") == "F").cast("int"))
+    found = stats.token_metrics(tokens, advantage=F.col("l_discount") - F.col("l_tax"), returned=F.col("l_quantity") / 50)
+    return _rounded(found, *found.columns)
+
+
+@query(f"""
+WITH s AS (SELECT l_orderkey, sum(l_tax * (l_linestatus = 'F')::INT) / (sum((l_linestatus = 'F')::INT) + 1e-8) AS own FROM lineitem GROUP BY 1) SELECT {_r6('avg(own)')} AS kl FROM s""")
+def batch_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean divergence of sequences, each the mean of its tokens that count."""
+    tokens = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_tax", (F.col("l_linestatus") == "F").cast("int").alias("mask"))
+    return _rounded(stats.batch_divergence(tokens, "l_orderkey", "l_tax"), "kl")
+
+
+@query("SELECT p_partkey AS qid, p_size AS sample_idx, p_name AS prompt, upper(p_name) AS response FROM part")
+def answers_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several calls of a task at once, whose answers come in another order than the prompts; some are made again."""
+
+    def client() -> tables.Client:
+        import time
+        import zlib
+
+        failed: set[str] = set()
+
+        def call(prompts: list[str]) -> list[str]:
+            time.sleep(zlib.crc32(prompts[0].encode()) % 7 / 1000)
+            if prompts[0] not in failed and zlib.crc32(prompts[0].encode()) % 5 == 0:
+                failed.add(prompts[0])
+                raise ConnectionError
+            return [p.upper() for p in prompts]
+
+        return call
+
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("qid"), F.col("p_size").alias("sample_idx"), F.col("p_name").alias("prompt"))
+    return tables.complete(asked, client, batch=16, in_flight=4)

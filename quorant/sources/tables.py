@@ -7,7 +7,8 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, as_completed
+from concurrent.futures import wait as first_done
 from dataclasses import fields, replace
 
 import pandas as pd
@@ -233,29 +234,43 @@ def _attempt(call: Client, prompts: list[str], seconds: float | None) -> list[st
     return list(found)
 
 
-def complete(prompts: DataFrame, client: Callable[[], Client], batch: int = 64, tries: int = 3, fallback: str | None = None, wait: float = 0.0, seconds: float | None = None) -> DataFrame:
+def complete(prompts: DataFrame, client: Callable[[], Client], batch: int = 64, tries: int = 3, fallback: str | None = None, wait: float = 0.0, seconds: float | None = None, in_flight: int = 1) -> DataFrame:
     """(qid, sample_idx, prompt) with response: a model behind `client`, built once per task, called by batch.
 
+    Up to `in_flight` batches of a task are called at once, and their rows come out as the answers do, each with its own
+    keys; the next batch is read only when one is done, so a slow service holds back what feeds it. A task that ends
+    early cancels what has not begun; the client is shared by the calls.
+
     A call that fails, takes more than `seconds` or answers too few prompts is made again, after `wait` seconds, then twice
     that, and so on; after `tries` calls the batch gets `fallback`.
     """
 
+    def answered(call: Client, rows: pd.DataFrame) -> pd.DataFrame:
+        part = rows["prompt"].tolist()
+        for n in range(1, tries + 1):
+            try:
+                return rows.assign(response=_attempt(call, part, seconds))
+            except Exception:  # noqa: BLE001  (any failure of the service)
+                if n < tries:
+                    time.sleep(wait * n)
+        return rows.assign(response=[fallback] * len(part))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = client()
-        for rows in batches:
-            said: list[str | None] = []
-            for i in range(0, len(rows), batch):
-                part = rows["prompt"].iloc[i : i + batch].tolist()
-                for n in range(1, tries + 1):
-                    try:
-                        said += _attempt(call, part, seconds)
-                        break
-                    except Exception:  # noqa: BLE001  (any failure of the service)
-                        if n == tries:
-                            said += [fallback] * len(part)
-                        else:
-                            time.sleep(wait * n)
-            yield rows.assign(response=said)
+        call, pending = client(), set()
+        parts = (rows.iloc[i : i + batch] for rows in batches for i in range(0, len(rows), batch))
+        if in_flight == 1:
+            yield from (answered(call, rows) for rows in parts)
+            return
+        pool = ThreadPoolExecutor(in_flight)
+        try:
+            for rows in parts:
+                pending.add(pool.submit(answered, call, rows))
+                if len(pending) == in_flight:
+                    done, pending = first_done(pending, return_when=FIRST_COMPLETED)
+                    yield from (f.result() for f in done)
+            yield from (f.result() for f in as_completed(pending))
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
     return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField("response", T.StringType())]))
 
@@ -296,6 +311,15 @@ def shape_dataset(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def merged_columns(df: DataFrame, defaults, *layers: dict[str, Column]) -> DataFrame:
+    """`df` with a column for each field of a dataclass: the last layer's value that is not null, or the default; unknown keys are an error."""
+    known = [f.name for f in fields(defaults)]
+    for layer in layers:
+        if unknown := set(layer) - set(known):
+            raise KeyError(f"unknown settings: {sorted(unknown)}")
+    return df.withColumns({k: F.coalesce(*[layer[k] for layer in reversed(layers) if k in layer], F.lit(getattr(defaults, k))) for k in known})
+
+
 def merged(defaults, *layers: dict):
     """A dataclass with each layer's known keys over the one before; unknown keys are an error."""
     known = {f.name for f in fields(defaults)}
