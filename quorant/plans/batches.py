@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import losses
+from ..functions import losses, tablefunctions
 from ..operators import advantage, filters, partition, stats, vote, walk
 from ..sources import tables
-from ..streaming import votes
+from ..streaming import shards, votes
 from .catalogue import _IDX as _ORDERS
 from .catalogue import _majority, _r6, _ranked_orders, _rounded, _votes, query, r6, table
 
@@ -580,3 +581,48 @@ def answers_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("qid"), F.col("p_size").alias("sample_idx"), F.col("p_name").alias("prompt"))
     return tables.complete(asked, client, batch=16, in_flight=4)
+
+
+@query("""
+WITH a AS (SELECT user_id % 40 AS set_id, event_type AS shard, min(ts) AS arrived FROM events GROUP BY 1, 2), s AS (SELECT *, arrived <= min(arrived) OVER (PARTITION BY set_id) + INTERVAL 30 MINUTE AS accepted FROM a)
+SELECT e.set_id, count(*)::BIGINT AS n, count(DISTINCT e.shard)::BIGINT AS shards, any_value(late)::BIGINT AS late
+FROM (SELECT (user_id % 40)::BIGINT AS set_id, event_type AS shard FROM events) e JOIN s ON s.set_id = e.set_id AND s.shard = e.shard AND accepted
+  JOIN (SELECT set_id, count(*) FILTER (NOT accepted) AS late FROM s GROUP BY 1) l ON l.set_id = e.set_id GROUP BY e.set_id""")
+def cut_off_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the shards that came within half an hour of their set's first; arrivals come in five micro-batches, late ones after their set is closed."""
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("set_id"), F.col("event_type").alias("shard"), F.col("ts").cast("timestamp").alias("ts"))
+    arrivals = tables.written(events.groupBy("set_id", "shard").agg(F.min("ts").alias("arrived")).withColumn("part", F.ntile(5).over(_by_arrival())), "arrivals")
+    folder, path = _place(spark, "arrivals"), _place(spark, "decided")
+    for part in range(1, 6):  # one file after the other
+        arrivals.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    stream = shards.read_arrivals(spark, folder, "set_id long, shard string, arrived timestamp")
+    votes.run_available(shards.decide_shards(stream, 1800.0), path, _place(spark, "decided-log"))
+    decided = spark.read.schema("set_id string, shard string, arrived timestamp, accepted boolean, late long").parquet(path).withColumn("set_id", F.col("set_id").cast("long"))
+    late = decided.groupBy("set_id").agg(F.count_if(~F.col("accepted")).alias("late"))
+    held = events.join(decided.filter("accepted").select("set_id", "shard"), ["set_id", "shard"]).groupBy("set_id").agg(F.count("*").alias("n"), F.count_distinct("shard").alias("shards"))
+    return held.join(late, "set_id").select("set_id", "n", "shards", "late")
+
+
+def _by_arrival():
+    """At most 40 sets of a few shards."""
+    return W.orderBy("arrived", "set_id", "shard")
+
+
+@query(r"""
+SELECT p_partkey, g.nth::INT AS nth, g.body AS body FROM part, LATERAL (SELECT unnest([0, 1]) AS nth, unnest([p_name, 'a{' || p_brand || '}']) AS body) g WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 0, p_type FROM part WHERE p_partkey % 3 = 1""")
+def boxed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of each text through a table function in SQL."""
+    tablefunctions.register(spark)
+    said = F.expr(r"CASE p_partkey % 3 WHEN 0 THEN '\\boxed{' || p_name || '} or \\boxed{a{' || p_brand || '}}' WHEN 1 THEN '\\boxed{' || p_type || '}' ELSE p_name END")
+    rows = table(spark, sf_dir, "part").select("p_partkey", said.alias("said"))
+    return spark.sql("SELECT p_partkey, g.nth, g.body FROM {rows}, LATERAL boxed_groups(said) g", rows=rows)
+
+
+@query(f"""
+WITH v AS (SELECT user_id AS qid, event_id, event_type AS answer FROM events WHERE event_id % 4 > 0), c AS (SELECT qid, answer, min(event_id) AS first, count(*)::BIGINT AS n FROM v GROUP BY 1, 2)
+SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY first) - 1)::INT AS class, answer AS label, n FROM c""")
+def classes_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of answers by a table function over a table that it has partitioned and ordered."""
+    tablefunctions.register(spark)
+    asked = _votes(spark, sf_dir).select("qid", F.col("sample_idx").cast("long").alias("sample_idx"), F.when(F.col("sample_idx") % 4 > 0, F.col("answer")).alias("answer"))
+    return spark.sql("SELECT qid, class, min_by(answer, sample_idx) AS label, count(*) AS n FROM answer_classes(TABLE({asked})) GROUP BY qid, class", asked=asked)
