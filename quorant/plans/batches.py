@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import losses, tablefunctions
 from ..operators import advantage, filters, partition, stats, vote, walk
-from ..sources import tables
+from ..sources import tables, versions
 from ..streaming import shards, votes
 from .catalogue import _IDX as _ORDERS
 from .catalogue import _majority, _r6, _ranked_orders, _rounded, _votes, query, r6, table
@@ -626,3 +627,37 @@ def classes_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     tablefunctions.register(spark)
     asked = _votes(spark, sf_dir).select("qid", F.col("sample_idx").cast("long").alias("sample_idx"), F.when(F.col("sample_idx") % 4 > 0, F.col("answer")).alias("answer"))
     return spark.sql("SELECT qid, class, min_by(answer, sample_idx) AS label, count(*) AS n FROM answer_classes(TABLE({asked})) GROUP BY qid, class", asked=asked)
+
+
+@query("""
+SELECT s_suppkey, s_nationkey + 2 AS s_nationkey, 4::BIGINT AS version FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, s_nationkey + 3, 3 FROM supplier WHERE s_suppkey % 2 = 1""")
+def restored_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions, the second made the last again, the first deleted; data written but never published is in none."""
+    path, rows = _place(spark, "versions"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    for i in (1, 2, 3):
+        versions.save_version(rows.withColumn("s_nationkey", F.col("s_nationkey") + i), path)
+    versions.write_data(rows, path)
+    last = versions.restore(spark, path, 2)
+    kept = versions.keep_versions(spark, path, 2)
+    found = [versions.read_version(spark, path, v).withColumn("version", F.lit(v).cast("long")) for v in kept]
+    assert max(kept) == last
+    return found[0].filter("s_suppkey % 2 = 1").unionByName(found[1].filter("s_suppkey % 2 = 0"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, sink FROM orders, (SELECT unnest(['json', 'parquet']) AS sink)")
+def fanned_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of files written to two sinks, of which one fails at first: the batch is made again and is in each once."""
+    folder, out, log, schema = _place(spark, "drop"), _place(spark, "sinks"), _place(spark, "sinks-log"), "o_orderkey long, o_orderstatus string"
+    table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus").repartition(3).write.parquet(folder)
+    sinks = {kind: versions.to_files(f"{out}/{kind}", kind) for kind in ("json", "parquet")}
+
+    def failing(batch: DataFrame, key: str) -> None:
+        raise ConnectionError
+
+    for some in ({"json": sinks["json"], "parquet": failing}, sinks):
+        try:
+            versions.fan_out(spark.readStream.schema(schema).parquet(folder), some, "orders", log).awaitTermination()
+        except StreamingQueryException:
+            continue
+    found = [versions.read_sink(spark, f"{out}/{kind}", schema, kind).withColumn("sink", F.lit(kind)) for kind in sinks]
+    return found[0].unionByName(found[1])
