@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -371,3 +372,27 @@ def plugin_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overall reward of the two registered plugins."""
     truth = F.col("p_size").cast("string")
     return _said(spark, sf_dir, _REPLIES, math=r6(rewards.SCALAR["math"](_t(), truth)["overall"]), tagged=r6(rewards.SCALAR["answer_tag"](_t(), truth)["overall"]))
+
+
+_INFIX = [
+    (r"'\frac{' || p_size || '}{4}x'", "'((' || p_size || '/4)*x)'"),
+    (r"'\sqrt{' || p_size || '}'", "'sqrt(' || p_size || ')'"),
+    ("'2x^{3}-' || p_size", "'((2*(x**3))-' || p_size || ')'"),
+    (r"'' || p_size || '\%'", "'(' || p_size || '/100)'"),
+    (r"'\left(' || p_size || ' \cdot 7\right)'", "'(' || p_size || '*7)'"),
+    (r"'\frac12'", "'(1/2)'"),
+    (r"'\int x'", "NULL"),
+    ("'-' || p_size || '+1.5'", "'((-' || p_size || ')+(3/2))'"),
+]
+
+
+@query(f"SELECT p_partkey, {_cases('p_partkey', *[plain for _, plain in _INFIX])} AS infix FROM part")
+def infix_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions in LaTeX written out in plain infix form."""
+
+    @F.pandas_udf("string")
+    def plain(said: pd.Series) -> pd.Series:
+        return said.map(text.infix)
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_cases("p_partkey", *[said for said, _ in _INFIX]).replace("\\", "\\\\")).alias("said"))
+    return rows.select("p_partkey", plain("said").alias("infix"))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import losses, tablefunctions
+from ..functions import losses, rewards, tablefunctions
 from ..operators import advantage, filters, partition, stats, vote, walk
 from ..sources import tables, versions
 from ..streaming import shards, votes
@@ -661,3 +664,58 @@ def fanned_out(spark: SparkSession, sf_dir: str) -> DataFrame:
             continue
     found = [versions.read_sink(spark, f"{out}/{kind}", schema, kind).withColumn("sink", F.lit(kind)) for kind in sinks]
     return found[0].unionByName(found[1])
+
+
+def _shaped_sql(name: str, spec: dict) -> str:
+    options = " || chr(10) || 'A. ' || n_regionkey || chr(10) || 'B. ' || n_name" if "options" in spec else ""
+    return f"SELECT '{name}' AS name, n_name || '?'{options} AS question, '{name}' || n_nationkey AS answer FROM nation" + (f", range({spec['times']})" if "times" in spec else "")
+
+
+_SHAPED_SQL = " UNION ALL ".join(_shaped_sql(name, spec) for name, spec in tables.DATASETS.items())
+
+
+@query(_SHAPED_SQL + " UNION ALL SELECT 'own', n_name, n_name FROM nation")
+def loaded_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every registered data set in its own layout, read by its loader, and one with a loader of its own."""
+    nation, out = table(spark, sf_dir, "nation"), []
+    for name, spec in tables.DATASETS.items():
+        told = F.concat(F.lit("so 1 " + spec["after"] if "after" in spec else ""), F.lit(name), F.col("n_nationkey"))
+        columns = [F.concat("n_name", F.lit("?")).alias(spec["question"]), (F.array(told, F.lit("none")) if spec.get("first") else told).alias(spec["answer"])]
+        if "options" in spec:
+            columns.append(F.array(F.col("n_regionkey").cast("string"), "n_name").alias(spec["options"]))
+        path = _place(spark, f"set-{name}")
+        nation.select(*columns).write.parquet(path)
+        out.append(tables.loader_of(name)(spark, path).select(F.lit(name).alias("name"), "question", "answer"))
+
+    @tables.loader("own")
+    def own(spark: SparkSession, path: str) -> DataFrame:
+        return spark.read.parquet(path).select(F.col("n_name").alias("question"), F.col("n_name").alias("answer"))
+
+    out.append(tables.loader_of("own")(spark, f"{sf_dir}/nation.parquet").select(F.lit("own").alias("name"), "question", "answer"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(f"""
+WITH p AS (SELECT o_orderkey, row_number() OVER b / (count(*) OVER (PARTITION BY o_orderstatus, o_orderkey % 1000))::DOUBLE AS place FROM orders WINDOW b AS (PARTITION BY o_orderstatus, o_orderkey % 1000 ORDER BY o_totalprice, o_orderkey))
+SELECT o_orderkey, {_r6('CASE WHEN o_orderkey % 3 = 0 THEN -place ELSE place END')} AS overall FROM p""")
+def batch_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reward across the rows of a batch: a row's rank in it, over its size."""
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["o_totalprice", "o_orderkey"])
+        place = np.arange(1, len(rows) + 1) / len(rows)
+        return pd.DataFrame({"o_orderkey": rows["o_orderkey"], "overall": np.where(rows["o_orderkey"] % 3 == 0, -place, place)})
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.concat_ws("|", "o_orderstatus", F.col("o_orderkey") % 1000).alias("batch"))
+    return _rounded(rewards.apply_batch(orders, "batch", score, "o_orderkey long, overall double"), "overall")
+
+
+@query(f"""
+WITH t AS (SELECT *, {_AT} AS nth, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT l_orderkey, {_r6('sum(pow(0.5 * 0.9, nth) * (sqrt(l_quantity) + 0.5 * coalesce(v_next, 0) - l_tax))')} AS advantage, {_r6('sum(pow(0.5 * 0.9, nth) * (sqrt(l_quantity) + 0.5 * coalesce(v_next, 0) - l_tax)) + max(l_tax) FILTER (nth = 0)')} AS ret
+FROM (SELECT *, lead(l_tax) OVER (PARTITION BY l_orderkey ORDER BY nth) AS v_next FROM t) GROUP BY 1""")
+def gae_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The advantage and the return of each order's first line, by the estimator's name."""
+    rows = _sequences(spark, sf_dir).select("l_orderkey", F.transform("items", lambda x: F.sqrt(x["l_quantity"])).alias("rewards"), F.col("items.l_tax").alias("vs"))
+    found = advantage.advantages(rows, "gae", rewards="rewards", values="vs", gamma=0.5, lam=0.9)
+    return _rounded(found.select("l_orderkey", F.get("advantage", F.lit(0)).alias("advantage"), F.get("returns", F.lit(0)).alias("ret")), "advantage", "ret")

@@ -311,6 +311,30 @@ def shape_dataset(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+Loader = Callable[[SparkSession, str], DataFrame]
+#: Loaders by name of a data set, beside those that its registered shape gives.
+LOADERS: dict[str, Loader] = {}
+
+
+def loader(name: str) -> Callable[[Loader], Loader]:
+    """Registers a function (spark, path) -> question, answer for a data set."""
+
+    def keep(function: Loader) -> Loader:
+        LOADERS[name] = function
+        return function
+
+    return keep
+
+
+def loader_of(name: str) -> Loader:
+    """The loader of a data set: its own, or one that reads a table by path and shapes it; an unknown name is an error."""
+    if name in LOADERS:
+        return LOADERS[name]
+    if name not in DATASETS:
+        raise ValueError(f"unknown data set {name}")
+    return lambda spark, path: shape_dataset(spark.read.parquet(path), name)
+
+
 def merged_columns(df: DataFrame, defaults, *layers: dict[str, Column]) -> DataFrame:
     """`df` with a column for each field of a dataclass: the last layer's value that is not null, or the default; unknown keys are an error."""
     known = [f.name for f in fields(defaults)]
