@@ -49,6 +49,8 @@ from .common import materialise
 BLOCK, CELL, LEAST_CELL = 16_384, 50_000, 1_000
 #: Bits of a key column: whether it is not null, then how far it is above the column's least value.
 BITS = 65
+#: Lines of a partition of the index, on average at most: more lines than the session's shuffle partitions hold get more partitions.
+PART_LINES = 200_000
 #: Copies of a line that one row makes at once.
 COPIES = 10_000
 
@@ -91,6 +93,7 @@ def build_index(lines: DataFrame, shape: _Shape, cell: int = CELL, block: int =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n, *least = lines.agg(F.count("*"), *[F.min(p) for p in shape.p]).first()
     shape.least = [v or 0 for v in least]
+    parts = max(parts, -(-n // PART_LINES))
     cell = max(min(cell, n // (4 * parts)), min(cell, LEAST_CELL))
     large = materialise(lines.groupBy(*shape.g).agg(F.count("*").alias("held")).filter(f"held > {cell}"), "rank-spread-groups")
     numbered = lines.withColumn("nth", F.monotonically_increasing_id())
