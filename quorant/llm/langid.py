@@ -10,7 +10,8 @@ crc32(doc_id) mod 5 is 0 are never learned from.
 
 Prediction is map-only. A null text or one without a letter is `und` with score
 0, as is everything if nothing could be learned. Repeated rows each get a row.
-An empty table gives no rows. `accepted` keeps the columns of its input whatever
+An empty table gives no rows. Very long texts are read whole, segment by segment.
+`accepted` keeps the columns of its input whatever
 their names; other columns play no part in a prediction.
 """
 

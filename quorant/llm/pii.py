@@ -21,7 +21,8 @@ pattern, gazetteer, context before, context after, shape. Each says private
 
 Null texts count as empty. Texts without spans have empty strings. Repeated
 rows each get a row and count in the estimates. Without candidates no
-classifier is needed. Other columns are ignored. Positions are code points;
+classifier is needed. An empty table gives no rows. Whole texts are searched, in
+time that grows with their length alone. Other columns are ignored. Positions are code points;
 digits are those of ASCII.
 """
 

@@ -21,7 +21,8 @@ Null texts count as empty; an empty text has no spans and is like only empty
 texts. A null doc_id comes last. Rows of the same doc_id follow each other by
 the XXH64 of their texts, and equal rows by place of storage, so however many
 rows share a doc_id, ranges divide them. A table of one row follows itself, an
-empty one gives no rows. Other columns are ignored.
+empty one gives no rows. Texts are hashed whole, however long. Other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ kept if every measure lies within its group's fences (a join).
 
 Only built-in expressions are used. Nulls: a null text has no words; null
 lang and source form groups of their own. Repeated rows each count and each
-get a row. Extra columns of the input are ignored by `measures` and kept by
-`apply_rules`; its own columns start with `q_`.
+get a row. An empty table gives no rows. Whole texts are measured, however long.
+Extra columns of the input are ignored by `measures` and kept by `apply_rules`;
+its own columns start with `q_`.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ components. Nulls and empty texts have fingerprint 0. Repeated rows get a row
 each; a null doc_id is never the least of a component. `keep_first` keeps the
 first row of each component by doc_id (nulls last), then the text's digest, then
 the other columns, so rows that share a doc_id, or have none, are compared like
-all others. Other columns are ignored by `near_duplicates` and kept by
+all others. An empty table gives no rows. A fingerprint is of the whole text,
+however long. Other columns are ignored by `near_duplicates` and kept by
 `keep_first`.
 """
 
