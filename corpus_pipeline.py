@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before
 kept and returns a DataFrame; it is written as Parquet and reread as the next
 one's docs. All but the last return the columns of documents.
+
+Null and empty texts have no letter, so the first stage drops them. Rows without
+a lang or a source form groups of their own in the second. Equal rows are near
+duplicates of each other, rows without a doc_id included. Long texts pass whole.
+Extra columns are kept up to the last stage. An empty table gives no rows.
 """
 
 from __future__ import annotations
