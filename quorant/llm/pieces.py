@@ -44,7 +44,7 @@ from .common import documents
 
 MARK = "▁"
 #: Parts longer than this are encoded anew each time; so many shorter ones, and so many pairs, are remembered. These bound a worker's memory, not what is encoded.
-PART_CHARS, PARTS, PAIRS = 64, 200_000, 400_000
+PART_CHARS, PARTS, PAIRS = 64, 500_000, 400_000
 _PART = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
@@ -76,7 +76,8 @@ class PrefixTable:
         self.names = names
         self.pairs: dict[tuple[int, int], bool] = {}
         self.parts: dict[str, tuple[int, str, bytes]] = {}
-        self.unknown = re.compile(f"[^{re.escape(''.join(p for p in self.ids if len(p) == 1))}]")
+        self.singles = {p for p in self.ids if len(p) == 1}
+        self.unknown = re.compile(f"[^{re.escape(''.join(self.singles))}]")
 
     def merged(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
         """`text` by the rule itself: the pair whose union scores most is merged, the leftmost among equals, until none is left. For short texts.
@@ -116,12 +117,16 @@ class PrefixTable:
 
     def encode_known(self, text: str) -> list[int]:
         """The ids of a text whose characters are all pieces."""
-        last, width, compatible = [-1] * (len(text) + 1), [0] * (len(text) + 1), self.compatible
+        last, width, known, compatible = [-1] * (len(text) + 1), [0] * (len(text) + 1), self.pairs.get, self.compatible
         for end, (token, length) in self.automaton.iter(text):
-            if last[end + 1] < 0:
-                before = end + 1 - length
-                if not before or (last[before] >= 0 and compatible(last[before], token)):
-                    last[end + 1], width[end + 1] = token, length
+            end += 1
+            if last[end] < 0:
+                if length == end:
+                    last[end], width[end] = token, length
+                elif (left := last[end - length]) >= 0:
+                    fits = known((left, token))
+                    if compatible(left, token) if fits is None else fits:
+                        last[end], width[end] = token, length
         ids, at = [], len(text)
         while at:
             ids.append(last[at])
@@ -129,6 +134,8 @@ class PrefixTable:
         return ids[::-1]
 
     def encode_part(self, part: str) -> list[int]:
+        if self.singles.issuperset(part):
+            return self.encode_known(part)
         ids, at = [], 0
         for m in self.unknown.finditer(part):
             ids += self.encode_known(part[at : m.start()])
@@ -188,11 +195,11 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_table(path)
-        told = table.told
+        known, told = table.parts.get, table.told
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [told(p) for p in table.split(text.as_py() or "")]
+                found = [known(p) or told(p) for p in table.split(text.as_py() or "")]
                 ids, decoded = ",".join([f[1] for f in found]), _unmarked(b"".join([f[2] for f in found]))
                 rows.append((doc, sum(f[0] for f in found), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             if rows:
