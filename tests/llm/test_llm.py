@@ -479,6 +479,16 @@ def test_chat_round_trip_of_nulls_ties_and_control_strings(spark, tmp_path):
         assert r.t == r.u and not re.search(chat.CONTROL, r.e)
 
 
+def test_chat_digest_ends_each_turn_with_a_line_break(spark, tmp_path):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a\n"), (2, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r.conv_id: r for r in registry.QUERIES["op5_chat"](spark, str(tmp_path)).collect()}
+    sha, said = (lambda s: hashlib.sha256(s.encode()).hexdigest()), "</s>[INST] ok [/INST]"
+    want = {1: "user\nq\nassistant\na\n\n", 2: "\n\n", -1: f"user\n{said}\nassistant\n{said}\n"}
+    assert {k: r.turns_sha256 for k, r in found.items()} == {k: sha(s) for k, s in want.items()}
+    assert (found[1].n_turns, found[1].loss_chars, found[1].loss_sha256) == (2, 2, sha("a\n"))
+
+
 def test_chat_keeps_turns_too_long_for_json(spark):
     text = F.when(F.col("id") == 1, F.repeat(F.lit("x"), 21_000_000)).otherwise(F.lit("short"))
     rows = spark.range(3).select((F.col("id") == 2).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), text.alias("text"))
