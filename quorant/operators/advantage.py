@@ -40,9 +40,13 @@ def _backward(xs: Column, factors: Column) -> Column:
         # Before: v[i] = x[i] + f[i] * v[i + k]. After: the same with 2k.
         return F.transform(z, lambda p, i: F.struct((p["x"] + p["f"] * later(z, i + k, "x")).alias("x"), (p["f"] * later(z, i + k, "f")).alias("f")))
 
+    def summed(pairs: Column) -> Column:
+        spans = F.filter(F.array(*[F.lit(1 << j) for j in range(31)]), lambda k: k < F.size(pairs))
+        return F.transform(F.aggregate(spans, pairs, joined), lambda p: p["x"])
+
     pairs = F.zip_with(xs, factors, lambda x, f: F.struct(x.cast("double").alias("x"), f.cast("double").alias("f")))
-    spans = F.filter(F.array(*[F.lit(1 << j) for j in range(31)]), lambda k: k < F.size(xs))
-    return F.transform(F.aggregate(spans, pairs, joined), lambda p: p["x"])
+    # Bound once: what a lambda refers to outside itself is evaluated for each of its elements.
+    return F.transform(F.array(pairs), summed)[0]
 
 
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
@@ -54,7 +58,7 @@ def gae(rewards: Column, values: Column, gamma: float = 1.0, lam: float = 1.0) -
     """Advantages and returns (advantages + values) of a token sequence; the value after the end is 0. An empty sequence has none."""
     after = F.slice(F.concat(values, F.array(F.lit(0.0))), 2, F.greatest(F.size(values), F.lit(0)))
     delta = F.zip_with(F.zip_with(rewards, after, lambda r, n: r + gamma * n), values, lambda d, v: d - v)
-    advantages = _backward(delta, F.transform(delta, lambda _: F.lit(gamma * lam)))
+    advantages = _backward(delta, F.array_repeat(F.lit(gamma * lam), F.size(values)))
     return advantages, F.zip_with(advantages, values, lambda a, v: a + v)
 
 
@@ -120,4 +124,7 @@ def advantages(df: DataFrame, estimator: str, **columns: str) -> DataFrame:
         raise ValueError(f"unknown estimator {estimator}")
     given = {k: F.col(v) if isinstance(v, str) else v for k, v in columns.items()}
     found = SEQUENCE_ESTIMATORS[estimator](**given)
-    return df.withColumns({"advantage": found[0], "returns": found[1]}) if estimator == "gae" else df.withColumn("advantage", found)
+    if estimator != "gae":
+        return df.withColumn("advantage", found)
+    # The returns from the advantages' column, which is then computed once.
+    return df.withColumn("advantage", found[0]).withColumn("returns", F.zip_with("advantage", given["values"], lambda a, v: a + v))
