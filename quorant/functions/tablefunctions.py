@@ -10,7 +10,7 @@ from pyspark.sql.types import Row
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructType
 
-from .text import boxed_bodies, equal_values
+from .text import boxed_bodies, known_equal
 
 
 @udtf(returnType="nth int, body string")
@@ -43,7 +43,7 @@ class AnswerClasses:
     def eval(self, row: Row) -> Iterator[tuple]:
         answer = row["answer"]
         if answer:
-            same = lambda a, b: a == b or ("no " in a.lower() and "no " in b.lower()) or bool(equal_values(a, b)) or bool(equal_values(b, a))
+            same = lambda a, b: a == b or ("no " in a.lower() and "no " in b.lower()) or bool(known_equal(a, b)) or bool(known_equal(b, a))
             home = next((i for i, first in enumerate(self.firsts) if same(answer, first)), None)
             if home is None:
                 self.firsts.append(answer)
