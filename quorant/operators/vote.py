@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.losses import uncertainty
-from ..functions.text import equal_values
+from ..functions.text import known_equal
 
 
 def majority(votes: DataFrame, invalid: tuple[str, ...] = (), denominator: str = "all", keys: tuple[str, ...] = ("qid",)) -> DataFrame:
@@ -42,7 +42,7 @@ def first_samples(votes: DataFrame, m: int, keys: tuple[str, ...] = ("qid",)) ->
 
 def same_answer(a: str, b: str) -> bool:
     """Equal, both a negation in either case, or equal in value."""
-    return a == b or ("no " in a.lower() and "no " in b.lower()) or bool(equal_values(a, b))
+    return a == b or ("no " in a.lower() and "no " in b.lower()) or bool(known_equal(a, b))
 
 
 def equivalence_vote(votes: DataFrame, same: Callable[[str, str], bool] = same_answer, denominator: str = "nonempty") -> DataFrame:
@@ -55,21 +55,31 @@ def equivalence_vote(votes: DataFrame, same: Callable[[str, str], bool] = same_a
     """
     answers = votes.groupBy("qid", "answer").agg(F.count("*").alias("n"), F.min("sample_idx").alias("first"))
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
+    lists = answers.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("first", "answer", "n"))).alias("told"))
+    # Questions reach Python as rows of arrays, many at once.
+    lists = lists.select("qid", F.col("told.answer").alias("answers"), F.col("told.n").alias("counts"))
+
+    def decide(answers: list[str | None], counts: list[int]) -> tuple[str | None, int, int, float]:
         classes: list[list] = []
-        told = rows[rows["answer"].notna() & (rows["answer"] != "")].sort_values("first")
-        for answer, n in zip(told["answer"], told["n"], strict=True):
+        told = [(a, n) for a, n in zip(answers, counts, strict=True) if a]
+        for answer, n in told:
             home = next((c for c in classes if same(answer, c[0]) or same(c[0], answer)), None)
             if home:
-                home[1] += int(n)
+                home[1] += n
             else:
-                classes.append([answer, int(n)])
+                classes.append([answer, n])
         best = max(classes, key=lambda c: c[1], default=[None, 0])
-        samples = int(rows["n"].sum() if denominator == "all" else told["n"].sum())
-        return pd.DataFrame({"qid": [rows["qid"].iloc[0]], "label": [best[0]], "n_votes": [best[1]], "n_samples": [samples], "p_hat": [best[1] / samples if samples else 0.0]})
+        samples = sum(counts) if denominator == "all" else sum(n for _, n in told)
+        return best[0], best[1], samples, best[1] / samples if samples else 0.0
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [decide(a.as_py(), n.as_py()) for a, n in zip(b.column(1), b.column(2), strict=True)]
+            label, votes, samples, p = zip(*found, strict=True) if found else ((),) * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(label, pa.string()), pa.array(votes, pa.int64()), pa.array(samples, pa.int64()), pa.array(p, pa.float64())], names=["qid", "label", "n_votes", "n_samples", "p_hat"])
 
     kind = answers.schema["qid"].dataType.simpleString()
-    return answers.groupBy("qid").applyInPandas(group, f"qid {kind}, label string, n_votes long, n_samples long, p_hat double")
+    return lists.mapInArrow(group, f"qid {kind}, label string, n_votes long, n_samples long, p_hat double")
 
 
 def majority_confidence(votes: DataFrame, labels: DataFrame, logprob: str = "mean_logprob") -> DataFrame:
