@@ -234,11 +234,28 @@ def _attempt(call: Client, prompts: list[str], seconds: float | None) -> list[st
     return list(found)
 
 
+#: Rows of answers that go back to Spark together; what a batch of a few rows costs on its way is then paid once for many.
+GATHERED = 1_000
+
+
+def gathered(parts: Iterator[pd.DataFrame], rows: int = GATHERED) -> Iterator[pd.DataFrame]:
+    """The rows of `parts` in as many frames as `rows` of them, or more, make each."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def complete(prompts: DataFrame, client: Callable[[], Client], batch: int = 64, tries: int = 3, fallback: str | None = None, wait: float = 0.0, seconds: float | None = None, in_flight: int = 1) -> DataFrame:
     """(qid, sample_idx, prompt) with response: a model behind `client`, built once per task, called by batch.
 
-    Up to `in_flight` batches of a task are called at once, and their rows come out as the answers do, each with its own
-    keys; the next batch is read only when one is done, so a slow service holds back what feeds it. A task that ends
+    Up to `in_flight` batches of a task are called at once, and their rows come out in the order of the answers (GATHERED at a
+    time), each with its own keys; the next batch is read only when one is done, so a slow service holds back what feeds it. A task that ends
     early cancels what has not begun; the client is shared by the calls.
 
     A call that fails, takes more than `seconds` or answers too few prompts is made again, after `wait` seconds, then twice
@@ -259,16 +276,21 @@ def complete(prompts: DataFrame, client: Callable[[], Client], batch: int = 64,
         call, pending = client(), set()
         parts = (rows.iloc[i : i + batch] for rows in batches for i in range(0, len(rows), batch))
         if in_flight == 1:
-            yield from (answered(call, rows) for rows in parts)
+            yield from gathered(answered(call, rows) for rows in parts)
             return
         pool = ThreadPoolExecutor(in_flight)
-        try:
+
+        def arrivals() -> Iterator[pd.DataFrame]:
+            nonlocal pending
             for rows in parts:
                 pending.add(pool.submit(answered, call, rows))
                 if len(pending) == in_flight:
                     done, pending = first_done(pending, return_when=FIRST_COMPLETED)
                     yield from (f.result() for f in done)
             yield from (f.result() for f in as_completed(pending))
+
+        try:
+            yield from gathered(arrivals())
         finally:
             pool.shutdown(wait=False, cancel_futures=True)
 
