@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import save_state, saved_iterations, written
-from .dedup import NearIndex, classes, near_pairs
+from .dedup import NearIndex, near_pairs, tokens_of
 from .stats import SILENT, u_statistic
 
 
@@ -79,7 +79,7 @@ def walk_step(pool: DataFrame, proposals: DataFrame, step: int, settings: WalkSe
     """
     carried = "near" in pool.columns
     new = proposals.select("chain", "id", F.col("text").alias("new_text"), F.col("answers").alias("new_answers"), uniform(settings.seed, step, F.col("id")).alias("draw"), F.xxhash64(F.lit(settings.seed + 1), F.lit(step), "id").alias("turn"))
-    both = pool.select("chain", "id", "text", "answers", *(["near"] if carried else [])).join(new, ["chain", "id"], "left")
+    own, new = pool.select("chain", "id", "text", "answers", *(["near"] if carried else [])), new.filter("chain IS NOT NULL AND id IS NOT NULL")
 
     def utility(answers: list[str], share: float) -> tuple[float, float]:
         if settings.corrected:
@@ -88,8 +88,9 @@ def walk_step(pool: DataFrame, proposals: DataFrame, step: int, settings: WalkSe
         p = max((told.count(a) for a in set(told)), default=0) / max(1, len(answers))
         return max(0.0, max(0.0, 1 - 2 * abs(p - 0.5)) - share), 0.0
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id").reset_index(drop=True)
+    def chain(rows: pd.DataFrame, proposed: pd.DataFrame) -> pd.DataFrame:
+        # Rows and proposals meet here, so that their texts are shuffled once.
+        rows = rows.sort_values("id").merge(proposed.drop(columns="chain"), on="id", how="left")
         n = len(rows)
         texts, answers = rows["text"].tolist(), [list(a) for a in rows["answers"]]
         tokens = [t.split() for t in texts]
@@ -133,28 +134,24 @@ def walk_step(pool: DataFrame, proposals: DataFrame, step: int, settings: WalkSe
                 for j in (old[0] ^ now) - {k}:
                     near[j] ^= {k}
                 near[k], answers[k] = old
-        out = pd.DataFrame({"chain": rows["chain"], "id": rows["id"], "text": texts, "answers": answers})
+        lists = lambda found: pd.Series(found, rows.index, object)  # noqa: E731  (also of a chain without rows)
+        out = pd.DataFrame({"chain": rows["chain"], "id": rows["id"], "text": lists(texts), "answers": lists(answers)})
         if carried:
             ids = rows["id"].tolist()
-            out["near"] = [[ids[j] for j in sorted(own)] for own in near]
+            out["near"] = lists([[ids[j] for j in sorted(own)] for own in near])
         out["accepted"], out["alpha"] = pd.array(taken, "boolean"), pd.array(alphas, "Float64")
         return out
 
-    return both.groupBy("chain").applyInPandas(chain, f"chain long, id long, text string, answers array<string>, {'near array<long>, ' if carried else ''}accepted boolean, alpha double")
+    return own.groupBy("chain").cogroup(new.groupBy("chain")).applyInPandas(chain, f"chain long, id long, text string, answers array<string>, {'near array<long>, ' if carried else ''}accepted boolean, alpha double")
 
 
 def with_neighbours(pool: DataFrame) -> DataFrame:
-    """`pool` (chain, id, text, ...) with near: the ids of its chain's texts near a text, itself included. One exact join over the whole pool."""
-    own = written(classes(pool, "id", "text"), "classes")
+    """`pool` (chain, id, text, ...) with near: the ids of its chain's texts near a text, itself included. One exact join of what meets in a chain; an id is in one chain only."""
+    own = written(pool.select("id", tokens_of(F.col("text")).alias("tokens"), F.col("chain").alias("within")), "texts", "zstd")
     pairs = written(near_pairs(own), "pairs")
-    # Copies are near each other if their BLEU with themselves is: that takes three tokens.
-    both = pairs.select("i", "j").unionByName(pairs.selectExpr("j AS i", "i AS j")).unionByName(own.filter(F.size("tokens") >= 3).selectExpr("id AS i", "id AS j"))
-    tokens = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != "")
-    digest = lambda c: F.sha2(F.concat_ws(" ", c), 256).alias("digest")  # noqa: E731  (so that no text is shuffled)
-    named = written(pool.select("chain", "id", digest(tokens)).join(own.select(F.col("id").alias("class"), digest("tokens")), "digest").select("chain", "id", "class"), "named")
-    ends = named.join(both, F.col("class") == F.col("i")).select("chain", "id", F.col("j").alias("class")).join(named.select("chain", "class", F.col("id").alias("other")), ["chain", "class"])
-    lists = ends.groupBy("chain", "id").agg(F.collect_set("other").alias("near"))
-    return pool.join(lists, ["chain", "id"], "left").withColumn("near", F.array_sort(F.array_union(F.coalesce("near", F.array().cast("array<long>")), F.array(F.col("id").cast("long")))))
+    ends = pairs.selectExpr("i AS id", "j AS other").unionByName(pairs.selectExpr("j AS id", "i AS other"))
+    lists = ends.groupBy("id").agg(F.collect_set("other").alias("near"))
+    return pool.join(lists, "id", "left").withColumn("near", F.array_sort(F.array_union(F.coalesce("near", F.array().cast("array<long>")), F.array(F.col("id").cast("long")))))
 
 
 # Step sizes, bounds and number of micro-steps of the temperature update.
